@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import decontaminate, pii, quality, sentencepiece_bpe, token_files, toxicity
+from meshwork.llm import decontaminate, line_dedup, pii, quality, revisits, sentencepiece_bpe, simhash, token_files, toxicity
 from meshwork.llm.rows import table
 
 
@@ -14,10 +14,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.digest(revisits.resolve(revisits.records_of(table(spark, sf_dir, "pages"))))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.round_trip(spark, table(spark, sf_dir, "documents")))
 
@@ -34,13 +42,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_decontamination, op5_token_files, op6_toxicity, op7_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc_revisits, op3_decontamination, op4_simhash, op5_token_files, op6_toxicity, op7_quality_rules, op8_line_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_revisits": revisits.ORACLE_SQL}
