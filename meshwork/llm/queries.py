@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import decontaminate, line_dedup, pii, quality, revisits, sentencepiece_bpe, simhash, token_files, toxicity
+from meshwork.llm import decontaminate, line_dedup, pii, quality, revisits, sentencepiece_bpe, simhash, substring_dedup, token_files, toxicity
 from meshwork.llm.rows import table
 
 
@@ -46,12 +46,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc_revisits, op3_decontamination, op4_simhash, op5_token_files, op6_toxicity, op7_quality_rules, op8_line_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc_revisits, op3_decontamination, op4_simhash, op5_token_files, op6_toxicity, op7_quality_rules, op8_line_dedup, op9_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

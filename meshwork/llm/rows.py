@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a helper sees at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +42,14 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
         yield batch.slice(begin)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text_at: int = 1) -> DataFrame:
-    """mapInArrow with slices of at most SLICE_BYTES of text. make() runs once a task and
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, text_at: int = 1, limit: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow with slices of at most `limit` bytes of text. make() runs once a task and
     returns the function for a slice, so that models and caches are built there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = make()
         for batch in batches:
-            for part in slices(batch, text_at):
+            for part in slices(batch, text_at, limit):
                 yield handle(part)
 
     return df.mapInArrow(run, schema)
