@@ -4,8 +4,8 @@ Features of a text are the presence of words and of word beginnings ("lower*").
 toxic from other labelled texts best are chosen by their log-odds over their standard error,
 from counts over the training texts; identity terms are always among them. A logistic regression
 is fitted to the labels with a penalty on score changes: for each training text that names a
-group, the term is swapped for others of its kind, and the squared difference of the scores is
-added to the loss. So a neutral mention of a group adds no score.
+group, the term is swapped for others of its kind or left out, and the squared difference of the scores
+is added to the loss. So a neutral mention of a group adds no score.
 
 Fitting uses at most SAMPLE_ROWS labelled rows, chosen by the hash of their id; scoring runs over
 every whole text. Null and empty texts have no features and get the score of the intercept.
@@ -128,12 +128,13 @@ def choose_features(counts: DataFrame, n_toxic: int, n_other: int, most: int, le
 
 
 def swapped(words: set[str]) -> list[set[str]]:
-    """The texts' words with one identity term exchanged for each of three others of its kind."""
+    """The texts' words with one identity term exchanged for each of three others of its kind, and without it
+    (else the weights of all terms could rise together)."""
     out = []
     for term in sorted(words & KIND_OF.keys()):
         others = [t for t in IDENTITY_TERMS[KIND_OF[term]] if t != term]
         at = len(term) % len(others)
-        out += [words - {term} | {others[(at + k) % len(others)]} for k in range(min(3, len(others)))]
+        out += [words - {term} | {others[(at + k) % len(others)]} for k in range(min(3, len(others)))] + [words - {term}]
     return out
 
 
