@@ -1,49 +1,10 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps
-(Kiveris and others, "Connected Components in MapReduce and Beyond", 2014).
-
-Every step is a grouped minimum, which Spark combines before the shuffle, and a join of the edges
-with one minimum per node, whose hot nodes adaptive execution can split; no node's neighbours are
-ever gathered. Each round is written to the shared folder, which cuts the lineage.
-"""
+"""Connected components within a task; those of whole tables are in meshwork.operators.components."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from meshwork.llm.rows import saved
-
-MOST_ROUNDS = 60
-
-
-def connected(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges: columns a and b. Returns node, root for each node with an edge to another one, the root
-    itself left out; root is the smallest node of the component. Null ends and loops are ignored;
-    edges may repeat, in either direction."""
-    now = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    for _ in range(MOST_ROUNDS):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == before or mark[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
-        now = saved(small_star(large_star(now)), name)
-    raise RuntimeError(f"no fixpoint after {MOST_ROUNDS} rounds")
-
-
-def large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to the smallest of the node and its neighbours. a > b."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are tied to the smallest neighbour. a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    down = edges.join(least.select(F.col("a").alias("u"), "m"), F.col("a") == F.col("u")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+from meshwork.operators.components import connected  # noqa: F401
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

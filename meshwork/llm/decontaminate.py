@@ -4,8 +4,8 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. A
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A
 document word inside any occurrence of a window is hit.
 
-The windows are few: their hashes and words are broadcast, after a check of their number. A
-larger benchmark is joined through a shuffle instead (see find_hits). In a task, words become
+The windows are few: their hashes and words are broadcast, after a check of their texts' size. A
+benchmark over BROADCAST_BYTES is dealt with in parts of at most that, one pass each. In a task, words become
 numbers of the benchmark's vocabulary, a window hash is a weighted sum of n numbers, and a
 sorted lookup gives the candidates; each is verified word by word.
 
@@ -18,6 +18,7 @@ are carried by `decontaminate` and ignored by `find_hits`.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,18 +96,26 @@ class Windows:
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit: int) -> Windows:
-    """The windows, gathered after a check that the benchmark's texts have at most `limit` bytes."""
-    size = benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    if size > limit:
-        raise ValueError(f"a benchmark of {size} bytes is over the broadcast limit of {limit}; split it by item and take the union of the hits")
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Windows:
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).collect()
     return Windows([(r[0], bytes(r[1] or b"")) for r in rows], n)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per row of docs: the id, n_words, n_hit, and items array<string>, sorted."""
-    held = docs.sparkSession.sparkContext.broadcast(benchmark_windows(benchmark, item_col, item_text_col, n, limit))
+def parts_of(benchmark: DataFrame, text_col: str, limit: int) -> list[DataFrame]:
+    """The benchmark, in as many parts as keep the texts of each near half the limit; an item of over the limit is refused."""
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0))
+    total, most = benchmark.agg(F.sum(size), F.max(size)).first()
+    if (total or 0) <= limit:
+        return [benchmark]
+    if most > limit:
+        raise ValueError(f"an item of {most} bytes is over the broadcast limit of {limit}")
+    n = -(-2 * total // limit)
+    return [benchmark.where(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(n)) == k) for k in range(n)]
+
+
+def located(docs: DataFrame, windows: Windows, id_col: str, text_col: str) -> DataFrame:
+    """The id, n_words, hit (places of the words hit), items."""
+    held = docs.sparkSession.sparkContext.broadcast(windows)
 
     def make():
         windows = held.value
@@ -116,13 +125,29 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
             for text in octets(part.column(1)):
                 words = words_of(text)
                 hit, items = windows.hits(windows.ids(words))
-                rows.append((len(words), int(hit.sum()), sorted(items)))
-            n_words, n_hit, items = zip(*rows)
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], [id_col, "n_words", "n_hit", "items"])
+                rows.append((len(words), np.flatnonzero(hit), sorted(items)))
+            n_words, hit, items = zip(*rows)
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [id_col, "n_words", "hit", "items"])
 
         return handle
 
-    return map_slices(keyed(docs, id_col, text_col), make, f"`{id_col}` {id_type(docs, id_col)}, n_words long, n_hit long, items array<string>")
+    return map_slices(keyed(docs, id_col, text_col), make, f"`{id_col}` {id_type(docs, id_col)}, n_words long, hit array<int>, items array<string>")
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per row of docs: the id, n_words, n_hit, and items array<string>, sorted."""
+    parts = [benchmark_windows(p, item_col, item_text_col, n) for p in parts_of(benchmark, item_text_col, limit)]
+    if len(parts) == 1:
+        return located(docs, parts[0], id_col, text_col).select(id_col, "n_words", F.size("hit").cast("long").alias("n_hit"), "items")
+    # One pass over the texts per part; the places hit are joined by id and text.
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")).alias("key"), F.col(text_col).alias("text"))
+    passes = [located(rows, w, "key", "text") for w in parts]
+    every = reduce(DataFrame.unionAll, (p.where(F.size("hit") > 0).distinct() for p in passes))
+    hits = every.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    counts = located(rows, Windows([], n), "key", "text").select(F.col("key").alias("row"), "n_words")
+    joined = counts.join(hits, (F.col("row.id").eqNullSafe(F.col("key.id"))) & (F.col("row.hash") == F.col("key.hash")), "left")
+    none = F.array().cast("array<string>")
+    return joined.select(F.col("row.id").alias(id_col), "n_words", F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def cut(text: bytes, windows: Windows) -> tuple[bytes | None, int, int]:
@@ -149,7 +174,13 @@ def cut(text: bytes, windows: Windows) -> tuple[bytes | None, int, int]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, drop_share: float = 0.5, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs with hit spans cut out of its texts; a row of whose words more than drop_share are hit goes."""
-    held = docs.sparkSession.sparkContext.broadcast(benchmark_windows(benchmark, item_col, item_text_col, n, limit))
+    for part in parts_of(benchmark, item_text_col, limit):  # of several, each cuts what the one before has left
+        docs = cut_out(docs, benchmark_windows(part, item_col, item_text_col, n), text_col, drop_share)
+    return docs
+
+
+def cut_out(docs: DataFrame, windows: Windows, text_col: str, drop_share: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(windows)
     at = docs.columns.index(text_col)
 
     def make():

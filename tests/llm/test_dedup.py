@@ -128,7 +128,8 @@ def brute_lines(rows):
 def test_lines_equal_brute_force(spark):
     rng = random.Random(6)
     pool = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(30)}" for _ in range(rng.randint(3, 40))) for _ in range(25)]
-    pool += [x + " tail" for x in pool[:8]] + [x.replace(" ", ", ").upper() for x in pool[:5]]
+    pool += [" ".join(pool[k : k + 5]) for k in range(6)]
+    pool += [x + " tail" for x in pool[-6:]] + [x.replace(" ", ", ").upper() for x in pool[:5]]
     rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for k in range(40)] + [(50, ""), (51, None), (52, pool[3] + "\n" + pool[3])]
     want, links = brute_lines(rows)
     assert links > 0

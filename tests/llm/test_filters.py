@@ -39,6 +39,8 @@ def test_hits_equal_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(r) for r in decontaminate.find_hits(frame(spark, rows), bench).select(F.coalesce(F.col("doc_id"), F.lit(-1)), "n_words", "n_hit", "items").collect())
     assert got == sorted((-1 if i is None else i, *brute_hits(t or "", items)) for i, t in rows)
+    parts = decontaminate.find_hits(frame(spark, rows), bench, limit=1000)
+    assert sorted(tuple(r) for r in parts.select(F.coalesce(F.col("doc_id"), F.lit(-1)), "n_words", "n_hit", "items").collect()) == got
     assert decontaminate.find_hits(frame(spark, rows), bench.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.digest(decontaminate.find_hits(frame(spark, rows).where("false"), bench)).count() == 0
 
