@@ -19,6 +19,7 @@ table gives no shard. Other columns are ignored.
 from __future__ import annotations
 
 import io
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -33,12 +34,20 @@ from meshwork.llm.rows import id_type, keyed, saved, shared_folder, slices, stri
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 FRAMES_A_READER = 64
-CACHED_CHUNKS = 400_000
+CACHED_PARTS = 800_000
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
+#: Signs and letters of Latin-1 that end in a letter, then ASCII punctuation.
+WORD_AND_SIGNS = re.compile("([\x21-\x7e\xa1-\xac\xae-\xff]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-/:-@\\[-`{-~]*)")
+#: Chunks on which a tokenizer has to show that parts can be encoded apart.
+PROBES = ("Word,", "WORD!!", "été&&&", "GRÖSSE###", "a.", "Ab|", "x***.")
 
 
 class ChunkEncoder(dict):
-    """Chunk of text between blanks -> its ids as bytes, by the tokenizers library. The tokenizer drops
-    white space and none of its tokens spans any, so the ids of a text are those of its chunks."""
+    """Part of a chunk of text between blanks -> its ids as bytes, by the tokenizers library. The tokenizer drops
+    white space, lowers case and parts letters from other signs before it looks for pairs, and none
+    of its tokens spans any of these borders; so the ids of a text are those of its chunks, and
+    those of a chunk that ends in punctuation are its letters' and its punctuation's."""
 
     def __init__(self, path: str):
         import os
@@ -47,16 +56,27 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = all(self.tokenizer.encode(c, add_special_tokens=False).ids == [i for p in self.split(c) for i in self.tokenizer.encode(p, add_special_tokens=False).ids] for c in PROBES)
+
+    @staticmethod
+    def split(chunk: str) -> tuple[str, str]:
+        """The chunk in two parts, the first in lower case where that is the same in every context."""
+        m = WORD_AND_SIGNS.fullmatch(chunk)
+        return (m[1].lower(), m[2]) if m and "<|" not in chunk else (chunk, "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHED_CHUNKS:
+        if len(self) > CACHED_PARTS:
             self.clear()
+        self[""] = b""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = [c for c in set().union(*chunks) if c not in self]
-        for begin in range(0, len(fresh), 20_000):
-            some = fresh[begin : begin + 20_000]
+        parts = list(map(self.split, fresh)) if self.parts else [(c, "") for c in fresh]
+        asked = list({p for both in parts for p in both} - self.keys())
+        for begin in range(0, len(asked), 5_000):
+            some = asked[begin : begin + 5_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self[c] = np.array(e.ids, "<u4").tobytes()
+        self.update((c, self[core] + self[tail]) for c, (core, tail) in zip(fresh, parts))
         return [b"".join(map(self.__getitem__, c)) for c in chunks]
 
 
@@ -74,7 +94,7 @@ def default_tokenizer() -> str:
 class ShardWriter:
     """Frames, document index and seek table, in that order, to a binary file object."""
 
-    def __init__(self, out, id_kind: pa.DataType, level: int = 3):
+    def __init__(self, out, id_kind: pa.DataType, level: int = 1):
         import zstandard
 
         self.out, self.id_kind = out, id_kind
@@ -178,7 +198,7 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         name = f"shard-{context.partitionId():07d}.u32.zst"
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 if writer is None:
                     encoder = worker_encoder(path)
                     store.create_dir(root, recursive=True)
