@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": revisits.ORACLE_SQL}
+    return {"op2_warc_revisits": revisits.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL}

@@ -158,7 +158,7 @@ def sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), lens), np.fromiter((k for r in rows for k in r), np.int64, int(lens.sum()))
 
 
-def train(labels: np.ndarray, x: list, swaps: list, n_features: int, fairness: float = 1.0, ridge: float = 1e-4, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
+def train(labels: np.ndarray, x: list, swaps: list, n_features: int, fairness: float = 1.0, ridge: float = 3e-5, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise mean log loss + ridge * |w|^2 + fairness * mean squared
     difference of scores (log-odds) within counterfactual pairs. Adam on the whole sample."""
     n = len(labels)

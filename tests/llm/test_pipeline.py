@@ -39,9 +39,10 @@ def test_run_gives_the_last_stage(spark, stages):
     assert same(corpus_pipeline.run(spark, SMALL)) == same(stages[-1])
 
 
-def test_archive_query_equals_its_sql(spark):
+def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SMALL}/pages.parquet')")
+    for t in ("pages", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, SMALL)
         want = con.execute(sql)
