@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +59,10 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return raw, none, none, none, none, none.astype(np.uint64)
     x = raw.astype(np.uint64) + U(1)
     odd = U(0x9E3779B97F4A7C15)
-    four = mixed((x[:-3] | x[1:-2] << U(9) | x[2:-1] << U(18) | x[3:] << U(27)) * odd)
-    eight = mixed(four[:-4] * odd + four[4:])
-    sixteen = mixed(eight[:-8] * odd + eight[8:])
+    # Four bytes exactly, then sums of products; the last step mixes, which the order of minimizers needs.
+    four = x[:-3] | x[1:-2] << U(9) | x[2:-1] << U(18) | x[3:] << U(27)
+    eight = four[:-4] * odd + four[4:]
+    sixteen = eight[:-8] * U(0xC2B2AE3D27D4EB4F) + eight[8:]
     gram = mixed(sixteen[:-4] * odd + four[16:])
     least, width = gram, 1
     while width * 2 <= SPAN:
@@ -84,9 +86,12 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def split(a: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The minimizer's bucket, and a tag that is enough to tell it."""
-    bucket = (a % U(buckets)).astype(np.int64)
-    return bucket, ((a >> U(34)) * U(buckets)).astype(np.int64) + bucket
+    """The minimizer's bucket, and 30 further bits of it; two that agree in both count as one, which costs work only."""
+    return (a % U(buckets)).astype(np.int32), (a >> U(34)).astype(np.int32)
+
+
+def joint(bucket: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return bucket.astype(np.int64) << 30 | tag.astype(np.int64)
 
 
 def lists(values: np.ndarray, groups: np.ndarray, n: int, kind=pa.int64()) -> pa.Array:
@@ -94,68 +99,66 @@ def lists(values: np.ndarray, groups: np.ndarray, n: int, kind=pa.int64()) -> pa
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(groups, np.arange(n + 1)).astype(np.int32)), pa.array(values, kind))
 
 
-def anchors(heads: DataFrame, buckets: int) -> DataFrame:
-    """bucket, tags, docs: which minimizers a slice has, each with the first of its documents there."""
+ANCHORS = pa.schema([("bucket", pa.int32()), ("tags", pa.list_(pa.int32())), ("texts", pa.list_(pa.int64())), ("text", pa.int64()), ("repeated", pa.list_(pa.int64()))])
+
+
+def anchors(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows: hash and text. For each slice of texts, by bucket: its minimizers (tags), each with the first
+    of the texts there that has it; and by text: the minimizers that it shares with others of the slice."""
 
     def handle(part: pa.RecordBatch) -> pa.RecordBatch:
         ids = part.column(0).to_numpy(zero_copy_only=False)
         _, text, _, _, _, a = segments(octets(part.column(1)))
+        bucket, tag = split(a, buckets)
         _, first = np.unique(a, return_index=True)
-        first.sort()  # in the documents' order, which packs well
-        bucket, tag = split(a[first], buckets)
-        order = np.argsort(bucket, kind="stable")
+        first.sort()  # in the texts' order, which packs well
+        order = first[np.argsort(bucket[first], kind="stable")]
         there = np.unique(bucket)
         groups = np.searchsorted(there, bucket[order])
-        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), lists(tag[order], groups, len(there)), lists(ids[text[first]][order], groups, len(there))], ["bucket", "tags", "docs"])
-
-    return map_slices(heads, lambda: handle, "bucket int, tags array<long>, docs array<long>", limit=SLICE)
-
-
-def by_document(docs: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
-    there = np.unique(docs)
-    return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), lists(tags[order], np.searchsorted(there, docs[order]), len(there))], ["doc", "tags"])
-
+        by_bucket = [pa.array(there), lists(tag[order], groups, len(there), pa.int32()), lists(ids[text[order]], groups, len(there)), pa.nulls(len(there), pa.int64()), pa.nulls(len(there), pa.list_(pa.int64()))]
+        order = np.argsort(a, kind="stable")
+        low, high = edges_of(a[order], ids[text[order]])
+        order = order[low != high]
+        owners, repeated = by_text(ids[text[order]], joint(bucket[order], tag[order])).columns
+        n = len(owners)
+        within = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), owners, repeated]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(by_bucket, within)], schema=ANCHORS)
 
-def repeats_within(heads: DataFrame, buckets: int) -> DataFrame:
-    """doc, tags: minimizers that several documents of one slice have."""
+    return map_slices(rows, lambda: handle, "bucket int, tags array<int>, texts array<long>, text long, repeated array<long>", limit=SLICE)
 
-    def handle(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = part.column(0).to_numpy(zero_copy_only=False)
-        _, text, _, _, _, a = segments(octets(part.column(1)))
-        order = np.argsort(a, kind="stable")
-        low, high, doc = *edges_of(a[order], ids[text[order]]), ids[text[order]]
-        several = low != high
-        return by_document(doc[several], split(a[order][several], buckets)[1])
 
-    return map_slices(heads, lambda: handle, "doc long, tags array<long>", limit=SLICE)
+def by_text(texts: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(texts, kind="stable")
+    there = np.unique(texts)
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), lists(tags[order], np.searchsorted(there, texts[order]), len(there))], ["text", "repeated"])
 
 
-def edges_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the smallest and the largest document of its key; keys ascend."""
+def edges_of(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest and the largest text hash of its key; keys ascend."""
     if not len(key):
-        return doc, doc
+        return text, text
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    return np.repeat(np.minimum.reduceat(doc, first), size), np.repeat(np.maximum.reduceat(doc, first), size)
+    return np.repeat(np.minimum.reduceat(text, first), size), np.repeat(np.maximum.reduceat(text, first), size)
 
 
 def repeats_between(blocks: DataFrame, partitions: int) -> DataFrame:
-    """doc, tags: minimizers that documents of several slices have."""
+    """text, repeated: minimizers that texts of several slices have."""
 
     def run(batches):
-        tags, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            tags.append(batch.column(1).flatten().to_numpy(zero_copy_only=False))
-            docs.append(batch.column(2).flatten().to_numpy(zero_copy_only=False))
-        tag, doc = np.concatenate(tags), np.concatenate(docs)
-        order = np.argsort(tag, kind="stable")
-        tag, doc = tag[order], doc[order]
-        low, high = edges_of(tag, doc)
+            bucket = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            keys.append(joint(bucket, batch.column(1).flatten().to_numpy(zero_copy_only=False)))
+            texts.append(batch.column(2).flatten().to_numpy(zero_copy_only=False))
+        key, text = np.concatenate(keys), np.concatenate(texts)
+        order = np.argsort(key, kind="stable")
+        key, text = key[order], text[order]
+        low, high = edges_of(key, text)
         several = low != high
-        yield by_document(doc[several], tag[several])
+        yield by_text(text[several], key[several])
 
-    return blocks.repartition(partitions, "bucket").mapInArrow(run, "doc long, tags array<long>")
+    return blocks.repartition(partitions, "bucket").mapInArrow(run, "text long, repeated array<long>")
 
 
 def suffix_order(symbols: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -199,52 +202,69 @@ def symbols_end(symbols: np.ndarray, p: np.ndarray, depth: int) -> np.ndarray:
     return ends[np.searchsorted(ends, p)] < p + 2 * depth
 
 
-def shards(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs: id, text, tags (array<array<long>>: the repeated minimizers). A row per slice and bucket: the
-    transform of its segments, and where they occur."""
-    names = ["bucket", "bwt", "ends", "tag", "string", "doc", "place"]
-
-    def handle(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = part.column(0).to_numpy(zero_copy_only=False)
-        raw, text, at, place, windows, a = segments(octets(part.column(1)))
-        bucket, tag = split(a, buckets)
-        per_text = part.column(2)
-        lens = np.array([sum(map(len, x or [])) for x in per_text.to_pylist()], np.int64)
-        known = per_text.flatten().flatten().to_numpy(zero_copy_only=False)
-        both = lambda t, k: mixed(k.astype(np.uint64) * U(0x9E3779B97F4A7C15) + t.astype(np.uint64))
-        live = np.flatnonzero(np.isin(both(text, tag), both(np.repeat(np.arange(len(lens)), lens), known)))
-        text, at, place, windows, bucket, tag = (x[live] for x in (text, at, place, windows, bucket, tag))
-        order = np.argsort(bucket, kind="stable")
-        text, at, place, windows, bucket, tag = (x[order] for x in (text, at, place, windows, bucket, tag))
-        data = raw.tobytes()
-        number: dict[tuple[int, bytes], int] = {}
-        string = np.array([number.setdefault((t, data[b : b + n]), len(number)) for t, b, n in zip(tag.tolist(), at.tolist(), (windows + LENGTH - 1).tolist())], np.int64)
-        if not len(string):
-            return pa.RecordBatch.from_pylist([], SHARDS)
-        _, first = np.unique(string, return_index=True)
-        sizes = windows[first] + LENGTH - 1
-        ends = np.cumsum(sizes + 1) - 1
-        symbols = np.zeros(int(ends[-1]) + 1, np.uint16)
-        inner = np.ones(len(symbols), bool)
-        inner[ends] = False
-        symbols[inner] = np.frombuffer(b"".join(s for _, s in number), np.uint8).astype(np.uint16) + 1
-        of = np.repeat(bucket[first], sizes + 1)
-        order = suffix_order(symbols, of.astype(np.uint16) if buckets < 65536 else of)
-        before = symbols[order - 1]  # before a string's first symbol lies the end of another: 0
-        there = np.unique(bucket)
-        cut = np.searchsorted(of[order], there), np.searchsorted(of[order], there, "right")
-        heads, occurs = (np.searchsorted(bucket[first], there), np.searchsorted(bucket[first], there, "right")), (np.searchsorted(bucket, there), np.searchsorted(bucket, there, "right"))
-        rows = []
-        for k in range(len(there)):
-            b = before[cut[0][k] : cut[1][k]]
-            h, o = slice(heads[0][k], heads[1][k]), slice(occurs[0][k], occurs[1][k])
-            rows.append((int(there[k]), np.maximum(b, 1).astype(np.int32).__sub__(1).astype(np.uint8).tobytes(), np.flatnonzero(b == 0).astype(np.int32).tobytes(), tag[first][h].tobytes(), (string[o] - heads[0][k]).astype(np.int32).tobytes(), ids[text[o]].astype(np.int64).tobytes(), place[o].astype(np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), SHARDS)], names)
+SHARDS = pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
 
-    return map_slices(docs, lambda: handle, "bucket int, bwt binary, ends binary, tag binary, string binary, doc binary, place binary", limit=SLICE)
 
-
-SHARDS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("bwt", "ends", "tag", "string", "doc", "place"))])
+def shards(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs: id, text, tags (array<array<long>>: the repeated minimizers). A row per slice and bucket: the
+    transform of its segments, and where they occur, packed (see unpacked)."""
+
+    def make():
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+
+        def handle(part: pa.RecordBatch) -> pa.RecordBatch:
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            raw, text, at, place, windows, a = segments(octets(part.column(1)))
+            bucket, tag = split(a, buckets)
+            tag = joint(bucket, tag)
+            per_text = part.column(2)
+            lens = np.array([sum(map(len, x or [])) for x in per_text.to_pylist()], np.int64)
+            known = per_text.flatten().flatten().to_numpy(zero_copy_only=False)
+            both = lambda t, k: mixed(k.astype(np.uint64) * U(0x9E3779B97F4A7C15) + t.astype(np.uint64))
+            live = np.flatnonzero(np.isin(both(text, tag), both(np.repeat(np.arange(len(lens)), lens), known)))
+            live = live[np.argsort(bucket[live], kind="stable")]
+            text, at, place, windows, bucket, tag = (x[live] for x in (text, at, place, windows, bucket, tag))
+            if not len(live):
+                return pa.RecordBatch.from_pylist([], SHARDS)
+            data = raw.tobytes()
+            number: dict[tuple[int, bytes], int] = {}
+            string = np.array([number.setdefault((t, data[b : b + n]), len(number)) for t, b, n in zip(tag.tolist(), at.tolist(), (windows + LENGTH - 1).tolist())], np.int32)
+            _, first = np.unique(string, return_index=True)
+            sizes = windows[first] + LENGTH - 1
+            ends = np.cumsum(sizes + 1) - 1
+            symbols = np.zeros(int(ends[-1]) + 1, np.uint16)
+            inner = np.ones(len(symbols), bool)
+            inner[ends] = False
+            symbols[inner] = np.frombuffer(b"".join(s for _, s in number), np.uint8).astype(np.uint16) + 1
+            of = np.repeat(bucket[first], sizes + 1)
+            order = suffix_order(symbols, of.astype(np.uint16) if buckets < 65536 else of)
+            before = symbols[order - 1]  # before a string's first symbol lies the end of another: 0
+            there = np.unique(bucket)
+            rows = []
+            for k, c, d, e, f, g, h in zip(there.tolist(), *(np.searchsorted(x, there, side) for x in (of, bucket[first], bucket) for side in ("left", "right"))):
+                b = before[c:d]
+                columns = ((np.maximum(b, 1) - 1).astype(np.uint8), np.flatnonzero(b == 0).astype(np.int32), tag[first][e:f], (string[g:h] - e).astype(np.int32), ids[text[g:h]].astype(np.int64), place[g:h].astype(np.int32))
+                rows.append((k, [len(x) for x in columns], packer.compress(b"".join(x.tobytes() for x in columns))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), SHARDS)], schema=SHARDS)
+
+        return handle
+
+    return map_slices(docs, make, "bucket int, sizes array<int>, packed binary", limit=SLICE)
+
+
+def unpacked(sizes: list[int], packed: bytes) -> list[np.ndarray]:
+    """The transform's bytes, the slots before which a string ends, the strings' minimizers, and of each
+    occurrence its string, document and first byte there."""
+    import zstandard
+
+    kinds = (np.uint8, np.int32, np.int64, np.int32, np.int64, np.int32)
+    raw, at, out = zstandard.ZstdDecompressor().decompress(packed), 0, []
+    for n, kind in zip(sizes, kinds):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
 class Merged:
@@ -254,8 +274,8 @@ class Merged:
         symbol, back, first, base = [], [], [], 0
         tag, string, doc, place, strings = [], [], [], [], 0
         for row in rows:
-            bwt = np.frombuffer(row["bwt"], np.uint8).astype(np.uint16) + 1
-            ends = np.frombuffer(row["ends"], np.int32)
+            bwt, ends, own_tag, own_string, own_doc, own_place = unpacked(row["sizes"], row["packed"])
+            bwt = bwt.astype(np.uint16) + np.uint16(1)
             bwt[ends] = 0
             order = np.argsort(bwt, kind="stable")
             to = np.empty(len(bwt), np.int64)
@@ -263,10 +283,10 @@ class Merged:
             symbol.append(bwt)
             back.append(to)
             first.append(np.arange(len(ends)) + base)  # the ends sort first
-            tag.append(np.frombuffer(row["tag"], np.int64))
-            string.append(np.frombuffer(row["string"], np.int32).astype(np.int64) + strings)
-            doc.append(np.frombuffer(row["doc"], np.int64))
-            place.append(np.frombuffer(row["place"], np.int32).astype(np.int64))
+            tag.append(own_tag)
+            string.append(own_string.astype(np.int64) + strings)
+            doc.append(own_doc)
+            place.append(own_place.astype(np.int64))
             base, strings = base + len(bwt), strings + len(ends)
         self.symbol, self.back = np.concatenate(symbol), np.concatenate(back)
         self.tag, self.string, self.doc, self.place = (np.concatenate(x) for x in (tag, string, doc, place))
@@ -366,34 +386,32 @@ def merge(blocks: DataFrame, partitions: int) -> DataFrame:
     return blocks.repartition(partitions, "bucket").mapInArrow(run, "doc long, begins array<int>, ends array<int>")
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, hash (of its text), begins, ends: lists of spans that may overlap; a copy has one without end."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: the id, n_bytes, n_removed, n_spans, kept (binary)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= LENGTH)
-    rows = rows.withColumn("hash", F.xxhash64("text"))
-    small = rows.select("doc", F.struct("hash", F.xxhash64(F.lit("other"), "text").alias("second"), F.octet_length("text").alias("size")).alias("key")).distinct()
+    rows = keyed(df, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("content"))
+    named, hash_of = rows.where("doc is not null"), F.xxhash64("content")
+    long = named.where(F.octet_length("content") >= LENGTH)
+    small = long.select("doc", F.struct(hash_of.alias("hash"), F.xxhash64(F.lit("other"), "content").alias("second"), F.octet_length("content").alias("size")).alias("key")).distinct()
     one = saved(small.groupBy("doc").agg(F.min("key").alias("key")), "texts")
-    least = one.groupBy("key").agg(F.min("doc").alias("first"))
-    copies = saved(one.join(least, "key").where(F.col("doc") > F.col("first")).select("doc", F.col("key.hash").alias("hash")), "copies")
-    # Texts that are out: copies, and second texts of an id.
-    out = copies.unionAll(small.join(one.withColumnRenamed("key", "kept"), "doc").where(F.col("key") != F.col("kept")).select("doc", "key.hash"))
-    heads = rows.join(out, ["doc", "hash"], "left_anti")
-    docs = heads.select("doc", "text")
-    known = repeats_between(anchors(docs, buckets), n).unionAll(repeats_within(docs, buckets))
-    tags = known.groupBy("doc").agg(F.collect_list("tags").alias("tags"))
-    spans = merge(shards(docs.join(tags, "doc").select("doc", "text", "tags"), buckets), n)
+    firsts = saved(one.groupBy("key").agg(F.min("doc").alias("doc")), "first-texts")
+    copies = one.join(firsts.withColumnRenamed("doc", "first"), "key").where(F.col("doc") > F.col("first"))
+    # Texts are told apart by their hashes here, so that copies of one are no repetition.
+    found = saved(anchors(long.select(hash_of.alias("hash"), "content"), buckets), "anchors")
+    known = repeats_between(found.where("bucket is not null").select("bucket", "tags", "texts"), n).unionAll(found.where("text is not null").select("text", "repeated"))
+    tags = known.join(firsts.select("doc", F.col("key.hash").alias("text"), F.col("key.hash").alias("hash")), "text").groupBy("doc", "hash").agg(F.collect_list("repeated").alias("tags"))
+    # This join and the last one deal out the same frame by doc; Spark shuffles it once (for that the
+    # text has a name of its own: an alias of the same name is dropped from one of the two).
+    mine = hash_of == F.col("hash")
+    heads = named.join(tags, "doc").select("doc", "content", F.when(mine, F.col("tags")).alias("tags"))
+    spans = merge(shards(heads, buckets), n)
     cuts = spans.groupBy("doc").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
-    whole = copies.select("doc", "hash", F.array(F.lit(0)).alias("begins"), F.array(F.lit(2**31 - 1)).alias("ends"))
-    return cuts.join(one, "doc").select("doc", F.col("key.hash").alias("hash"), "begins", "ends").unionAll(whole)
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: the id, n_bytes, n_removed, n_spans, kept (binary)."""
-    cuts = repeated_spans(df, id_col, text_col)
-    rows = keyed(df, id_col, text_col)
-    mine = (rows[id_col].cast("long") == cuts["doc"]) & (F.xxhash64(rows[text_col]) == cuts["hash"])
-    joined = rows.join(cuts, mine, "left").select(rows[id_col], rows[text_col], "begins", "ends")
+    cuts = cuts.join(one, "doc").select("doc", F.col("key.hash").alias("hash"), "begins", "ends")
+    whole = copies.select("doc", F.col("key.hash").alias("hash"), F.array(F.lit(0)).alias("begins"), F.array(F.lit(2**31 - 1)).alias("ends"))
+    joined = named.join(cuts.unionAll(whole), "doc", "left").select("doc", "content", F.when(mine, F.col("begins")).alias("begins"), F.when(mine, F.col("ends")).alias("ends"))
+    none = F.lit(None).cast("array<int>")
+    joined = joined.unionAll(rows.where("doc is null").select("doc", "content", none, none)).select(F.col("doc").cast(df.schema[id_col].dataType).alias(id_col), "content", "begins", "ends")
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
 
     def handle(part: pa.RecordBatch) -> pa.RecordBatch:
