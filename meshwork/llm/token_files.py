@@ -23,6 +23,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ class ChunkEncoder(dict):
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = [c for c in set().union(*chunks) if c not in self]
         parts = list(map(self.split, fresh)) if self.parts else [(c, "") for c in fresh]
-        asked = list({p for both in parts for p in both} - self.keys())
+        asked = [p for p in set(chain.from_iterable(parts)) if p not in self]
         for begin in range(0, len(asked), 5_000):
             some = asked[begin : begin + 5_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
@@ -186,7 +187,8 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     tail = b"" if end_id is None else struct.pack("<I", end_id)
     spark = df.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed(df, id_col, text_col).repartitionByRange(n, F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first())
+    # By id alone: the sample that finds the ranges is gathered by the driver, and texts would weigh in it.
+    ordered = keyed(df, id_col, text_col).repartitionByRange(n, F.col(id_col).asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first())
 
     def run(batches):
