@@ -10,7 +10,7 @@ one edge a fingerprint, not the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -69,17 +69,19 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(key)))
 
 
-def links(fps: DataFrame, keys: Callable[[np.ndarray], list[np.ndarray]], linked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, group: int = GROUP) -> DataFrame:
+def links(fps: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, group: int = GROUP, more: tuple[str, ...] = ()) -> DataFrame:
     """fps: distinct fingerprints in a column fp (long). Edges a, b (long) with the same components as
-    the graph of all linked pairs that share a key. linked(fp, fp, key) tells for arrays."""
+    the graph of all linked pairs that share a key. linked(fp, fp, key) tells for arrays. With more columns
+    to make keys from, keys gets them after fp, and gives pairs (rows, keys of these rows)."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches):
         for batch in batches:
             for part in (batch.slice(k, 20_000) for k in range(0, batch.num_rows, 20_000)):
-                fp = part.column(0).to_numpy(zero_copy_only=False)
-                for key in keys(fp):
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), part.column(0)], ["key", "fp"])
+                fp, *other = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                for got in keys(fp, *other):
+                    rows, key = got if more else (slice(None), got)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp[rows], pa.int64())], ["key", "fp"])
 
     def first_look(batches):
         key, fp = gathered(batches, 2)
@@ -107,7 +109,7 @@ def links(fps: DataFrame, keys: Callable[[np.ndarray], list[np.ndarray]], linked
             a, b = compare(first[some], size[some], fp, key, linked, of)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    looked = saved(fps.select("fp").mapInArrow(spread, "key long, fp long").repartition(n, "key").mapInArrow(first_look, "a long, b long, key long, block long, blocks long"), name)
+    looked = saved(fps.select("fp", *more).mapInArrow(spread, "key long, fp long").repartition(n, "key").mapInArrow(first_look, "a long, b long, key long, block long, blocks long"), name)
     large = looked.where("blocks > 0").select("key", "block", F.col("a").alias("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp").repartition(n, "key", "i", "j")
     return looked.where("blocks = 0").select("a", "b").unionAll(dealt.mapInArrow(second_look, "a long, b long"))

@@ -138,6 +138,25 @@ def test_lines_equal_brute_force(spark):
     assert all(r.n_removed == ((dict(rows)[r.doc_id] or "").count("\n") - (r.text or "").count("\n") if r.text else r.n_lines) for r in got)
 
 
+def test_lines_with_changed_words_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows, alike = [], []
+    for k in range(400):
+        line = [rng.choice(vocabulary) for _ in range(rng.choice((6, 9, 15, 30, 60, 120)))]
+        other = list(line)
+        for _ in range(max(1, len(line) // 12)):
+            other[rng.randrange(len(line))] = rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+        a, b = rows[-2][1], rows[-1][1]
+        if a != b and levenshtein(a, b) <= 0.2 * max(len(a), len(b)):
+            alike.append(2 * k + 1)
+    text = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    found, pairs = sum(text[k] == "" for k in alike), len(alike)
+    assert pairs > 300 and found >= 0.97 * pairs
+    assert all(text[k] == t for k, t in rows if k not in alike)  # what is not alike stays
+
+
 def test_lines_edges(spark):
     rows = texts() + [(None, "one two three four five six"), (900, "one two three four five six"), (901, "one two three four five six")]
     got = line_dedup.dedup_lines(frame(spark, rows)).collect()
