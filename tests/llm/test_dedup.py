@@ -157,6 +157,13 @@ def test_lines_with_changed_words_are_found(spark):
     assert all(text[k] == t for k, t in rows if k not in alike)  # what is not alike stays
 
 
+def test_short_and_unsegmented_lines(spark):
+    east = "".join(chr(0x4E00 + k * k % 3000) for k in range(40))
+    rows = [(1, "Menu\nRead more\nx y z w\n--"), (2, "menu!\nRead less\nread more\nX, y z w\n--"), (3, east), (4, east[:20] + "\u4e8c" + east[21:]), (5, east[::-1])]
+    text = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert text == {1: rows[0][1], 2: "Read less\n--", 3: east, 4: "", 5: east[::-1]}
+
+
 def test_lines_edges(spark):
     rows = texts() + [(None, "one two three four five six"), (900, "one two three four five six"), (901, "one two three four five six")]
     got = line_dedup.dedup_lines(frame(spark, rows)).collect()
