@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.rows import id_type, keyed, map_slices, octets
+from meshwork.llm.rows import id_type, keyed, map_slices, octets, saved, unused
 
 WINDOW = 10
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -150,33 +150,69 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     return joined.select(F.col("row.id").alias(id_col), "n_words", F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
+def without(text: bytes, spans: list[tuple[int, int]], hit: np.ndarray) -> bytes:
+    """The text without the runs of hit words and what lies between them. spans: of its words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    keep, done = [], 0
+    for b, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        keep.append(text[done : spans[b][0]])
+        done = spans[e - 1][1]
+    return b"".join([*keep, text[done:]])
+
+
 def cut(text: bytes, windows: Windows) -> tuple[bytes | None, int, int]:
-    """The text without its hit spans, and the numbers of words and of hit ones. Cuts again if
-    what is left makes a window anew."""
-    n_words = n_hit = 0
-    for k in range(100):
+    """The text without its hit spans, and the numbers of words and of hit ones. Cuts again until
+    what is left makes no window anew."""
+    first = None
+    while True:
         clean = text.translate(CLEAN)
         spans = [m.span() for m in WORD.finditer(clean)]
         ids = windows.ids([clean[b:e] for b, e in spans])
         hit, _ = windows.hits(ids)
-        if not k:
-            n_words, n_hit = len(ids), int(hit.sum())
+        first = first or (len(ids), int(hit.sum()))
         if not hit.any():
-            break
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-        keep, done = [], 0
-        for b, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            keep.append(text[done : spans[b][0]])
-            done = spans[e - 1][1]
-        text = b"".join([*keep, text[done:]])
-    return text, n_words, n_hit
+            return text, *first
+        text = without(text, spans, hit)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, drop_share: float = 0.5, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs with hit spans cut out of its texts; a row of whose words more than drop_share are hit goes."""
-    for part in parts_of(benchmark, item_text_col, limit):  # of several, each cuts what the one before has left
-        docs = cut_out(docs, benchmark_windows(part, item_col, item_text_col, n), text_col, drop_share)
-    return docs
+    parts = [benchmark_windows(p, item_col, item_text_col, n) for p in parts_of(benchmark, item_text_col, limit)]
+    return cut_out(docs, parts[0], text_col, drop_share) if len(parts) == 1 else cut_by_parts(docs, parts, text_col, drop_share)
+
+
+def cut_by_parts(docs: DataFrame, parts: list[Windows], text_col: str, drop_share: float) -> DataFrame:
+    """As cut_out with the windows of all parts: a round finds the hits of every part in the same texts and
+    cuts their union; the first one judges the rows. Rounds go on until nothing is hit."""
+    key, found, at = unused(docs, "cut_key"), unused(docs, "cut_hit"), docs.columns.index(text_col)
+    schema, columns, first = docs.schema, docs.columns, True
+
+    def make():
+        def handle(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = part.column(at).cast(pa.binary()).to_pylist()
+            for i, places in enumerate(part.column(len(columns)).to_pylist()):
+                if places:
+                    spans = [m.span() for m in WORD.finditer(texts[i].translate(CLEAN))]
+                    hit = np.zeros(len(spans), bool)
+                    hit[places] = True
+                    texts[i] = without(texts[i], spans, hit)
+            column = pa.array(texts, pa.binary()).cast(pa.string(), safe=False)
+            return pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(part.columns[: len(columns)])], columns)
+
+        return handle
+
+    while True:
+        rows = docs.withColumn(key, F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
+        texts = rows.where(F.col(key).isNotNull()).select(key, text_col).dropDuplicates([key])
+        every = reduce(DataFrame.unionAll, (located(texts, w, key, text_col).where(F.size("hit") > 0) for w in parts))
+        hits = saved(every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias(found)), "decontamination-hits")
+        if hits.isEmpty():
+            return docs
+        if first:
+            hits = hits.withColumn("goes", F.size(found) > drop_share * F.col("n_words"))
+            rows = rows.join(hits.where("goes").select(key), key, "left_anti")
+        joined = rows.join(hits.select(key, found), key, "left").select(*columns, found)
+        docs, first = saved(map_slices(joined, make, schema, text_at=at), "decontaminated"), False
 
 
 def cut_out(docs: DataFrame, windows: Windows, text_col: str, drop_share: float) -> DataFrame:

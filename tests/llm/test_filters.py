@@ -57,6 +57,26 @@ def test_cutting_leaves_no_window(spark):
     assert "f" in left[1] and "w3" not in left[1]
 
 
+def test_parts_of_a_benchmark_cut_as_the_whole(spark):
+    items = [" ".join(f"w{i}x{k}" for k in range(10)) for i in range(6)]
+    bench = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string")
+    rest = " ".join(f"z{k}" for k in range(13))
+    rows = [(10 * i + j, f"{items[i]} {items[j]} {rest}") for i in range(6) for j in range(i)]
+    split = [(" ".join(items[i].split()[:5]), items[j], " ".join(items[i].split()[5:])) for i in range(6) for j in range(6) if i != j]
+    rows += [(100 + k, f"{rest} {' '.join(s)} {rest}") for k, s in enumerate(split)] + [(500, rest), (501, None), (502, "")]
+    whole = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()}
+    parts = decontaminate.decontaminate(frame(spark, rows), bench, limit=200)
+    assert {r.doc_id: r.text for r in parts.collect()} == whole
+    assert parts.columns == frame(spark, rows).columns
+    assert min(k for k in whole) == 100  # 20 of 33 words are hit by two items
+    assert all(whole[100 + k].split() == rest.split() * 2 for k in range(len(split)))
+
+
+def test_cuts_go_on_until_nothing_is_hit():
+    windows = decontaminate.Windows([("1", b"a b")])
+    assert decontaminate.cut(b"a " * 200 + b"b " * 200, windows)[0].split() == []
+
+
 def brute_spans(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
     return {
