@@ -1,11 +1,13 @@
 """Links between 64-bit fingerprints of a small Hamming distance.
 
-A method gives each fingerprint a fixed number of blocking keys, such that any two fingerprints
-within the distance share one. One shuffle deals (key, fingerprint) out by key; a task sorts its
-rows and compares within equal keys, in numpy. A key of over GROUP fingerprints is not compared
-there: its rows are dealt anew as blocks of GROUP, each pair of blocks to a group of its own, so
-that many tasks share the work. Of the links found a task passes on a spanning forest, at most
-one edge a fingerprint, not the pairs.
+A method gives each fingerprint a number of blocking keys. One shuffle deals (key, node, fingerprint)
+out by buckets of keys, packed: a row holds what a batch has for a bucket. A task sorts its keys and
+compares within equal ones, in numpy. A key of over GROUP nodes is not compared there: its rows are
+dealt anew as blocks of GROUP, each pair of blocks to a group of its own, so that many tasks share
+the work. Of the links found a task passes on a spanning forest, at most one edge a node, not the pairs.
+
+Null keys, nodes and fingerprints are not allowed. Nodes that repeat under a key cost work only. An
+empty table gives no edges.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from meshwork.llm.components import forest
 from meshwork.llm.rows import saved
 
 GROUP = 512
+#: Keys that a task holds before it packs them.
+PACKED_KEYS = 1_000_000
+NONE = np.zeros(0, np.int64)
 
 
 def gathered(batches, n: int) -> list[np.ndarray]:
     """The partition's columns (all long) whole: its rows are what the shuffle dealt to one task."""
-    held: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(n)]
+    held: list[list[np.ndarray]] = [[NONE] for _ in range(n)]
     for batch in batches:
         for column, more in zip(held, batch.columns):
             column.append(more.to_numpy(zero_copy_only=False))
@@ -38,9 +43,9 @@ def ranges(size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
 
 
-def compare(first: np.ndarray, size: np.ndarray, fp: np.ndarray, key: np.ndarray, linked: Callable, block: np.ndarray | None = None):
-    """Pairs of rows in a group (rows first .. first+size-1) that are linked, as edges of a forest. With
-    block, only rows of different blocks."""
+def compare(first: np.ndarray, size: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray, linked: Callable, block: np.ndarray | None = None):
+    """Pairs of rows in a group (rows first .. first+size-1) that are linked, as edges of a forest of nodes.
+    With block, only rows of different blocks."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     place, whole = ranges(size), np.repeat(size, size)
@@ -55,61 +60,83 @@ def compare(first: np.ndarray, size: np.ndarray, fp: np.ndarray, key: np.ndarray
             a, b = a[block[a] != block[b]], b[block[a] != block[b]]
         ok = linked(fp[a], fp[b], key[a])
         if ok.any():
-            found.append((fp[a[ok]], fp[b[ok]]))
+            found.append((node[a[ok]], node[b[ok]]))
             held += int(ok.sum())
             if held > 2_000_000:
                 found = [forest(*(np.concatenate(x) for x in zip(*found)))]
                 held = len(found[0][0])
-    return forest(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return forest(*(np.concatenate(x) for x in zip(*found))) if found else (NONE, NONE)
 
 
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First row and size of each run of equal keys."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else NONE
     return first, np.diff(np.append(first, len(key)))
 
 
-def links(fps: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, group: int = GROUP, more: tuple[str, ...] = ()) -> DataFrame:
-    """fps: distinct fingerprints in a column fp (long). Edges a, b (long) with the same components as
-    the graph of all linked pairs that share a key. linked(fp, fp, key) tells for arrays. With more columns
-    to make keys from, keys gets them after fp, and gives pairs (rows, keys of these rows)."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """(bucket, packed): the columns of a bucket one after the other."""
+    columns = [np.concatenate(c) for c in zip(*held)]
+    key = columns[0].view(np.uint64)
+    bucket = ((key ^ key >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    first, size = groups(bucket)
+    rows = [b"".join(c[f : f + s].tobytes() for c in columns) for f, s in zip(first.tolist(), size.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+
+def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, group: int = GROUP, wide: int = 2) -> DataFrame:
+    """Edges a, b (nodes, long) with the same components as the graph of all linked pairs that share a key.
+    keys(*columns of rows) gives tuples of arrays (all int64): the keys and the nodes, which are the fingerprints
+    (wide = 2), or have them as a third array (wide = 3). linked(fp, fp, key) tells for arrays."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches):
+        held, size = [], 0
         for batch in batches:
-            for part in (batch.slice(k, 20_000) for k in range(0, batch.num_rows, 20_000)):
-                fp, *other = (c.to_numpy(zero_copy_only=False) for c in part.columns)
-                for got in keys(fp, *other):
-                    rows, key = got if more else (slice(None), got)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp[rows], pa.int64())], ["key", "fp"])
+            for got in keys(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
+                held.append(got)
+                size += len(got[0])
+            if size > PACKED_KEYS:
+                yield packed(held, 4 * n)
+                held, size = [], 0
+        if size:
+            yield packed(held, 4 * n)
 
     def first_look(batches):
-        key, fp = gathered(batches, 2)
+        held: list[list[np.ndarray]] = [[NONE] for _ in range(wide)]
+        for batch in batches:
+            for raw in batch.column(1):
+                got = np.frombuffer(raw.as_buffer(), np.int64).reshape(wide, -1)
+                for column, more in zip(held, got):
+                    column.append(more)
+        key, *other = (np.concatenate(c) for c in held)
         order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
+        key, node, fp = key[order], other[0][order], other[-1][order]
         first, size = groups(key)
         small = (size > 1) & (size <= group)
-        a, b = compare(first[small], size[small], fp, key, linked)
+        a, b = compare(first[small], size[small], key, node, fp, linked)
         zero = np.zeros(len(a), np.int64)
         names = ["a", "b", "key", "block", "blocks"]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, zero, zero, zero)], names)
         for f, s in zip(first[size > group].tolist(), size[size > group].tolist()):
             at = np.arange(s)
             blocks = -(-s // group)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (fp[f : f + s], fp[f : f + s], key[f : f + s], at // group, np.full(s, blocks))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node[f : f + s], fp[f : f + s], key[f : f + s], at // group, np.full(s, blocks))], names)
 
     def second_look(batches):
-        key, i, j, block, fp = gathered(batches, 5)
+        key, i, j, block, node, fp = gathered(batches, 6)
         order = np.lexsort((j, i, key))
-        key, i, j, block, fp = (x[order] for x in (key, i, j, block, fp))
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(key) else np.zeros(0, np.int64)
+        key, i, j, block, node, fp = (x[order] for x in (key, i, j, block, node, fp))
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(key) else NONE
         size = np.diff(np.append(first, len(key)))
         alone = i[first] == j[first]
         for some, of in ((alone, None), (~alone, block)):
-            a, b = compare(first[some], size[some], fp, key, linked, of)
+            a, b = compare(first[some], size[some], key, node, fp, linked, of)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    looked = saved(fps.select("fp", *more).mapInArrow(spread, "key long, fp long").repartition(n, "key").mapInArrow(first_look, "a long, b long, key long, block long, blocks long"), name)
-    large = looked.where("blocks > 0").select("key", "block", F.col("a").alias("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp").repartition(n, "key", "i", "j")
+    looked = saved(rows.mapInArrow(spread, "bucket int, packed binary").repartition(n, "bucket").mapInArrow(first_look, "a long, b long, key long, block long, blocks long"), name)
+    large = looked.where("blocks > 0").select("key", "block", F.col("a").alias("node"), F.col("b").alias("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "fp").repartition(n, "key", "i", "j")
     return looked.where("blocks = 0").select("a", "b").unionAll(dealt.mapInArrow(second_look, "a long, b long"))

@@ -71,9 +71,10 @@ def turned(x: np.ndarray, start: int) -> np.ndarray:
     return (x >> by) | (x << np.uint64(64 - WIDTH * start)) if start else x
 
 
-def ring_keys(fp: np.ndarray) -> list[np.ndarray]:
-    fp = fp.view(np.uint64)
-    return [((turned(fp, s) & mask) | np.uint64((s * 3 + c) << 40)).view(np.int64) for s in range(SEGMENTS) for c, mask in enumerate(MASKS)]
+def ring_keys(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, fingerprints), for each start and choice."""
+    ring = fp.view(np.uint64)
+    return [(((turned(ring, s) & mask) | np.uint64((s * 3 + c) << 40)).view(np.int64), fp) for s in range(SEGMENTS) for c, mask in enumerate(MASKS)]
 
 
 def ring_linked(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
