@@ -74,22 +74,23 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(key)))
 
 
-def packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
-    """(bucket, packed): the columns of a bucket one after the other."""
+def packed(held: list[tuple[np.ndarray, ...]], buckets: int, kinds: tuple) -> pa.RecordBatch:
+    """(bucket, packed): the columns of a bucket one after the other, as these kinds of numbers."""
     columns = [np.concatenate(c) for c in zip(*held)]
     key = columns[0].view(np.uint64)
     bucket = ((key ^ key >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
+    bucket, columns = bucket[order], [c[order].astype(kind) for c, kind in zip(columns, kinds)]
     first, size = groups(bucket)
     rows = [b"".join(c[f : f + s].tobytes() for c in columns) for f, s in zip(first.tolist(), size.tolist())]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
 
-def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, group: int = GROUP, wide: int = 2) -> DataFrame:
+def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, group: int = GROUP, kinds: tuple = (np.int64, np.int64)) -> DataFrame:
     """Edges a, b (nodes, long) with the same components as the graph of all linked pairs that share a key.
-    keys(*columns of rows) gives tuples of arrays (all int64): the keys and the nodes, which are the fingerprints
-    (wide = 2), or have them as a third array (wide = 3). linked(fp, fp, key) tells for arrays."""
+    keys(*columns of rows) gives tuples of int64 arrays: the keys and the nodes, which are the fingerprints or
+    have them as a third array. kinds: how these are dealt out; keys of np.uint32 keep their low bits, beside
+    the bucket that the whole key chose. linked(fp, fp, key) tells for arrays."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches):
@@ -99,18 +100,20 @@ def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.n
                 held.append(got)
                 size += len(got[0])
             if size > PACKED_KEYS:
-                yield packed(held, 4 * n)
+                yield packed(held, 4 * n, kinds)
                 held, size = [], 0
         if size:
-            yield packed(held, 4 * n)
+            yield packed(held, 4 * n, kinds)
 
     def first_look(batches):
-        held: list[list[np.ndarray]] = [[NONE] for _ in range(wide)]
+        held: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in kinds]
+        widths = [np.dtype(kind).itemsize for kind in kinds]
         for batch in batches:
-            for raw in batch.column(1):
-                got = np.frombuffer(raw.as_buffer(), np.int64).reshape(wide, -1)
-                for column, more in zip(held, got):
-                    column.append(more)
+            for raw in batch.column(1).to_pylist():
+                size, at = len(raw) // sum(widths), 0
+                for column, kind, width in zip(held, kinds, widths):
+                    column.append(np.frombuffer(raw, kind, size, at))
+                    at += size * width
         key, *other = (np.concatenate(c) for c in held)
         order = np.argsort(key, kind="stable")
         key, node, fp = key[order], other[0][order], other[-1][order]
@@ -123,7 +126,7 @@ def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.n
         for f, s in zip(first[size > group].tolist(), size[size > group].tolist()):
             at = np.arange(s)
             blocks = -(-s // group)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node[f : f + s], fp[f : f + s], key[f : f + s], at // group, np.full(s, blocks))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node[f : f + s], fp[f : f + s], key[f : f + s].astype(np.int64), at // group, np.full(s, blocks))], names)
 
     def second_look(batches):
         key, i, j, block, node, fp = gathered(batches, 6)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.sources.storage import saved, shared_folder, table  # noqa: F401
@@ -62,6 +63,13 @@ def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished steps lie on the executors' disks until the driver's garbage collector
+    finds that nothing refers to them; this asks for a collection, after a step that shuffled much."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores in front until df has no such column."""
     taken = {c.lower() for c in df.columns}
