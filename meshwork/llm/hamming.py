@@ -43,7 +43,7 @@ def ranges(size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
 
 
-def compare(first: np.ndarray, size: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray, linked: Callable, block: np.ndarray | None = None):
+def compare(first: np.ndarray, size: np.ndarray, key: np.ndarray, node: np.ndarray, more: list[np.ndarray], linked: Callable, block: np.ndarray | None = None):
     """Pairs of rows in a group (rows first .. first+size-1) that are linked, as edges of a forest of nodes.
     With block, only rows of different blocks."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -58,7 +58,7 @@ def compare(first: np.ndarray, size: np.ndarray, key: np.ndarray, node: np.ndarr
         a, b = row, row + k
         if block is not None:
             a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-        ok = linked(fp[a], fp[b], key[a])
+        ok = linked([x[a] for x in more], [x[b] for x in more], key[a])
         if ok.any():
             found.append((node[a[ok]], node[b[ok]]))
             held += int(ok.sum())
@@ -86,60 +86,98 @@ def packed(held: list[tuple[np.ndarray, ...]], buckets: int, kinds: tuple) -> pa
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
 
-def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str, group: int = GROUP, kinds: tuple = (np.int64, np.int64)) -> DataFrame:
-    """Edges a, b (nodes, long) with the same components as the graph of all linked pairs that share a key.
-    keys(*columns of rows) gives tuples of int64 arrays: the keys and the nodes, which are the fingerprints or
-    have them as a third array. kinds: how these are dealt out; keys of np.uint32 keep their low bits, beside
-    the bucket that the whole key chose. linked(fp, fp, key) tells for arrays."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def spread(keys: Callable[..., Iterable], kinds: tuple, buckets: int) -> Callable:
+    """For mapInArrow: the packed keys of its rows."""
 
-    def spread(batches):
+    def run(batches):
         held, size = [], 0
         for batch in batches:
             for got in keys(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
                 held.append(got)
                 size += len(got[0])
             if size > PACKED_KEYS:
-                yield packed(held, 4 * n, kinds)
+                yield packed(held, buckets, kinds)
                 held, size = [], 0
         if size:
-            yield packed(held, 4 * n, kinds)
+            yield packed(held, buckets, kinds)
+
+    return run
+
+
+def unpacked(batches, kinds: tuple) -> list[np.ndarray]:
+    """The columns of a partition of packed keys, sorted by key."""
+    held: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in kinds]
+    widths = [np.dtype(kind).itemsize for kind in kinds]
+    for batch in batches:
+        for raw in batch.column(1).to_pylist():
+            size, at = len(raw) // sum(widths), 0
+            for column, kind, width in zip(held, kinds, widths):
+                column.append(np.frombuffer(raw, kind, size, at))
+                at += size * width
+    columns = [np.concatenate(c) for c in held]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def dealt(rows: DataFrame, keys: Callable[..., Iterable], kinds: tuple) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.mapInArrow(spread(keys, kinds, 4 * n), "bucket int, packed binary").repartition(n, "bucket")
+
+
+def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[list, list, np.ndarray], np.ndarray], name: str, group: int = GROUP, kinds: tuple = (np.int64, np.int64)) -> DataFrame:
+    """Edges a, b (nodes, long) with the same components as the graph of all linked pairs that share a key.
+    keys(*columns of rows) gives tuples of arrays: the keys, the nodes, and what linked needs further. kinds: the
+    numbers as which these are dealt out; keys of np.uint32 keep their low bits, beside the bucket that the whole
+    key chose. linked(rows, rows, key) tells for pairs of rows, each a list of arrays: what came after the key and
+    the node, or the node if that was all."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = [f"p{k}" for k in range(max(1, len(kinds) - 2))]
+    edge = ", ".join(f"{c} long" for c in ("a", "key", "block", "blocks", *more))
+
+    def batch(columns, names) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in columns], names)
 
     def first_look(batches):
-        held: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in kinds]
-        widths = [np.dtype(kind).itemsize for kind in kinds]
-        for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                size, at = len(raw) // sum(widths), 0
-                for column, kind, width in zip(held, kinds, widths):
-                    column.append(np.frombuffer(raw, kind, size, at))
-                    at += size * width
-        key, *other = (np.concatenate(c) for c in held)
-        order = np.argsort(key, kind="stable")
-        key, node, fp = key[order], other[0][order], other[-1][order]
+        key, node, *other = unpacked(batches, kinds)
+        other = other or [node]
         first, size = groups(key)
         small = (size > 1) & (size <= group)
-        a, b = compare(first[small], size[small], key, node, fp, linked)
+        a, b = compare(first[small], size[small], key, node, other, linked)
+        names = ["a", "key", "block", "blocks", *more]
         zero = np.zeros(len(a), np.int64)
-        names = ["a", "b", "key", "block", "blocks"]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, zero, zero, zero)], names)
+        yield batch([a, zero, zero, zero, b, *[zero] * (len(more) - 1)], names)
         for f, s in zip(first[size > group].tolist(), size[size > group].tolist()):
-            at = np.arange(s)
-            blocks = -(-s // group)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node[f : f + s], fp[f : f + s], key[f : f + s].astype(np.int64), at // group, np.full(s, blocks))], names)
+            yield batch([node[f : f + s], key[f : f + s], np.arange(s) // group, np.full(s, -(-s // group)), *(x[f : f + s] for x in other)], names)
 
     def second_look(batches):
-        key, i, j, block, node, fp = gathered(batches, 6)
+        key, i, j, block, node, *other = gathered(batches, 5 + len(more))
         order = np.lexsort((j, i, key))
-        key, i, j, block, node, fp = (x[order] for x in (key, i, j, block, node, fp))
+        key, i, j, block, node, *other = (x[order] for x in (key, i, j, block, node, *other))
+        other = [x.astype(kind) for x, kind in zip(other, kinds[2:] or (np.int64,))]
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(key) else NONE
         size = np.diff(np.append(first, len(key)))
         alone = i[first] == j[first]
         for some, of in ((alone, None), (~alone, block)):
-            a, b = compare(first[some], size[some], key, node, fp, linked, of)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield batch(compare(first[some], size[some], key, node, other, linked, of), ["a", "b"])
+
+    looked = saved(dealt(rows, keys, kinds).mapInArrow(first_look, edge), name)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    large = looked.where("blocks > 0").select("key", "block", "a", *more, blocks)
+    pairs = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", *more).repartition(n, "key", "i", "j")
+    return looked.where("blocks = 0").select("a", F.col("p0").alias("b")).unionAll(pairs.mapInArrow(second_look, "a long, b long"))
+
+
+def partnered(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[list, list, np.ndarray], np.ndarray], kinds: tuple, group: int = GROUP) -> DataFrame:
+    """node (long): the nodes that share a key with another one to which they are linked, perhaps several times;
+    and all nodes of a key that has over GROUP."""
+
+    def look(batches):
+        key, node, *other = unpacked(batches, kinds)
+        other = other or [node]
+        first, size = groups(key)
+        small = (size > 1) & (size <= group)
+        a, b = compare(first[small], size[small], key, node, other, linked)
+        whole = np.repeat(first[size > group], size[size > group]) + ranges(size[size > group])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b, node[whole]])))], ["node"])
 
-    looked = saved(rows.mapInArrow(spread, "bucket int, packed binary").repartition(n, "bucket").mapInArrow(first_look, "a long, b long, key long, block long, blocks long"), name)
-    large = looked.where("blocks > 0").select("key", "block", F.col("a").alias("node"), F.col("b").alias("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "fp").repartition(n, "key", "i", "j")
-    return looked.where("blocks = 0").select("a", "b").unionAll(dealt.mapInArrow(second_look, "a long, b long"))
+    return dealt(rows, keys, kinds).mapInArrow(look, "node long")

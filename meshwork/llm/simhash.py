@@ -77,9 +77,9 @@ def ring_keys(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(((turned(ring, s) & mask) | np.uint64((s * 3 + c) << 40)).view(np.int64), fp) for s in range(SEGMENTS) for c, mask in enumerate(MASKS)]
 
 
-def ring_linked(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+def ring_linked(a: list[np.ndarray], b: list[np.ndarray], key: np.ndarray) -> np.ndarray:
     """Whether all chains from the key's start stay within their budgets; the last one is the whole ring."""
-    differs = a.view(np.uint64) ^ b.view(np.uint64)
+    differs = a[0].view(np.uint64) ^ b[0].view(np.uint64)
     by = (key.view(np.uint64) >> np.uint64(40)) // np.uint64(3) * np.uint64(WIDTH)
     ring = (differs >> by) | (differs << ((np.uint64(64) - by) & np.uint64(63)))
     ok = np.bitwise_count(ring & CHAINS[4][0]) <= CHAINS[4][1]

@@ -47,7 +47,7 @@ def test_ring_keys_miss_no_link():
         for k in flips:
             b ^= np.uint64(1 << int(k))
         a, b = a.view(np.int64), b.view(np.int64)
-        met = any(x[0] == y[0] and simhash.ring_linked(a, b, x)[0] for (x, _), (y, _) in zip(simhash.ring_keys(a), simhash.ring_keys(b)))
+        met = any(x[0] == y[0] and simhash.ring_linked([a], [b], x)[0] for (x, _), (y, _) in zip(simhash.ring_keys(a), simhash.ring_keys(b)))
         assert met == (len(flips) <= 3)
 
 
