@@ -7,8 +7,10 @@ length takes linear time.
 
 Base kinds, leftmost and non-overlapping within a kind: email, ip (four parts of at most
 255), card (13 to 19 digits passing Luhn), phone (9 to 15 digits). Further kinds, found by
-cues and added only where no base span lies: url, iban (mod 97), account (digits or groups
-after an account cue), secret (a value after a credential cue, or a key with a known prefix).
+cues at the border of a word, and left out where they lie in a base span: url, iban (mod 97),
+account (digits or groups after an account cue), secret (the value assigned to a credential's
+name, with blanks and quotes or without; a key of a known form; a private key block) and address
+(house number and street of four languages, with postcode and town if they follow).
 
 Null and empty texts have no spans. Rows are independent: repeated rows give repeated
 results, an empty table gives an empty one, columns other than the two named are ignored.
@@ -26,15 +28,17 @@ from pyspark.sql import functions as F
 from meshwork.llm.rows import id_type, keyed, map_slices, strings
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("url", "iban", "account", "secret")
+MORE_KINDS = ("url", "iban", "account", "secret", "address")
 KINDS = BASE_KINDS + MORE_KINDS
 
-# Cue words, in lower case.
+# Cue words, in lower case but for the key beginnings.
 SCHEMES = ("http://", "https://", "ftp://")
 IBAN_CUES = ("iban",)
-ACCOUNT_CUES = ("account number", "account no", "acct no", "kontonummer", "numéro de compte", "número de cuenta", "ssn", "passport no")
-SECRET_CUES = ("password=", "passwd=", "api_key=", "apikey=", "secret=", "token=")
-KEY_PREFIXES = ("AKIA",)
+ACCOUNT_CUES = ("account number", "account no", "acct no", "kontonummer", "numéro de compte", "número de cuenta", "ssn", "social security number", "passport no", "passport number")
+SECRET_CUES = ("password", "passwd", "pwd", "passwort", "secret", "token", "api_key", "api-key", "apikey", "api key", "access_key", "access key", "private_key", "auth_key", "bearer")
+KEY_BEGINNINGS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp-", "AIza", "eyJ", "sk_live_", "sk-")
+KEY_BLOCK = "-----BEGIN "
+STREET_CUES = ("street", "avenue", "road", "boulevard", "lane", "drive", "st.", "ave.", "rd.", "straße", "strasse", "str.", "rue", "calle", "avenida", "plaza", "paseo", "chemin")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 QUAD = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -43,8 +47,25 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s<>\"']+")
 IBAN_BODY = re.compile(r"[ :#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 ACCOUNT_BODY = re.compile(r"[ :#.]{0,4}([0-9](?:[ -]?[0-9]){5,33})(?![0-9])")
-SECRET_BODY = re.compile(r"[^\s,;\"']{6,}")
-KEY_BODY = re.compile(r"[0-9A-Z]{16}(?![0-9A-Z])")
+#: After a credential's name: perhaps a closing quote, a sign of assignment, perhaps an opening quote, the value.
+SECRET_BODY = re.compile(r"""["']?[ \t]{0,3}(?:[:=]|=>|:=)[ \t]{0,3}(?:(["'])([^\s"']{6,})\1|([^\s,;"'<>]{8,}))""")
+BEARER_BODY = re.compile(r"[ \t]{1,3}([A-Za-z0-9._~+/-]{16,}=*)")
+KEY_BODY = re.compile(r"[A-Za-z0-9_.-]{16,}")
+BLOCK_REST = re.compile(r"[A-Z ]{0,40}PRIVATE KEY-----")
+TOWN = r"(?:,? [0-9]{5} [A-ZÄÖÜÉÈÀÑ][\w'-]{1,30}(?: [A-ZÄÖÜÉÈÀÑ][\w'-]{1,30})?)?"
+NAMES = r"[A-ZÄÖÜÉÈÀÑ][\w'.-]{0,30}(?: [A-ZÄÖÜÉÈÀÑ][\w'.-]{0,30}){0,3}"
+OF = r"(?:(?:de la|de l'|del|des|de|du|d'|la|le|los|las) ?){0,2}"
+#: House number and names before a street's word, and what may follow; then forms with the street's word in front.
+BEFORE_STREET = re.compile(r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'.-]{0,30} ){1,4}\Z")
+AFTER_STREET = re.compile(r"(?:,? (?:Apt|Suite|Unit|Floor)\.? ?[0-9A-Za-z]{1,6})?(?:,? [A-Z][\w'-]{1,30}(?: [A-Z][\w'-]{1,30})?,? [A-Z]{2} [0-9]{5}(?:-[0-9]{4})?)?")
+GERMAN_NAME = re.compile(r"(?<!\w)[A-ZÄÖÜ][\wäöüß-]{0,40}\Z")
+GERMAN_WORD = re.compile(r"(?<!\w)[A-ZÄÖÜ][\wäöüß.-]{1,40} \Z")
+GERMAN_REST = re.compile(r" [0-9]{1,4}[a-z]?(?!\w)" + TOWN)
+NUMBER_BEFORE = re.compile(r"(?<![\w.,-])[0-9]{1,4}(?: (?:bis|ter))?,? \Z")
+FRENCH_REST = re.compile(" " + OF + NAMES + TOWN)
+SPANISH_REST = re.compile(" " + OF + NAMES + r",? (?:n\.?º ?)?[0-9]{1,4}(?!\w)" + TOWN)
+#: Characters before a street's word that are looked at.
+REACH = 140
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
 
@@ -54,9 +75,9 @@ def anchors():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, words in (("at", "@"), ("plus", "+"), ("digit", "0123456789"), ("url", SCHEMES), ("iban", IBAN_CUES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("key", KEY_PREFIXES)):
+    for kind, words in (("at", "@"), ("plus", "+"), ("digit", "0123456789"), ("url", SCHEMES), ("iban", IBAN_CUES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("key", KEY_BEGINNINGS), ("block", (KEY_BLOCK,)), ("street", STREET_CUES)):
         for word in words:
-            for form in {word, word.upper(), word.capitalize()}:
+            for form in {word, word.upper(), word.capitalize()} if kind not in ("key", "block") else {word}:
                 found.add_word(form, (kind, len(form)))
     found.make_automaton()
     return found
@@ -75,6 +96,48 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def secret_value(text: str, at: int, after: int) -> tuple[int, int] | None:
+    """What is assigned to a credential's name; outside quotes it has a digit or a sign, or is no word of a language."""
+    if text[at:after].lower() == "bearer":
+        m = BEARER_BODY.match(text, after)
+        return m.span(1) if m and any(c in DIGITS for c in m[1]) else None
+    m = SECRET_BODY.match(text, after)
+    if not m:
+        return None
+    if m[1]:
+        return m.span(2)
+    value = m[3].rstrip(".:!?)")
+    return (m.start(3), m.start(3) + len(value)) if len(value) >= 8 and not value.isalpha() else None
+
+
+def key_value(text: str, at: int, after: int) -> tuple[int, int] | None:
+    m = KEY_BODY.match(text, after)
+    if not m:
+        return None
+    begin, n = text[at:after], len(m[0])
+    ok = {"AKIA": n == 16, "ASIA": n == 16, "eyJ": m[0].count(".") == 2}.get(begin, n >= 20) and any(c in DIGITS for c in m[0])
+    return (at, m.end()) if ok else None
+
+
+def address(text: str, at: int, after: int) -> tuple[int, int] | None:
+    word, low = text[at:after].lower(), max(0, at - REACH)
+    if word in ("straße", "strasse", "str."):
+        tied = at and (text[at - 1].isalnum() or text[at - 1] == "-")
+        begin = GERMAN_NAME.search(text, low, at) if tied else GERMAN_WORD.search(text, low, at) if text[at].isupper() else None
+        m = GERMAN_REST.match(text, after) if begin else None
+        return (begin.start(), m.end()) if m else None
+    if at and text[at - 1].isalnum():
+        return None
+    if word in ("calle", "avenida", "plaza", "paseo"):
+        m = SPANISH_REST.match(text, after)
+        return (at, m.end()) if m else None
+    if word in ("rue", "avenue", "boulevard", "chemin") and (begin := NUMBER_BEFORE.search(text, low, at)) and (m := FRENCH_REST.match(text, after)):
+        return begin.start(), m.end()
+    if text[at].isupper() and (after == len(text) or not text[after].isalnum()) and (begin := BEFORE_STREET.search(text, low, at)):
+        return begin.start(), AFTER_STREET.match(text, after).end()
+    return None
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Their union, as disjoint spans in order."""
     out: list[tuple[int, int]] = []
@@ -122,21 +185,30 @@ def find(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
             cues.append((kind, at, last + 1))
     if cues:
         taken = merged([s for k in BASE_KINDS for s in out[k]])
-        free = lambda begin, end: not ((i := bisect_right(taken, (end - 1, len(text)))) and taken[i - 1][1] > begin)
-        ends = dict.fromkeys(MORE_KINDS, 0)
+        inside = lambda begin, end: (i := bisect_right(taken, (begin, len(text)))) and taken[i - 1][1] >= end
+        ends, no_end = dict.fromkeys(MORE_KINDS, 0), False
         for kind, at, after in cues:
             to, span = kind, None
-            if kind == "url" and (m := URL_REST.match(text, after)):
+            border = not at or not text[at - 1].isalnum()
+            if kind == "street":
+                to, span = "address", address(text, at, after)
+            elif not border:
+                continue
+            elif kind == "url" and (m := URL_REST.match(text, after)):
                 span = (at, after + len(m[0].rstrip(".,;:!?)")))
             elif kind == "iban" and (m := IBAN_BODY.match(text, after)) and iban_valid(m[1]):
                 span = m.span(1)
             elif kind == "account" and (m := ACCOUNT_BODY.match(text, after)):
                 span = m.span(1)
-            elif kind == "secret" and (m := SECRET_BODY.match(text, after)):
-                span = m.span()
-            elif kind == "key" and (m := KEY_BODY.match(text, after)):
-                to, span = "secret", (at, m.end())
-            if span and span[0] >= ends[to] and span[1] > span[0] and free(*span):
+            elif kind == "secret":
+                span = secret_value(text, at, after)
+            elif kind == "key":
+                to, span = "secret", key_value(text, at, after)
+            elif kind == "block" and not no_end and (m := BLOCK_REST.match(text, after)):
+                to, end = "secret", text.find("-----END " + m[0], m.end())
+                no_end = end < 0
+                span = None if no_end else (at, end + len("-----END " + m[0]))
+            if span and span[0] >= ends[to] and span[1] > span[0] and not inside(*span):
                 ends[to] = span[1]
                 out[to].append(span)
     return out

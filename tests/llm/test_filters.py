@@ -105,6 +105,45 @@ def test_more_spans_and_redaction(spark):
     assert left[0].text.startswith("see [URL], iban: [IBAN]") and left[0].text.endswith("[EMAIL]") and left[1].text is None
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('x token = "f32ab9ba2834a0d390df92664b1272635dbc0ec6" y', {"secret": ["f32ab9ba2834a0d390df92664b1272635dbc0ec6"]}),
+        ('{"api_key": "Zq81mmPw"} password: hunter2x, Password=protected', {"secret": ["Zq81mmPw", "hunter2x"]}),
+        ("client_secret=abcd1234efgh; tokenizer = fast; secret: nothinghere; a token of 12345678", {"secret": ["abcd1234efgh"]}),
+        ("Authorization: Bearer abc.def-123456789xyz0; the bearer of a letter", {"secret": ["abc.def-123456789xyz0"]}),
+        ("-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- -----BEGIN PRIVATE KEY-----", {"secret": ["-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"]}),
+        ("At 221 Baker Street, Springfield, IL 62704 now. Main Street is long. 5 Oak Ave. ok", {"address": ["221 Baker Street, Springfield, IL 62704", "5 Oak Ave."]}),
+        ("Hauptstraße 12, 10115 Berlin und Lange Straße 5b; auf die Straße 3 mal", {"address": ["Hauptstraße 12, 10115 Berlin", "Lange Straße 5b"]}),
+        ("12 rue de la Paix, 75002 Paris. Calle Mayor 14, 28013 Madrid. la rue est", {"address": ["12 rue de la Paix, 75002 Paris", "Calle Mayor 14, 28013 Madrid"]}),
+        ("my ssn 123-45-6789; lessn 123-45-6789", {"account": ["123-45-6789"]}),
+    ],
+)
+def test_cues_and_their_borders(text, want):
+    assert {k: [text[b:e] for b, e in v] for k, v in pii.find(text, pii.anchors()).items() if v} == want
+
+
+@pytest.mark.parametrize("piece", ['token = "', "1 A ", "Street ", "12 rue ", "Calle ", "A", "-----BEGIN PRIVATE KEY-----", "Aa "])
+def test_long_texts_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    pii.find(piece * (200_000 // len(piece)) + "Street", pii.anchors())
+    assert time.time() - began < 10
+
+
+def test_planted_secrets_of_the_table(spark):
+    """Quoted hexadecimal values of credentials are found, and nothing is added where no cue stands."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(docs)).select("doc_id", "spans").collect()}
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    planted = {i: [m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', t)] for i, t in text.items()}
+    assert sum(map(len, planted.values())) >= 10
+    for i, spans in planted.items():
+        got = [tuple(map(int, x.split(":")[1:])) for x in found[i].split(",") if x and x.split(":")[0] not in pii.BASE_KINDS]
+        assert got == spans
+
+
 def test_pii_digest_on_edges(spark):
     rows = texts() + [(500, "x@y.zz " * 3), (501, "7" * 50_000), (502, "a" * 50_000 + "@")]
     got = pii.digest(pii.find_pii(frame(spark, rows))).collect()
