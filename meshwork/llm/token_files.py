@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,11 @@ FRAME_BYTES = 1 << 20
 FRAMES_A_READER = 64
 CACHED_PARTS = 800_000
 #: Bytes of text encoded at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
+#: Characters of a chunk up to which its ids are kept.
+CACHED_LENGTH = 64
+#: What the last token of a run of letters ends in.
+END = "</w>"
 #: Signs and letters of Latin-1 that end in a letter, then ASCII punctuation.
 WORD_AND_SIGNS = re.compile("([\x21-\x7e\xa1-\xac\xae-\xff]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-/:-@\\[-`{-~]*)")
 #: Chunks on which a tokenizer has to show that parts can be encoded apart.
@@ -48,7 +53,8 @@ class ChunkEncoder(dict):
     """Part of a chunk of text between blanks -> its ids as bytes, by the tokenizers library. The tokenizer drops
     white space, lowers case and parts letters from other signs before it looks for pairs, and none
     of its tokens spans any of these borders; so the ids of a text are those of its chunks, and
-    those of a chunk that ends in punctuation are its letters' and its punctuation's."""
+    those of a chunk that ends in punctuation are its letters' and its punctuation's. The last token of a
+    run of letters, and no other one, ends in END, so that many runs can be encoded at once."""
 
     def __init__(self, path: str):
         import os
@@ -57,7 +63,10 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = all(self.tokenizer.encode(c, add_special_tokens=False).ids == [i for p in self.split(c) for i in self.tokenizer.encode(p, add_special_tokens=False).ids] for c in PROBES)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
+        self.parts = all(self.one(c) == [i for p in self.split(c) for i in self.one(p)] for c in PROBES)
 
     @staticmethod
     def split(chunk: str) -> tuple[str, str]:
@@ -65,20 +74,49 @@ class ChunkEncoder(dict):
         m = WORD_AND_SIGNS.fullmatch(chunk)
         return (m[1].lower(), m[2]) if m and "<|" not in chunk else (chunk, "")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, asked: list[str]) -> None:
+        letters = [c for c in asked if c.isalpha()]
+        for begin in range(0, len(letters), 5_000):
+            some = letters[begin : begin + 5_000]
+            ids = np.array(self.one(" ".join(some)), "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) == len(some):  # else the library sees other letters than Python
+                raw = ids.tobytes()
+                self.update((c, raw[b:e]) for c, b, e in zip(some, [0, *ends.tolist()], ends.tolist()))
+        left = [c for c in asked if c not in self]
+        for begin in range(0, len(left), 5_000):
+            some = left[begin : begin + 5_000]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self[c] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """texts: strings without nulls."""
         if len(self) > CACHED_PARTS:
             self.clear()
         self[""] = b""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = [c for c in set().union(*chunks) if c not in self]
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = chunks.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [c for c in known if c not in self]
         parts = list(map(self.split, fresh)) if self.parts else [(c, "") for c in fresh]
-        asked = [p for p in set(chain.from_iterable(parts)) if p not in self]
-        for begin in range(0, len(asked), 5_000):
-            some = asked[begin : begin + 5_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-        self.update((c, self[core] + self[tail]) for c, (core, tail) in zip(fresh, parts))
-        return [b"".join(map(self.__getitem__, c)) for c in chunks]
+        self.learn([p for p in set(chain.from_iterable(parts)) if p not in self])
+        self.update((c, self[core] + self[tail]) for c, (core, tail) in zip(fresh, parts) if tail or core != c)
+        found = list(map(self.__getitem__, known))
+        for c in fresh:
+            if len(c) > CACHED_LENGTH:
+                del self[c]
+        # The ids of every chunk in its place, by the chunk's number.
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lens) - lens
+        index = words.indices.to_numpy(zero_copy_only=False)
+        size = lens[index]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = pool[np.repeat(at[index] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        edges = ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()].tolist()
+        return [ids[b:e].tobytes() for b, e in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -207,7 +245,7 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
                     draft = f"{root}/_draft-{context.taskAttemptId()}-{name}"
                     out = store.open_output_stream(draft, compression=None)
                     writer = ShardWriter(out, part.column(0).type)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(strings(part.column(1)))):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(pa.array(strings(part.column(1)), pa.large_string()))):
                     writer.add(doc, ids + tail)
         if writer is not None:
             writer.close()
@@ -243,11 +281,11 @@ def read_tokens(manifest: DataFrame, id_kind: str = "long", only: DataFrame | No
                 with store.open_input_file(at) as file:
                     shard = ShardReader(file, file.size())
                     mine = np.flatnonzero((shard.frame >= row["first"]) & (shard.frame < row["first"] + FRAMES_A_READER))
-                    ids = shard.ids.to_pylist()
                     if wanted is not None:
-                        mine = [k for k in mine if ids[k] in wanted]
+                        mine = mine[[shard.ids[int(k)].as_py() in wanted for k in mine]]
+                    ids = dict(zip(mine.tolist(), shard.ids.take(pa.array(mine)).to_pylist()))
                     held, size = [], 0
-                    for k, raw in shard.documents(mine):
+                    for k, raw in shard.documents(mine.tolist()):
                         held.append((ids[k], row["start"] + int(shard.starts[k]), raw))
                         size += len(raw)
                         if size > 8 << 20:
