@@ -2,40 +2,54 @@
 (Kiveris and others, "Connected Components in MapReduce and Beyond", 2014).
 
 Every step is a grouped minimum, which Spark combines before the shuffle, and a join of the edges
-with one minimum per node, whose hot nodes adaptive execution can split; no node's neighbours are
-ever gathered. Each round is written to the shared folder, which cuts the lineage.
+with one minimum per node; no node's neighbours are ever gathered. A node with over one HOT-th of all
+edges, of which there are fewer than 2 * HOT, gets its minimum by broadcast, so that its edges stay where
+they are. Each round is written to the shared folder, which cuts the lineage; counts for the test of
+convergence are taken while it is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meshwork.sources.storage import saved
 
 MOST_ROUNDS = 60
+HOT = 256
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges: columns a and b. Returns node, root for each node with an edge to another one, the root
     itself left out; root is the smallest node of the component. Null ends and loops are ignored;
     edges may repeat, in either direction."""
-    now = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now, mark = marked(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     for _ in range(MOST_ROUNDS):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == before or mark[0] == 0:
+        if mark == before or not mark["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
-        now = saved(small_star(large_star(now)), name)
+        now, mark = marked(small_star(large_star(now, mark["n"] / HOT)), name)
     raise RuntimeError(f"no fixpoint after {MOST_ROUNDS} rounds")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to the smallest of the node and its neighbours. a > b."""
+def marked(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """edges, saved, and their number and a sum of their hashes."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    return saved(watched, name), seen.get
+
+
+def large_star(edges: DataFrame, hot: float) -> DataFrame:
+    """Each node's larger neighbours are tied to the smallest of the node and its neighbours. a > b.
+    hot: the number of edges above which a node's minimum is broadcast."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "degree")
+    up = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    hubs = least.where(F.col("degree") > hot).select("u", F.col("m").alias("hub"))
+    split = up.join(F.broadcast(hubs), "u", "left")
+    far = split.where("hub is null").join(least.where(F.col("degree") <= hot).select("u", "m"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return far.unionAll(split.where("hub is not null").select(F.col("v").alias("a"), F.col("hub").alias("b")))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -43,4 +57,3 @@ def small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     down = edges.join(least.select(F.col("a").alias("u"), "m"), F.col("a") == F.col("u")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return down.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-
