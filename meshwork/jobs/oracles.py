@@ -6,28 +6,36 @@ from __future__ import annotations
 LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
 
-def bonds(modulus: int, where: str = "true") -> str:
+CASE = "CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) * 1000000 + l_orderkey // 15000"
+
+
+def bonds(modulus: int) -> str:
     return f"""
 rows0 AS (
-  SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) AS case_id, CAST(o_custkey % {modulus} AS BIGINT) AS molecule_a,
-         CAST({modulus} + l_partkey % {modulus} AS BIGINT) AS molecule_b, {LINES}
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {where}
+  SELECT {CASE} AS case_id, o_custkey % {modulus} AS key_a, l_partkey % {modulus} AS key_b, {LINES} FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), rows1 AS (
-  SELECT *, row_number() OVER (PARTITION BY case_id, molecule_a ORDER BY {LINES}) AS arm_a FROM rows0
+  SELECT case_id, key_a, key_b, row_number() OVER (PARTITION BY case_id, key_a ORDER BY {LINES}) - 1 AS rank_a, row_number() OVER (PARTITION BY case_id, key_b ORDER BY {LINES}) - 1 AS rank_b FROM rows0
 ), rows2 AS (
-  SELECT *, row_number() OVER (PARTITION BY case_id, molecule_b ORDER BY {LINES}) AS arm_b FROM rows1 WHERE arm_a <= 4
-), bonds AS (
-  SELECT case_id, molecule_a, molecule_b, 4 * molecule_a + arm_a - 1 AS endpoint_a, 4 * molecule_b + arm_b - 1 AS endpoint_b,
-         row_number() OVER (PARTITION BY case_id ORDER BY 4 * molecule_a + arm_a, 4 * molecule_b + arm_b) - 1 AS bond_id
-  FROM rows2 WHERE arm_b <= 4
-), pairs AS (
-  SELECT case_id, molecule_a, molecule_b, count(*) AS multiplicity FROM bonds GROUP BY ALL
+  SELECT case_id, 2 * (rank_a // 4 * {modulus} + key_a) AS molecule_a, 2 * (rank_b // 4 * {modulus} + key_b) + 1 AS molecule_b, rank_a, rank_b FROM rows1
+), bonds AS MATERIALIZED (
+  SELECT case_id, molecule_a, molecule_b, 4 * molecule_a + rank_a % 4 AS endpoint_a, 4 * molecule_b + rank_b % 4 AS endpoint_b,
+         row_number() OVER (PARTITION BY case_id ORDER BY 4 * molecule_a + rank_a % 4) - 1 AS bond_id FROM rows2
+), pairs AS MATERIALIZED (
+  SELECT case_id, least(molecule_a, molecule_b) AS molecule_a, greatest(molecule_a, molecule_b) AS molecule_b, count(*) AS multiplicity FROM bonds GROUP BY ALL
 ), molecules AS (
   SELECT case_id, CAST(m AS BIGINT) AS molecule FROM (SELECT DISTINCT case_id FROM bonds), range(0, {2 * modulus}) AS t(m)
+  UNION SELECT case_id, molecule_a FROM bonds UNION SELECT case_id, molecule_b FROM bonds
 )"""
 
 
-DENSE, SPARSE = bonds(16), bonds(96, "l_linenumber = 1")
+DENSE, SPARSE = bonds(16), bonds(800)
+
+FAULTY = f"""{SPARSE}, faulty AS (
+  SELECT case_id, bond_id, CASE WHEN bond_id % 53 = 7 THEN endpoint_b WHEN bond_id % 59 = 11 THEN 3 ELSE endpoint_a END AS endpoint_a,
+         CASE WHEN bond_id % 53 = 7 THEN endpoint_a ELSE endpoint_b END AS endpoint_b,
+         CASE WHEN bond_id % 61 = 13 THEN molecule_a + 2 WHEN bond_id % 67 = 17 THEN molecule_a + 1 ELSE molecule_a END AS molecule_a, molecule_b
+  FROM bonds WHERE bond_id % 97 <> 41
+)"""
 
 NETWORK = f"""{SPARSE}, degrees AS (
   SELECT m.case_id, m.molecule, count(e.molecule) AS bond_degree FROM molecules m
@@ -66,9 +74,10 @@ NETWORK = f"""{SPARSE}, degrees AS (
 
 SITES = """sites AS (
   SELECT *, (x * 24 + y) * 24 + z AS site, (x * 24 + y) * 24 + z AS endpoint FROM (
-    SELECT l_partkey % 24 AS x, (7 * l_suppkey + l_orderkey) % 24 AS y, (l_orderkey // 5) % 24 AS z, CASE WHEN l_returnflag = 'N' THEN 'A' ELSE 'B' END AS type,
-           row_number() OVER (PARTITION BY l_partkey % 24, (7 * l_suppkey + l_orderkey) % 24, (l_orderkey // 5) % 24 ORDER BY %s) AS k
-    FROM lineitem WHERE l_linenumber = 1) WHERE k = 1
+    SELECT l_orderkey // 3000 AS case_id, l_partkey % 24 AS x, (7 * l_suppkey + l_orderkey) % 24 AS y, (l_orderkey // 5) % 24 AS z, CASE WHEN l_returnflag = 'N' THEN 'A' ELSE 'B' END AS type,
+           row_number() OVER (PARTITION BY l_orderkey // 3000, l_partkey % 24, (7 * l_suppkey + l_orderkey) % 24, (l_orderkey // 5) % 24 ORDER BY %s) AS k,
+           count(*) OVER (PARTITION BY l_orderkey // 3000, l_partkey % 24, (7 * l_suppkey + l_orderkey) % 24, (l_orderkey // 5) % 24) AS lines
+    FROM lineitem) WHERE k = 1
 )""".replace("%s", LINES)
 
 SAMPLES = """samples AS (
@@ -82,6 +91,12 @@ SAMPLES = """samples AS (
 )"""
 
 
+GRID = """grid AS (
+  SELECT size, phi, i AS index, 'L' || CAST(size AS VARCHAR) || '_phi' || phi || '_i' || lpad(CAST(i AS VARCHAR), 6, '0') AS case_id
+  FROM (SELECT DISTINCT CAST(8 * p_size AS BIGINT) AS size FROM part), (SELECT DISTINCT printf('0.%04d', c_custkey % 10000) AS phi FROM customer), range(0, 3) AS t(i)
+)"""
+
+
 def spread(x: str, name: str) -> str:
     return f"count({x}) AS {name}_n, round(avg({x}), 9) AS {name}_mean, round(stddev_samp({x}), 9) AS {name}_sd, round(stddev_samp({x}) / sqrt(count({x})), 9) AS {name}_se"
 
@@ -89,7 +104,7 @@ def spread(x: str, name: str) -> str:
 def prefixes(source: str, value: str, order: str) -> str:
     return f"""SELECT segment, region, first_n, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(stddev_samp(v) / sqrt(count(v)), 9) AS se
 FROM (SELECT *, {value} AS v, row_number() OVER (PARTITION BY segment, region ORDER BY {order}) AS k, count(*) OVER (PARTITION BY segment, region) AS most FROM {source}) s
-JOIN (VALUES (5), (10), (20), (50), (100), (200), (500), (1000)) AS c(first_n) ON k <= first_n AND first_n <= most GROUP BY ALL"""
+JOIN (VALUES ('5'), ('10'), ('20'), ('50'), ('100'), ('200'), ('500'), ('1000'), ('all')) AS c(first_n) ON first_n = 'all' OR (k <= TRY_CAST(first_n AS BIGINT) AND TRY_CAST(first_n AS BIGINT) <= most) GROUP BY ALL"""
 
 
 def cycle_joins(length: int) -> str:
@@ -126,9 +141,9 @@ NAMED = "WITH RECURSIVE "
 ORACLES = {
     "pair_multiplicity": f"WITH {DENSE} SELECT * FROM pairs",
     "multiplicity_hist": f"WITH {DENSE} SELECT case_id, {', '.join(f'count(*) FILTER (multiplicity = {k}) AS h{k}' for k in range(1, 5))}, CAST(sum(multiplicity) AS BIGINT) AS bonds FROM pairs GROUP BY ALL",
-    "h2_fractions": f"""WITH {DENSE} SELECT case_id, 32 AS molecules, bonds, h2, round(h2 / 13824, 9) AS h2_per_volume, round(h2 / bonds, 9) AS h2_per_bond,
-round(2 * h2 / bonds, 9) AS h2_endpoint_fraction_bonded, round(h2 / 32, 9) AS h2_endpoint_fraction_all
-FROM (SELECT case_id, CAST(sum(multiplicity) AS BIGINT) AS bonds, count(*) FILTER (multiplicity = 2) AS h2 FROM pairs GROUP BY ALL)""",
+    "h2_fractions": f"""WITH {DENSE} SELECT case_id, molecules, bonds, h2, round(h2 / 13824, 9) AS h2_per_volume, round(h2 / bonds, 9) AS h2_per_bond,
+round(2 * h2 / bonds, 9) AS h2_endpoint_fraction_bonded, round(h2 / molecules, 9) AS h2_endpoint_fraction_all
+FROM (SELECT case_id, CAST(sum(multiplicity) AS BIGINT) AS bonds, count(*) FILTER (multiplicity = 2) AS h2 FROM pairs GROUP BY ALL) JOIN (SELECT case_id, count(*) AS molecules FROM molecules GROUP BY ALL) USING (case_id)""",
     "molecule_degree": f"{NAMED}{NETWORK} SELECT * FROM degrees",
     "isolated_count": f"{NAMED}{NETWORK} SELECT case_id, count(*) FILTER (bond_degree = 0) AS isolated FROM degrees GROUP BY ALL",
     "components_members": f"{NAMED}{NETWORK} SELECT p.case_id, p.molecule, s.cluster_id, s.molecule_count AS cluster_size, d.bond_degree FROM parts p JOIN summary s USING (case_id, root) JOIN degrees d USING (case_id, molecule)",
@@ -148,9 +163,9 @@ count(*) FILTER (tied) AS largest_tie_count, min(cluster_id) FILTER (is_largest)
     "cluster_histogram": f"{NAMED}{NETWORK} SELECT case_id, molecule_count AS size, count(*) AS count FROM summary GROUP BY ALL",
     "cluster_h2": f"{NAMED}{NETWORK} SELECT case_id, cluster_id, size, bonds, h2, round(h2 / size, 9) AS endpoint_fraction_all, round(CASE WHEN bonds > 0 THEN 2 * h2 / bonds END, 9) AS endpoint_fraction_bonded FROM doubles",
     "size_bins": f"{NAMED}{NETWORK} SELECT * FROM bins",
-    "size_relation": f"""{NAMED}{NETWORK} SELECT case_id // 100 AS condition, scope, size_low, size_high, count(*) AS samples_with_bin, CAST(sum(cluster_count) AS BIGINT) AS clusters,
+    "size_relation": f"""{NAMED}{NETWORK} SELECT case_id // 100000000 AS condition, scope, size_low, size_high, count(*) AS samples_with_bin, CAST(sum(cluster_count) AS BIGINT) AS clusters,
 {spread('fraction_mean', 'fraction')}, any_value(total) AS total_samples
-FROM bins JOIN (SELECT case_id // 100 AS c, count(DISTINCT case_id) AS total FROM bonds GROUP BY ALL) ON c = case_id // 100 GROUP BY ALL""",
+FROM bins JOIN (SELECT case_id // 100000000 AS c, count(DISTINCT case_id) AS total FROM bonds GROUP BY ALL) ON c = case_id // 100000000 GROUP BY ALL""",
     "presence_counts": f"""{NAMED}{NETWORK}, grid AS (
 SELECT * FROM (SELECT DISTINCT case_id FROM doubles), (VALUES ('all'), ('exclude_one_largest')) AS t(scope), (SELECT DISTINCT size_low, size_high FROM binned)
 ), filled AS (SELECT g.case_id, g.scope, g.size_low, g.size_high, count(b.size) FILTER (b.h2 = 0) AS without_h2, count(b.size) FILTER (b.h2 > 0) AS with_h2
@@ -166,11 +181,11 @@ own AS (SELECT DISTINCT case_id, least(p, q) AS molecule_a, greatest(p, q) AS mo
 sums AS (SELECT case_id, CAST(sum(multiplicity) AS BIGINT) AS cycle_bonds FROM own JOIN pairs USING (case_id, molecule_a, molecule_b) GROUP BY ALL)
 SELECT b.case_id, b.bonds, coalesce(cycle_bonds, 0) AS cycle_bonds, round(coalesce(cycle_bonds, 0) / b.bonds, 9) AS bond_share FROM (SELECT case_id, count(*) AS bonds FROM bonds GROUP BY ALL) b LEFT JOIN sums USING (case_id)""",
     "two_core": f"WITH {SPARSE}, {two_core_rounds(40)}",
-    "stencil_candidates": f"WITH {SITES} SELECT a.endpoint AS endpoint_a, b.endpoint AS endpoint_b, abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) AS distance FROM sites a JOIN sites b ON a.endpoint < b.endpoint AND a.type <> b.type AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 2",
+    "stencil_candidates": f"WITH {SITES} SELECT a.case_id, a.endpoint AS endpoint_a, b.endpoint AS endpoint_b, abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) AS distance FROM sites a JOIN sites b ON a.case_id = b.case_id AND a.x BETWEEN b.x - 2 AND b.x + 2 AND a.endpoint < b.endpoint AND a.type <> b.type AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 2",
     "stencil_stats": f"""WITH {SITES}, d AS (SELECT unnest(range(-2, 3)) AS v), o AS (SELECT p.v AS dx, q.v AS dy, r.v AS dz FROM d p, d q, d r WHERE abs(p.v) + abs(q.v) + abs(r.v) BETWEEN 1 AND 2)
-SELECT count(*) AS offsets_tested, count(*) FILTER (x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 AND z + dz BETWEEN 0 AND 23) AS site_lookups FROM sites, o""",
-    "endpoint_decode": f"WITH {SITES} SELECT endpoint, endpoint // 4 AS molecule, endpoint % 4 AS arm FROM sites",
-    "site_coord_roundtrip": f"WITH {SITES} SELECT site, x, y, z, site AS again FROM sites",
+SELECT case_id, count(*) AS offsets_tested, count(*) FILTER (x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 AND z + dz BETWEEN 0 AND 23) AS site_lookups FROM sites, o GROUP BY ALL""",
+    "endpoint_decode": f"WITH {SITES} SELECT case_id, endpoint, endpoint // 4 AS molecule, endpoint % 4 AS arm FROM sites",
+    "site_coord_roundtrip": f"WITH {SITES} SELECT case_id, site, x, y, z, site AS again FROM sites",
     "condition_summary": f"WITH {SAMPLES} SELECT segment, region, count(*) AS samples, {spread('h / n', 'share')}, {spread('n', 'n')}, min(n) AS n_min, max(n) AS n_max FROM samples GROUP BY ALL",
     "mean_of_ratios_vs_pooled": f"WITH {SAMPLES} SELECT segment, region, round(avg(h / n), 9) AS mean_of_ratios, round(sum(h) / sum(n), 9) AS pooled_ratio FROM samples GROUP BY ALL",
     "null_safe_ratio": f"WITH {SAMPLES} SELECT sample, round(CASE WHEN h > 0 THEN n / h END, 9) AS ratio FROM samples",
@@ -183,25 +198,25 @@ min(region) FILTER (region > peak_region AND share_mean >= 0.33) AS high_region
     "resource_summary": """SELECT o_orderpriority AS grp, count(*) AS attempted, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus = 'P') AS incomplete,
 count(*) FILTER (o_orderstatus = 'O') AS open_ones, round(median(o_totalprice) FILTER (o_orderstatus = 'F'), 9) AS median_value, min(o_totalprice) FILTER (o_orderstatus = 'F') AS least_value,
 max(o_totalprice) FILTER (o_orderstatus = 'F') AS most_value FROM orders GROUP BY ALL""",
-    "bond_violations": f"""WITH {SPARSE}, ends AS (SELECT case_id, endpoint_a AS e FROM bonds UNION ALL SELECT case_id, endpoint_b FROM bonds),
-reused AS (SELECT case_id, count(*) FILTER (n > 1) AS bad FROM (SELECT case_id, e, count(*) AS n FROM ends GROUP BY ALL) GROUP BY ALL)
-SELECT case_id, 'order' AS rule, count(*) FILTER (endpoint_a >= endpoint_b) AS bad_count FROM bonds GROUP BY ALL
-UNION ALL SELECT case_id, 'owner', count(*) FILTER (endpoint_a // 4 <> molecule_a OR endpoint_b // 4 <> molecule_b) FROM bonds GROUP BY ALL
-UNION ALL SELECT case_id, 'type', count(*) FILTER (molecule_a >= 96 OR molecule_b < 96) FROM bonds GROUP BY ALL
-UNION ALL SELECT case_id, 'numbering', max(bond_id) + 1 - count(*) FROM bonds GROUP BY ALL
+    "bond_violations": f"""WITH {FAULTY}, ends AS (SELECT case_id, endpoint_a AS e FROM faulty UNION ALL SELECT case_id, endpoint_b FROM faulty),
+reused AS (SELECT case_id, count(*) FILTER (n > 1) AS bad FROM (SELECT case_id, e, count(*) AS n FROM ends GROUP BY ALL) GROUP BY ALL),
+wide AS (SELECT case_id, count(*) AS n FROM (SELECT case_id, least(molecule_a, molecule_b) AS p, greatest(molecule_a, molecule_b) AS q, count(*) AS m FROM faulty GROUP BY ALL) WHERE m > 4 GROUP BY ALL)
+SELECT case_id, 'order' AS rule, count(*) FILTER (endpoint_a >= endpoint_b) AS bad_count FROM faulty GROUP BY ALL
+UNION ALL SELECT case_id, 'owner', count(*) FILTER (endpoint_a // 4 <> molecule_a OR endpoint_b // 4 <> molecule_b) FROM faulty GROUP BY ALL
+UNION ALL SELECT case_id, 'type', count(*) FILTER (molecule_a % 2 <> 0 OR molecule_b % 2 <> 1) FROM faulty GROUP BY ALL
+UNION ALL SELECT case_id, 'numbering', max(bond_id) + 1 - count(*) FROM faulty GROUP BY ALL
 UNION ALL SELECT case_id, 'endpoint_reuse', bad FROM reused
-UNION ALL SELECT case_id, 'multiplicity', count(*) FILTER (multiplicity > 4) FROM pairs GROUP BY ALL""",
+UNION ALL SELECT case_id, 'multiplicity', coalesce(n, 0) FROM (SELECT DISTINCT case_id FROM faulty) LEFT JOIN wide USING (case_id)""",
     "coverage_check": """WITH c AS (SELECT c_custkey, c_mktsegment AS segment, CAST(n_nationkey AS BIGINT) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey),
-expected AS (SELECT DISTINCT segment, nation FROM c WHERE c_custkey % 7 = 0), found AS (SELECT DISTINCT segment, nation FROM c JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P')
+expected AS (SELECT DISTINCT segment, nation FROM c), found AS (SELECT DISTINCT segment, nation FROM c JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P')
 SELECT segment, nation, 'missing' AS problem FROM (SELECT * FROM expected EXCEPT SELECT * FROM found) UNION ALL SELECT segment, nation, 'unknown' FROM (SELECT * FROM found EXCEPT SELECT * FROM expected)""",
     "duplicate_check": "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "reconciliation": """WITH l AS (SELECT l_orderkey AS key, CASE WHEN bool_and(l_linestatus <> 'O') THEN 'F' WHEN bool_and(l_linestatus <> 'F') THEN 'O' ELSE 'P' END AS status FROM lineitem GROUP BY ALL)
 SELECT coalesce(o_orderkey, key) AS key, o_orderstatus AS a_status, status AS b_status FROM orders FULL JOIN l ON key = o_orderkey WHERE o_orderstatus IS DISTINCT FROM status""",
     "value_reconciliation": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS lines FROM lineitem GROUP BY ALL)
 SELECT o_orderpriority AS priority, count(*) FILTER (abs(o_totalprice - lines) <= greatest(0.25 * greatest(abs(o_totalprice), abs(lines)), 1.0)) AS near, count(*) AS orders FROM orders JOIN l ON l_orderkey = o_orderkey GROUP BY ALL""",
-    "grid_plan": "SELECT CAST(8 * (1 + r_regionkey) AS BIGINT) AS size, printf('0.%02d', n_nationkey + 10) AS phi, i AS index, 'L' || CAST(8 * (1 + r_regionkey) AS VARCHAR) || '_phi' || printf('0.%02d', n_nationkey + 10) || '_i' || lpad(CAST(i AS VARCHAR), 6, '0') AS case_id FROM region, nation, range(0, 3) AS t(i)",
-    "derived_seeds": """WITH g AS (SELECT 'L' || CAST(8 * (1 + r_regionkey) AS VARCHAR) || '_phi' || printf('0.%02d', n_nationkey + 10) || '_i' || lpad(CAST(i AS VARCHAR), 6, '0') AS case_id,
-sha256('study:' || CAST(8 * (1 + r_regionkey) AS VARCHAR) || ':' || printf('0.%02d', n_nationkey + 10) || ':' || CAST(i AS VARCHAR)) AS d FROM region, nation, range(0, 3) AS t(i))
+    "grid_plan": f"WITH {GRID} SELECT size, phi, index, case_id FROM grid",
+    "derived_seeds": f"""WITH {GRID}, g AS (SELECT case_id, sha256('study:' || CAST(size AS VARCHAR) || ':' || phi || ':' || CAST(index AS VARCHAR)) AS d FROM grid)
 SELECT case_id, CAST(CAST('0x' || substr(d, 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM g""",
     "resume_antijoin": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "group_union": "SELECT o_custkey AS key, count(*) AS runs, min(o_orderstatus || '_' || CAST(o_orderkey AS VARCHAR)) AS first_run, count(DISTINCT o_orderstatus) AS groups FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL",

@@ -124,7 +124,7 @@ def size_bins(spark, folder):
 @query
 def size_relation(spark, folder):
     net = Network(spark, folder)
-    conditions = net.bonds.select("case_id").distinct().withColumn("condition", F.expr("case_id div 100"))
+    conditions = net.bonds.select("case_id").distinct().withColumn("condition", F.expr(f"case_id div {100 * views.CASES}"))
     return stats.size_relation(stats.size_bins(net.doubles()), conditions)
 
 
@@ -162,23 +162,23 @@ def two_core(spark, folder):
 
 @query
 def stencil_candidates(spark, folder):
-    return spatial.candidates(views.sites(spark, folder), views.LATTICE)
+    return spatial.candidates(views.sites(spark, folder), views.LATTICE, ("case_id",))
 
 
 @query
 def stencil_stats(spark, folder):
-    return spatial.search_effort(views.sites(spark, folder), views.LATTICE)
+    return spatial.search_effort(views.sites(spark, folder), views.LATTICE, ("case_id",))
 
 
 @query
 def endpoint_decode(spark, folder):
-    return views.sites(spark, folder).select("endpoint", F.expr("endpoint div 4").alias("molecule"), F.pmod("endpoint", F.lit(4)).cast("long").alias("arm"))
+    return views.sites(spark, folder).select("case_id", "endpoint", F.expr("endpoint div 4").alias("molecule"), F.pmod("endpoint", F.lit(4)).cast("long").alias("arm"))
 
 
 @query
 def site_coord_roundtrip(spark, folder):
     n = views.LATTICE
-    rows = views.sites(spark, folder).select("site", F.expr(f"site div {n * n}").alias("x"), F.expr(f"site div {n} % {n}").alias("y"), F.expr(f"site % {n}").cast("long").alias("z"))
+    rows = views.sites(spark, folder).select("case_id", "site", F.expr(f"site div {n * n}").alias("x"), F.expr(f"site div {n} % {n}").alias("y"), F.expr(f"site % {n}").cast("long").alias("z"))
     return rows.withColumn("again", (F.col("x") * n + F.col("y")) * n + F.col("z"))
 
 
@@ -249,14 +249,14 @@ def resource_summary(spark, folder):
 
 @query
 def bond_violations(spark, folder):
-    return constraints.bond_violations(views.sparse(spark, folder), views.SPARSE)
+    return constraints.bond_violations(views.faulty(spark, folder))
 
 
 @query
 def coverage_check(spark, folder):
     """Conditions of customers that no sample has, and the other way round."""
     customers = table(spark, folder, "customer").join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    expected = customers.where("c_custkey % 7 = 0").select(F.col("c_mktsegment").alias("segment"), F.col("n_nationkey").cast("long").alias("nation"))
+    expected = customers.select(F.col("c_mktsegment").alias("segment"), F.col("n_nationkey").cast("long").alias("nation"))
     orders = table(spark, folder, "orders").where("o_orderstatus = 'P'").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return constraints.coverage(orders.select(F.col("c_mktsegment").alias("segment"), F.col("n_nationkey").cast("long").alias("nation")), expected, ["segment", "nation"])
 
@@ -284,10 +284,10 @@ def value_reconciliation(spark, folder):
 
 @query
 def grid_plan(spark, folder):
-    """Sizes by fractions by replicates; sizes from regions, fractions from nations."""
-    sizes = table(spark, folder, "region").select((8 * (1 + F.col("r_regionkey"))).cast("long").alias("size"))
-    phis = table(spark, folder, "nation").select(F.format_string("0.%02d", F.col("n_nationkey") + 10).alias("phi"))
-    plan = sizes.crossJoin(phis).withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    """Sizes of the parts by fractions of the customers by replicates; the sizes, at most fifty, go along as an array."""
+    sizes = table(spark, folder, "part").agg(F.array_sort(F.collect_set((8 * F.col("p_size")).cast("long"))).alias("sizes"))
+    phis = table(spark, folder, "customer").select(F.format_string("0.%04d", F.col("c_custkey") % 10_000).alias("phi")).distinct()
+    plan = phis.join(F.broadcast(sizes)).withColumn("size", F.explode("sizes")).withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return plan.select("size", "phi", "index", F.concat(F.lit("L"), F.col("size"), F.lit("_phi"), F.col("phi"), F.lit("_i"), F.lpad(F.col("index").cast("string"), 6, "0")).alias("case_id"))
 
 

@@ -10,6 +10,8 @@ convergence are taken while it is written.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -17,6 +19,48 @@ from meshwork.sources.storage import saved
 
 MOST_ROUNDS = 60
 HOT = 256
+#: Edges that a task contracts at once.
+EDGES_AT_ONCE = 1_000_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components with at most one edge a node: (node, smallest node of its component)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[i], label[j])
+        for ends in (i, j, label[i], label[j]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges a, b (long) with the same components: a forest for every so many edges of a partition."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            columns = [np.concatenate(c) for c in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(*columns)], ["a", "b"])
+
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size > EDGES_AT_ONCE:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return edges.select("a", "b").where("a is not null and b is not null").mapInArrow(run, "a long, b long")
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -12,12 +12,12 @@ from meshwork.operators.graph import pairs
 ARMS = 4
 
 
-def bond_violations(bonds: DataFrame, modulus: int) -> DataFrame:
-    """case_id, rule, bad_count, for every case and rule."""
+def bond_violations(bonds: DataFrame) -> DataFrame:
+    """case_id, rule, bad_count, for every case and rule. Molecules of type A have even numbers."""
     per_row = bonds.groupBy("case_id").agg(
         F.count_if(F.col("endpoint_a") >= F.col("endpoint_b")).alias("order"),
         F.count_if((F.expr(f"endpoint_a div {ARMS}") != F.col("molecule_a")) | (F.expr(f"endpoint_b div {ARMS}") != F.col("molecule_b"))).alias("owner"),
-        F.count_if((F.col("molecule_a") >= modulus) | (F.col("molecule_b") < modulus)).alias("type"),
+        F.count_if((F.col("molecule_a") % 2 != 0) | (F.col("molecule_b") % 2 != 1)).alias("type"),
         (F.max("bond_id") + 1 - F.count("*")).alias("numbering"),
     )
     ends = bonds.select("case_id", F.explode(F.array("endpoint_a", "endpoint_b")).alias("endpoint"))

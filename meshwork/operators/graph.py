@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded
-from meshwork.operators.components import connected
+from meshwork.operators.components import connected, contracted
 
 #: Molecules of a case have numbers below this; a node of all cases is case_id * NODES + molecule.
 NODES = 1 << 24
 
 
 def node(molecule: str) -> Column:
-    return F.col("case_id") * NODES + F.col(molecule)
+    """Fails on a molecule whose number would reach into another case."""
+    beyond = F.raise_error(F.format_string("molecule %d of a case", F.col(molecule))).cast("long")
+    return F.when(F.col(molecule).isNull() | F.col(molecule).between(0, NODES - 1), F.col("case_id") * NODES + F.col(molecule)).otherwise(beyond)
 
 
 def pairs(bonds: DataFrame) -> DataFrame:
@@ -51,16 +53,23 @@ def degrees(bonds: DataFrame, molecules: DataFrame) -> DataFrame:
 
 def members(bonds: DataFrame, molecules: DataFrame) -> DataFrame:
     """case_id, molecule, root (the component's smallest molecule). Isolated molecules are their own root."""
-    found = connected(bonds.select(node("molecule_a").alias("a"), node("molecule_b").alias("b")), "clusters")
+    edges = bonds.select(node("molecule_a").alias("a"), node("molecule_b").alias("b"))
+    # Neighbouring molecules of a case come together, so that a task finds most of its components on its own.
+    near = contracted(edges.repartition(F.shiftright("a", 16)))
+    found = connected(near, "clusters")
     at = molecules.withColumn("node", node("molecule")).join(found, "node", "left")
     return at.select("case_id", "molecule", (F.coalesce("root", "node") - F.col("case_id") * NODES).alias("root"))
 
 
 def clusters(bonds: DataFrame, parts: DataFrame) -> DataFrame:
-    """case_id, root, cluster_id (dense, by smallest molecule), molecule_count, bond_count."""
+    """case_id, root, cluster_id (dense, by smallest molecule), molecule_count, bond_count. A bond counts for the
+    cluster that has both its ends; it fails on one whose ends the parts put into two."""
     sizes = parts.groupBy("case_id", "root").agg(F.count("*").cast("long").alias("molecule_count"))
-    joined = bonds.join(parts.withColumnRenamed("molecule", "molecule_a"), ["case_id", "molecule_a"])
-    counts = joined.groupBy("case_id", "root").agg(F.count("*").cast("long").alias("bond_count"))
+    ends = bonds
+    for side in "ab":
+        ends = ends.join(parts.select("case_id", F.col("molecule").alias(f"molecule_{side}"), F.col("root").alias(f"root_{side}")), ["case_id", f"molecule_{side}"])
+    agreed = F.when(F.col("root_a") == F.col("root_b"), F.col("root_a")).otherwise(F.raise_error(F.lit("a bond between two clusters")).cast("long"))
+    counts = ends.select("case_id", agreed.alias("root")).groupBy("case_id", "root").agg(F.count("*").cast("long").alias("bond_count"))
     dense_id = (F.dense_rank().over(Window.partitionBy("case_id").orderBy("root")) - 1).cast("long")
     return sizes.join(counts, ["case_id", "root"], "left").fillna(0, ["bond_count"]).withColumn("cluster_id", dense_id)
 
@@ -72,7 +81,6 @@ def cluster_members(parts: DataFrame, summary: DataFrame, degree: DataFrame) ->
 
 def network_summary(summary: DataFrame) -> DataFrame:
     """Per case: molecules, bonds, clusters, largest and second largest size, isolated molecules, largest share."""
-    sizes = F.sort_array(F.collect_list("n"), asc=False)
     # Sizes are counted first: a case's list has one entry per distinct size.
     counts = summary.groupBy("case_id", "molecule_count").agg(F.count("*").alias("n"), F.sum("bond_count").alias("b"))
     top = counts.groupBy("case_id").agg(

@@ -32,12 +32,14 @@ def probes(endpoints: DataFrame, keys: list[str]) -> DataFrame:
 def candidates(endpoints: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, endpoint_a < endpoint_b, distance, of endpoints of different types and, where the frame has a
     column molecule, of different molecules."""
-    keys = list(keys)
-    here = endpoints.select(*keys, F.col("endpoint").alias("endpoint_b"), F.col("type").alias("type_b"), "x", "y", "z")
-    met = probes(endpoints, keys).where(inside(size, "x", "y", "z")).join(here, [*keys, "x", "y", "z"])
+    keys, own = list(keys), [c for c in ("molecule",) if c in endpoints.columns]
+    here = endpoints.select(*keys, F.col("endpoint").alias("endpoint_b"), F.col("type").alias("type_b"), *(F.col(c).alias(f"{c}_b") for c in own), "x", "y", "z")
+    met = probes(endpoints, [*keys, *own]).where(inside(size, "x", "y", "z")).join(here, [*keys, "x", "y", "z"])
+    for c in own:
+        met = met.where(F.col(c) != F.col(f"{c}_b"))
     return met.where((F.col("endpoint") < F.col("endpoint_b")) & (F.col("type") != F.col("type_b"))).select(*keys, F.col("endpoint").alias("endpoint_a"), "endpoint_b", "distance")
 
 
-def search_effort(endpoints: DataFrame, size: int) -> DataFrame:
-    """offsets_tested, site_lookups (those inside)."""
-    return probes(endpoints, []).agg(F.count("*").cast("long").alias("offsets_tested"), F.count_if(inside(size, "x", "y", "z")).cast("long").alias("site_lookups"))
+def search_effort(endpoints: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, offsets_tested, site_lookups (those inside)."""
+    return probes(endpoints, list(keys)).groupBy(*keys).agg(F.count("*").cast("long").alias("offsets_tested"), F.count_if(inside(size, "x", "y", "z")).cast("long").alias("site_lookups"))

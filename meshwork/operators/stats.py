@@ -86,14 +86,18 @@ CHECKPOINTS = (5, 10, 20, 50, 100, 200, 500, 1000)
 
 
 def convergence(samples: DataFrame, value, order: list, checkpoints: tuple[int, ...] = CHECKPOINTS) -> DataFrame:
-    """Statistics of the first n samples of a condition, for each checkpoint it reaches. The first n are
-    taken before undefined values are dropped. A running frame is read at the checkpoints, so a sample is
-    used once, not once a checkpoint."""
+    """Statistics of the first n samples of a condition, for each checkpoint it reaches, and of all of them
+    (first_n 'all'). The first n are taken before undefined values are dropped. Only the samples up to the last
+    checkpoint are sorted: a limit within groups, which Spark applies before it shuffles; a running frame is
+    read at the checkpoints, so a sample is used once, not once a checkpoint."""
     by = Window.partitionBy("segment", "region").orderBy(*order)
     run = by.rowsBetween(Window.unboundedPreceding, 0)
-    v = samples.withColumn("v", value).withColumn("k", F.row_number().over(by))
-    stats = v.select("segment", "region", F.col("k").cast("long").alias("first_n"), F.count("v").over(run).cast("long").alias("n"), F.avg("v").over(run).alias("m"), F.stddev_samp("v").over(run).alias("s"))
-    return stats.where(F.col("first_n").isin(*checkpoints)).select("segment", "region", "first_n", "n", rounded(F.col("m")).alias("mean"), rounded(F.col("s")).alias("sd"), rounded(F.col("s") / F.sqrt("n")).alias("se"))
+    v = samples.withColumn("v", value)
+    first = v.withColumn("k", F.row_number().over(by)).where(F.col("k") <= max(checkpoints))
+    stats = first.select("segment", "region", F.col("k").cast("string").alias("first_n"), F.count("v").over(run).cast("long").alias("n"), F.avg("v").over(run).alias("m"), F.stddev_samp("v").over(run).alias("s"))
+    every = v.groupBy("segment", "region").agg(F.lit("all").alias("first_n"), F.count("v").cast("long").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    rows = stats.where(F.col("first_n").isin(*map(str, checkpoints))).unionByName(every)
+    return rows.select("segment", "region", "first_n", "n", rounded(F.col("m")).alias("mean"), rounded(F.col("s")).alias("sd"), rounded(F.col("s") / F.sqrt("n")).alias("se"))
 
 
 def peaks(summary: DataFrame) -> DataFrame:

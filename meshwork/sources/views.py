@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.sources.storage import table
@@ -10,28 +10,30 @@ from meshwork.sources.storage import table
 #: (l_orderkey, l_linenumber) repeats; only all columns tell rows apart.
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 ARMS = 4
-DENSE, SPARSE = 16, 96
+#: Keys a side that a case's molecules have: few make many parallel bonds and cycles, many make small clusters.
+DENSE, SPARSE = 16, 800
 LATTICE = 24
-
-
-def bonds(spark: SparkSession, folder: str, modulus: int, first_lines: bool = False) -> DataFrame:
-    """case_id, bond_id, endpoint_a, endpoint_b, molecule_a, molecule_b. Each endpoint has one bond at most;
-    a's lie below the modulus, b's from there on."""
-    lines = table(spark, folder, "lineitem")
-    if first_lines:
-        lines = lines.where("l_linenumber = 1")
-    rows = lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("long").alias("case_id"),
-        (F.col("o_custkey") % modulus).cast("long").alias("molecule_a"),
-        (modulus + F.col("l_partkey") % modulus).cast("long").alias("molecule_b"),
-        *LINE_ORDER,
-    )
-    # Row limits within windows are pushed below the shuffle, so a group sends its first rows only.
-    rank = lambda side: F.row_number().over(Window.partitionBy("case_id", side).orderBy(*LINE_ORDER))
-    rows = rows.withColumn("arm_a", rank("molecule_a")).where(F.col("arm_a") <= ARMS)
-    rows = rows.withColumn("arm_b", rank("molecule_b")).where(F.col("arm_b") <= ARMS)
-    ends = rows.select("case_id", "molecule_a", "molecule_b", *((ARMS * F.col(f"molecule_{s}") + F.col(f"arm_{s}") - 1).cast("long").alias(f"endpoint_{s}") for s in "ab"))
-    number = F.row_number().over(Window.partitionBy("case_id").orderBy("endpoint_a", "endpoint_b"))
+#: Orders of a block; cases are months by blocks, so that there are more of them, not larger ones, in larger tables.
+BLOCK = 15_000
+CASES = 1_000_000
+
+
+def case_id(day: str, order: str) -> Column:
+    return (F.year(day) * 100 + F.month(day)).cast("long") * CASES + F.expr(f"{order} div {BLOCK}")
+
+
+def bonds(spark: SparkSession, folder: str, modulus: int) -> DataFrame:
+    """case_id, bond_id, endpoint_a, endpoint_b, molecule_a, molecule_b: every line is a bond. The lines of a case
+    with one key fill a molecule's arms, then those of a further molecule of that key, so each endpoint has one
+    bond. Molecules of type A have even numbers, those of type B odd ones."""
+    rows = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        case_id("l_shipdate", "l_orderkey").alias("case_id"), (F.col("o_custkey") % modulus).alias("key_a"), (F.col("l_partkey") % modulus).alias("key_b"), *LINE_ORDER,
+    )
+    for side in "ab":
+        rows = rows.withColumn(f"rank_{side}", (F.row_number().over(Window.partitionBy("case_id", f"key_{side}").orderBy(*LINE_ORDER)) - 1).cast("long"))
+    molecule = {s: (2 * (F.expr(f"rank_{s} div {ARMS}") * modulus + F.col(f"key_{s}")) + odd).cast("long") for odd, s in enumerate("ab")}
+    ends = rows.select("case_id", *(molecule[s].alias(f"molecule_{s}") for s in "ab"), *((ARMS * molecule[s] + F.col(f"rank_{s}") % ARMS).alias(f"endpoint_{s}") for s in "ab"))
+    number = F.row_number().over(Window.partitionBy("case_id").orderBy("endpoint_a"))
     return ends.select("case_id", (number - 1).cast("long").alias("bond_id"), "endpoint_a", "endpoint_b", "molecule_a", "molecule_b")
 
 
@@ -40,25 +42,45 @@ def dense(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, folder: str) -> DataFrame:
-    return bonds(spark, folder, SPARSE, first_lines=True)
+    return bonds(spark, folder, SPARSE)
 
 
 def molecules(bond_rows: DataFrame, modulus: int) -> DataFrame:
-    """case_id, molecule: all that each case could hold, with or without bonds."""
-    return bond_rows.select("case_id").distinct().select("case_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * modulus - 1).cast("long"))).alias("molecule"))
+    """case_id, molecule: one of each key and type, with or without bonds, and the further ones that have bonds."""
+    every = bond_rows.select("case_id").distinct().select("case_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * modulus - 1).cast("long"))).alias("molecule"))
+    more = bond_rows.select("case_id", F.explode(F.array("molecule_a", "molecule_b")).alias("molecule")).where(F.col("molecule") >= 2 * modulus)
+    return every.unionAll(more.distinct())
+
+
+def faulty(spark: SparkSession, folder: str) -> DataFrame:
+    """The sparse bonds with faults that follow from their numbers: other owners, reused and swapped endpoints, gaps."""
+    rows = sparse(spark, folder)
+    k = F.col("bond_id")
+    return rows.where(k % 97 != 41).select(
+        "case_id",
+        "bond_id",
+        F.when(k % 53 == 7, F.col("endpoint_b")).when(k % 59 == 11, F.lit(3).cast("long")).otherwise(F.col("endpoint_a")).alias("endpoint_a"),
+        F.when(k % 53 == 7, F.col("endpoint_a")).otherwise(F.col("endpoint_b")).alias("endpoint_b"),
+        F.when(k % 61 == 13, F.col("molecule_a") + 2).when(k % 67 == 17, F.col("molecule_a") + 1).otherwise(F.col("molecule_a")).alias("molecule_a"),
+        "molecule_b",
+    )
 
 
 def sites(spark: SparkSession, folder: str, size: int = LATTICE) -> DataFrame:
-    """endpoint, x, y, z, site, type: one occupied lattice site a row."""
-    rows = table(spark, folder, "lineitem").where("l_linenumber = 1").select(
+    """case_id, endpoint, x, y, z, site, type, molecule: the occupied sites of a lattice a block of orders. Lines that
+    fall on one site are one endpoint, of the first line's type."""
+    rows = table(spark, folder, "lineitem").select(
+        F.expr(f"l_orderkey div {BLOCK // 5}").alias("case_id"),
         (F.col("l_partkey") % size).cast("long").alias("x"),
         ((7 * F.col("l_suppkey") + F.col("l_orderkey")) % size).cast("long").alias("y"),
         (F.expr("l_orderkey div 5") % size).cast("long").alias("z"),
-        F.when(F.col("l_returnflag") == "N", "A").otherwise("B").alias("type"),
-        *LINE_ORDER,
+        F.col("l_linenumber").cast("long").alias("line"),
+        F.struct(*LINE_ORDER).alias("at"),
+        (F.col("l_returnflag") == "N").alias("n"),
     )
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy(*LINE_ORDER))).where("k = 1")
-    return first.select(((F.col("x") * size + F.col("y")) * size + F.col("z")).alias("site"), "x", "y", "z", "type").withColumn("endpoint", F.col("site"))
+    first = rows.groupBy("case_id", "x", "y", "z").agg(F.min_by("n", "at").alias("n"), F.count("*").cast("long").alias("lines"))
+    site = (F.col("x") * size + F.col("y")) * size + F.col("z")
+    return first.select("case_id", site.alias("site"), "x", "y", "z", F.when(F.col("n"), "A").otherwise("B").alias("type"), "lines").withColumn("endpoint", F.col("site"))
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
