@@ -22,11 +22,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
 
 
 class Network:
-    """The sparse bonds of all cases and what is derived from them."""
+    """The bonds of all cases and what is derived from them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.bonds = saved(views.sparse(spark, folder), "bonds")
-        self.molecules = views.molecules(self.bonds, views.SPARSE)
+    def __init__(self, spark: SparkSession, folder: str, keys: int = views.SPARSE):
+        self.bonds = saved(views.bonds(spark, folder, keys), "bonds")
+        self.molecules = views.molecules(self.bonds, keys)
         self.parts = saved(graph.members(self.bonds, self.molecules), "members")
         self.summary = graph.with_largest(graph.clusters(self.bonds, self.parts))
 
@@ -335,9 +335,12 @@ def stride_thinning(spark, folder):
     return rows.where(F.col("k") % F.col("stride") == 0).select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
 
 
+from meshwork.jobs import study_queries  # noqa: E402, F401  (registers further queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | study_queries.ORACLES

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwork.functions.scalars import ratio
 from meshwork.operators.graph import pairs
 
 ARMS = 4
@@ -44,3 +45,77 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -
     right = b.select(*keys, *(F.col(v).alias(f"b_{v}") for v in values))
     same = reduce(lambda x, y: x & y, (F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")) for v in values))
     return left.join(right, keys, "full_outer").where(~same)
+
+
+def broken(rows: DataFrame, keys: list[str], rules: dict) -> DataFrame:
+    """keys, rule: the rules (name -> condition that has to hold) that a row breaks; an undefined one is broken."""
+    names = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()))
+    return rows.select(*keys, F.explode(F.filter(names, lambda n: n.isNotNull())).alias("rule"))
+
+
+def sample_violations(rows: DataFrame) -> DataFrame:
+    """Sample rows whose numbers contradict each other."""
+    c = F.col
+    return broken(rows, ["case_id"], {
+        "bonds": c("h1") + 2 * c("h2") + 3 * c("h3") + 4 * c("h4") == c("bonds"),
+        "double_share": F.abs(ratio(c("h2"), c("molecules")) - c("p") * 2 * ratio(c("h2"), c("bonds"))) <= 1e-8,
+        "range": (2 * c("h2") <= c("bonds")) & (c("bonds") <= 2 * c("molecules")) & (c("h2") >= 0),
+        "largest": F.abs(c("largest_fraction") - ratio(c("largest"), c("molecules"))) <= 1e-8,
+        "sizes": (c("second_largest") <= c("largest")) & (c("largest") + c("second_largest") <= c("molecules")) & (c("isolated_molecules") <= c("clusters")) & (c("clusters") <= c("molecules")),
+    })
+
+
+def cycle_violations(rows: DataFrame) -> DataFrame:
+    """Per case the clusters whose cycle counts can't be."""
+    c, bad = F.col, lambda x: F.count_if(x).cast("long")
+    return rows.groupBy("case_id").agg(
+        bad((c("c4_edge") < c("c4_mol")) | (c("c6_edge") < c("c6_mol"))).alias("fewer_edge_cycles"),
+        bad((c("b4") > c("bonds")) | (c("b6") > c("bonds"))).alias("too_many_bonds"),
+        bad(((c("c4_mol") > 0) != (c("b4") > 0)) | ((c("c6_mol") > 0) != (c("b6") > 0))).alias("unmatched"),
+    )
+
+
+def graph_violations(bonds: DataFrame, parts: DataFrame) -> DataFrame:
+    """case_id, rule, bad_count (where there are any): bonds against clusters (parts: case_id, molecule, root)."""
+    placed = bonds
+    for side in "ab":
+        placed = placed.join(parts.select("case_id", F.col("molecule").alias(f"molecule_{side}"), F.col("root").alias(f"root_{side}")), ["case_id", f"molecule_{side}"], "left")
+    sizes = parts.groupBy("case_id", "root").agg(F.count("*").alias("size"))
+    inside = placed.groupBy("case_id", F.col("root_b").alias("root")).agg(F.count("*").alias("bonds"))
+    counted = sizes.join(inside, ["case_id", "root"], "left").fillna(0, ["bonds"])
+    degree = bonds.select("case_id", F.explode(F.array("molecule_a", "molecule_b")).alias("molecule")).groupBy("case_id", "molecule").agg(F.count("*").alias("n"))
+    c = F.col
+    found = (
+        ("apart", placed.where(~c("root_a").eqNullSafe(c("root_b")))),
+        ("same_type", placed.where((c("molecule_a") - c("molecule_b")) % 2 == 0)),
+        ("degree", degree.where(c("n") > ARMS)),
+        ("too_few", counted.where(c("bonds") < c("size") - 1)),
+        ("too_many", counted.where(c("bonds") > 2 * c("size"))),
+        ("lone", counted.where((c("size") == 1) & (c("bonds") > 0))),
+    )
+    return reduce(DataFrame.unionByName, (rows.select("case_id", F.lit(rule).alias("rule")) for rule, rows in found)).groupBy("case_id", "rule").agg(F.count("*").cast("long").alias("bad_count"))
+
+
+def candidate_violations(found: DataFrame) -> DataFrame:
+    """case_id, rule, bad_count: ends out of order, endpoints with over 24 candidates, repeated pairs."""
+    per = found.select("case_id", F.explode(F.array("endpoint_a", "endpoint_b")).alias("e")).groupBy("case_id", "e").agg(F.count("*").alias("n"))
+    copies = found.groupBy("case_id", "endpoint_a", "endpoint_b").agg(F.count("*").alias("n"))
+    parts = (("order", found, F.col("endpoint_a") >= F.col("endpoint_b")), ("crowded", per, F.col("n") > 24), ("repeated", copies, F.col("n") > 1))
+    return reduce(DataFrame.unionByName, (rows.groupBy("case_id").agg(F.lit(rule).alias("rule"), F.count_if(bad).cast("long").alias("bad_count")) for rule, rows, bad in parts))
+
+
+def trajectory_violations(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, gaps (numbers that don't follow), jumps (not to a neighbouring site), crossings (sites left and found
+    again), mixed (types): of paths with any. steps: keys, step, x, y, z, type; equal rows count once."""
+    rows = steps.distinct()
+    by = Window.partitionBy(*keys).orderBy("step", "x", "y", "z", "type")
+    for c in ("step", "x", "y", "z"):
+        rows = rows.withColumn(f"{c}0", F.lag(c).over(by))
+    moved = sum((F.abs(F.col(c) - F.col(f"{c}0")) for c in "xyz"), F.lit(0))
+    per = rows.groupBy(*keys).agg(
+        F.count_if(F.col("step") != F.col("step0") + 1).cast("long").alias("gaps"),
+        F.count_if(moved != 1).cast("long").alias("jumps"),
+        (F.count("*") - F.count_distinct("x", "y", "z")).cast("long").alias("crossings"),
+        (F.count_distinct("type") > 1).cast("int").alias("mixed"),
+    )
+    return per.where("gaps + jumps + crossings + mixed > 0")

@@ -6,11 +6,12 @@ three at most: the rows grow with the number of molecules."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded
 from meshwork.operators.graph import pairs
+from meshwork.sources.storage import saved
 
 
 def neighbours(bonds: DataFrame) -> DataFrame:
@@ -41,11 +42,43 @@ def cycle_counts(bonds: DataFrame, length: int) -> DataFrame:
     return bonds.select("case_id").distinct().join(found, "case_id", "left").fillna(0, ["cycles", "edge_cycles"])
 
 
+def sides(found: DataFrame, length: int) -> DataFrame:
+    """The pairs of molecules that are neighbours in some cycle, each once."""
+    pair = [F.struct(F.least(f"v{k}", f"v{(k + 1) % length}").alias("molecule_a"), F.greatest(f"v{k}", f"v{(k + 1) % length}").alias("molecule_b")) for k in range(length)]
+    return found.select("case_id", F.explode(F.array(*pair)).alias("p")).select("case_id", "p.*").distinct()
+
+
 def participating(bonds: DataFrame, length: int) -> DataFrame:
     """Per case: bonds in some cycle of this length, each once, and their share of the endpoints of all molecules."""
-    sides = [F.struct(F.least(f"v{k}", f"v{(k + 1) % length}").alias("molecule_a"), F.greatest(f"v{k}", f"v{(k + 1) % length}").alias("molecule_b")) for k in range(length)]
-    used = cycles(bonds, length).select("case_id", F.explode(F.array(*sides)).alias("p")).select("case_id", "p.*").distinct()
+    used = sides(cycles(bonds, length), length)
     counts = pairs(bonds).join(used, ["case_id", "molecule_a", "molecule_b"]).groupBy("case_id").agg(F.sum("multiplicity").cast("long").alias("cycle_bonds"))
     every = bonds.groupBy("case_id").agg(F.count("*").cast("long").alias("bonds"))
     rows = every.join(counts, "case_id", "left").fillna(0, ["cycle_bonds"])
     return rows.select("case_id", "bonds", "cycle_bonds", rounded(ratio(F.col("cycle_bonds"), F.col("bonds"))).alias("bond_share"))
+
+
+def cluster_cycles(bonds: DataFrame, parts: DataFrame, doubles: DataFrame) -> DataFrame:
+    """A row a cluster: cycles of molecules and of bonds, bonds in some cycle, and their shares of all arms.
+    doubles: the clusters with h2 and is_largest. A cycle lies in one cluster, that of its smallest molecule."""
+    roots = parts.select("case_id", F.col("molecule").alias("v0"), "root")
+    clusters = parts.groupBy("case_id", "root").agg(F.count("*").alias("n")).withColumn("cluster_id", (F.dense_rank().over(Window.partitionBy("case_id").orderBy("root")) - 1).cast("long"))
+    rows = doubles.join(clusters.select("case_id", "root", "cluster_id"), ["case_id", "cluster_id"])
+    multiple = pairs(bonds)
+    for length in (4, 6):
+        found = saved(cycles(bonds, length), "cycles")
+        counts = found.join(roots, ["case_id", "v0"]).groupBy("case_id", "root").agg(F.count("*").cast("long").alias(f"c{length}_mol"), F.sum("ways").cast("long").alias(f"c{length}_edge"))
+        used = sides(found, length).join(multiple, ["case_id", "molecule_a", "molecule_b"]).withColumnRenamed("molecule_a", "v0").join(roots, ["case_id", "v0"])
+        own = used.groupBy("case_id", "root").agg(F.sum("multiplicity").cast("long").alias(f"b{length}"))
+        rows = rows.join(counts, ["case_id", "root"], "left").join(own, ["case_id", "root"], "left")
+    rows = rows.fillna(0, ["c4_mol", "c4_edge", "b4", "c6_mol", "c6_edge", "b6"])
+    share = lambda a, n=1: rounded(ratio(F.col(a), n * F.col("size")))
+    return rows.select(
+        "case_id", "cluster_id", "size", "bonds", "h2", "c4_mol", "c6_mol", "c4_edge", "c6_edge", "b4", "b6", "is_largest",
+        share("h2").alias("q_h2"), share("b4", 2).alias("q4"), share("b6", 2).alias("q6"), share("c4_mol").alias("c4_per_molecule"), share("c6_mol").alias("c6_per_molecule"),
+    )
+
+
+def cycle_totals(rows: DataFrame) -> DataFrame:
+    """Per case: molecules, cycles, and cycles per hundred molecules."""
+    per = lambda c: rounded(100 * ratio(F.sum(c), F.sum("size")))
+    return rows.groupBy("case_id").agg(F.sum("size").cast("long").alias("molecules"), F.sum("c4_mol").cast("long").alias("c4"), F.sum("c6_mol").cast("long").alias("c6"), per("c4_mol").alias("c4_per_100"), per("c6_mol").alias("c6_per_100"))

@@ -43,3 +43,16 @@ def candidates(endpoints: DataFrame, size: int, keys: tuple[str, ...] = ()) -> D
 def search_effort(endpoints: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, offsets_tested, site_lookups (those inside)."""
     return probes(endpoints, list(keys)).groupBy(*keys).agg(F.count("*").cast("long").alias("offsets_tested"), F.count_if(inside(size, "x", "y", "z")).cast("long").alias("site_lookups"))
+
+
+def attached(found: DataFrame, endpoints: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates with type, site and coordinates of both ends."""
+    for side in "ab":
+        found = found.join(endpoints.select(*keys, F.col("endpoint").alias(f"endpoint_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("type", "site", "x", "y", "z"))), [*keys, f"endpoint_{side}"])
+    return found
+
+
+def occupation(sites: DataFrame) -> DataFrame:
+    """Per case: occupied sites, by type, what lies on them, and the sites that several share."""
+    of = lambda c: F.count_if(c).cast("long")
+    return sites.groupBy("case_id").agg(F.count("*").cast("long").alias("sites"), of(F.col("type") == "A").alias("type_a"), of(F.col("type") == "B").alias("type_b"), F.sum("lines").cast("long").alias("lines"), of(F.col("lines") > 1).alias("shared"))

@@ -132,3 +132,63 @@ def resources(stages: DataFrame) -> DataFrame:
         F.min(done).alias("least_value"),
         F.max(done).alias("most_value"),
     )
+
+
+#: Numbers of a sample row that studies summarise.
+SAMPLE_METRICS = ("largest_fraction", "p", "clusters_per_volume", "h2", "h2_per_volume", "h2_per_bond", "h2_endpoint_fraction_bonded", "h2_endpoint_fraction_all", "size_mean", "weighted_all", "weighted_excl_one", "weighted_excl_all_tied")
+CYCLE_METRICS = ("q_h2", "q4", "q6", "c4_per_molecule", "c6_per_molecule")
+
+
+def sample_rows(network: DataFrame, histogram: DataFrame, moment: DataFrame, volume: int) -> DataFrame:
+    """One row a case: counts, shares and moments. p is the share of arms that are bonded."""
+    rows = network.join(histogram.drop("bonds"), "case_id", "left").fillna(0, ["h1", "h2", "h3", "h4"]).join(moment.drop("largest_tie_count", "selected_largest_id"), "case_id")
+    share = lambda a, b: rounded(ratio(a, b))
+    return rows.select(
+        *network.columns, "h1", "h2", "h3", "h4",
+        share(F.col("bonds"), 2 * F.col("molecules")).alias("p"),
+        share(F.col("clusters"), F.lit(volume)).alias("clusters_per_volume"),
+        share(F.col("h2"), F.lit(volume)).alias("h2_per_volume"),
+        share(F.col("h2"), F.col("bonds")).alias("h2_per_bond"),
+        share(2 * F.col("h2"), F.col("bonds")).alias("h2_endpoint_fraction_bonded"),
+        share(F.col("h2"), F.col("molecules")).alias("h2_endpoint_fraction_all"),
+        "size_mean", "weighted_all", "weighted_excl_one", "weighted_excl_all_tied",
+    )
+
+
+def metric_summary(rows: DataFrame, keys: list[str], metrics: tuple[str, ...]) -> DataFrame:
+    """keys, metric, n (defined values), mean, sd, se, least, most: all metrics in one pass, as rows."""
+    long = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("m")).select(*keys, "m.*")
+    v = F.col("v")
+    return long.groupBy(*keys, "metric").agg(F.count(v).cast("long").alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_samp(v)).alias("sd"), rounded(F.stddev_samp(v) / F.sqrt(F.count(v))).alias("se"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def largest_doubles(doubles: DataFrame) -> DataFrame:
+    """Per case the double bonds of the one largest cluster, and their shares."""
+    one = F.col("is_largest")
+    rows = doubles.groupBy("case_id").agg(F.sum("h2").cast("long").alias("h2"), F.sum(F.when(one, F.col("h2"))).cast("long").alias("h2_largest"), F.max(F.when(one, F.col("size"))).alias("largest"), F.sum("size").alias("molecules"))
+    share = lambda a, b: rounded(ratio(F.col(a), F.col(b)))
+    return rows.select("case_id", "h2", "h2_largest", "largest", share("h2_largest", "h2").alias("h2_share"), share("largest", "molecules").alias("largest_fraction"), share("h2_largest", "largest").alias("h2_per_molecule"))
+
+
+def compare_bins(relation: DataFrame, small: int, large: int) -> DataFrame:
+    """Per condition and scope that have both bins: their means, and whether the smaller sizes' is higher."""
+    of = lambda high, name: relation.where(F.col("size_high") == high).select("condition", "scope", F.col("fraction_mean").alias(name))
+    return of(small, "small_mean").join(of(large, "large_mean"), ["condition", "scope"]).withColumn("smaller_is_more", F.col("small_mean") > F.col("large_mean"))
+
+
+def diagnose(compared: DataFrame) -> DataFrame:
+    opposite = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("smaller_is_more"), F.col("condition")))), lambda c: c.cast("string")), ",")
+    return compared.groupBy("scope").agg(F.count("*").cast("long").alias("eligible"), F.count_if("smaller_is_more").cast("long").alias("satisfied"), opposite.alias("opposite"))
+
+
+def cycle_bins(rows: DataFrame) -> DataFrame:
+    """Per case, scope and size bin: clusters, and means over them."""
+    return scoped(rows).groupBy("case_id", "scope", "size_low", "size_high").agg(F.count("*").cast("long").alias("cluster_count"), *(rounded(F.avg(m)).alias(m) for m in CYCLE_METRICS))
+
+
+def cycle_bin_summary(bins: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Across the cases of a condition: means and errors over those that have the bin; the clusters' mean is over all."""
+    total = conditions.groupBy("condition").agg(F.count("*").cast("long").alias("n_total"))
+    per = [x for m in CYCLE_METRICS for x in (rounded(F.avg(m)).alias(f"{m}_mean"), rounded(F.stddev_samp(m) / F.sqrt(F.count(m))).alias(f"{m}_se"))]
+    rows = bins.groupBy("condition", "scope", "size_low", "size_high").agg(F.count("*").cast("long").alias("n_contributing"), F.sum("cluster_count").alias("clusters"), *per)
+    return rows.join(F.broadcast(total), "condition").withColumn("cluster_count_mean", rounded(ratio(F.col("clusters"), F.col("n_total")))).drop("clusters")
