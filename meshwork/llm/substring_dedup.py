@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.hamming import ranges
 from meshwork.llm.rows import id_type, keyed, map_slices, octets, saved
 
 LENGTH = 50
@@ -57,32 +58,38 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return raw, none, none, none, none, none.astype(np.uint64)
-    x = raw.astype(np.uint64) + U(1)
-    odd = U(0x9E3779B97F4A7C15)
-    # Four bytes exactly, then sums of products; the last step mixes, which the order of minimizers needs.
-    four = x[:-3] | x[1:-2] << U(9) | x[2:-1] << U(18) | x[3:] << U(27)
-    eight = four[:-4] * odd + four[4:]
-    sixteen = eight[:-8] * U(0xC2B2AE3D27D4EB4F) + eight[8:]
-    gram = mixed(sixteen[:-4] * odd + four[16:])
+    # Eight bytes at each place; three of these cover a gram. The last step mixes, which the order of minimizers needs.
+    eight = np.lib.stride_tricks.as_strided(np.append(raw, np.zeros(8, np.uint8))[:8].view(U), (len(raw),), (1,))
+    n = len(raw) - GRAM + 1
+    gram = eight[:n] * U(0x9E3779B97F4A7C15)
+    gram += eight[8 : n + 8]
+    gram *= U(0xC2B2AE3D27D4EB4F)
+    gram += eight[GRAM - 8 : n + GRAM - 8]
+    gram = mixed(gram)
     least, width = gram, 1
     while width * 2 <= SPAN:
         least, width = np.minimum(least[:-width], least[width:]), width * 2
     n = len(gram) - SPAN + 1
     least = np.minimum(least[:n], least[SPAN - width : SPAN - width + n])
-    valid = np.zeros(n + 1, np.int32)
+    valid = np.zeros(n + 1, np.int8)
     long = lens >= LENGTH
     np.add.at(valid, (ends - lens)[long], 1)
     np.add.at(valid, ends[long] - LENGTH + 1, -1)
-    at = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-    a = least[at]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(at) > 1)])
-    text = np.searchsorted(ends, at, "right")
-    new[1:] |= text[1:] != text[:-1]
+    there = np.cumsum(valid[:-1], dtype=np.int8).view(bool)
+    # A segment begins where a text does (no window spans two) or the minimizer changes.
+    new = there.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~there[:-1]
     head = np.flatnonzero(new)
-    # In a long run of one minimizer, as in a repeated character, a segment ends after SPAN windows.
-    new |= (np.arange(len(at)) - head[np.cumsum(new) - 1]) % SPAN == 0
-    head = np.flatnonzero(new)
-    return raw, text[head], at[head], at[head] - (ends - lens)[text[head]], np.diff(np.append(head, len(at))), a[head]
+    stop = np.append(head[1:], n)
+    text = np.searchsorted(ends, head, "right")
+    windows = np.minimum(stop, ends[text] - LENGTH + 1) - head
+    if len(windows) and windows.max() > SPAN:
+        # In a long run of one minimizer, as in a repeated character, a segment ends after SPAN windows.
+        parts = -(-windows // SPAN)
+        at = ranges(parts) * SPAN
+        head, windows = np.repeat(head, parts) + at, np.minimum(np.repeat(windows, parts) - at, SPAN)
+        text = np.searchsorted(ends, head, "right")
+    return raw, text, head, head - (ends - lens)[text], windows, least[head]
 
 
 def split(a: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,38 +106,53 @@ def lists(values: np.ndarray, groups: np.ndarray, n: int, kind=pa.int64()) -> pa
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(groups, np.arange(n + 1)).astype(np.int32)), pa.array(values, kind))
 
 
-ANCHORS = pa.schema([("bucket", pa.int32()), ("tags", pa.list_(pa.int32())), ("texts", pa.list_(pa.int64())), ("text", pa.int64()), ("repeated", pa.list_(pa.int64()))])
+PACKED = "bucket int, packed binary"
+
+
+def packed_by(bucket: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Buckets, and of each the columns one after the other; rows keep their order within a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    edges = np.append(first, len(bucket)).tolist()
+    return bucket[first].tolist(), [b"".join(c[b:e].tobytes() for c in columns) for b, e in zip(edges, edges[1:])]
+
+
+def unpacked_by(raw: bytes, *kinds) -> list[np.ndarray]:
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def replies(text: np.ndarray, minimizer: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(text, minimizer) packed by buckets of texts."""
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(packed_by(((text.view(U) >> U(20)) % U(buckets)).astype(np.int32), text, minimizer), (pa.int32(), pa.binary()))], ["bucket", "packed"])
 
 
 def anchors(rows: DataFrame, buckets: int) -> DataFrame:
-    """rows: hash and text. For each slice of texts, by bucket: its minimizers (tags), each with the first
-    of the texts there that has it; and by text: the minimizers that it shares with others of the slice."""
+    """rows: hash and text. For each slice of texts, packed by bucket: its minimizers, each with the first of the
+    texts there that has it; and, by bucket of texts (-1 - bucket), minimizers that several texts of the slice share."""
 
     def handle(part: pa.RecordBatch) -> pa.RecordBatch:
         ids = part.column(0).to_numpy(zero_copy_only=False)
         _, text, _, _, _, a = segments(octets(part.column(1)))
         bucket, tag = split(a, buckets)
-        _, first = np.unique(a, return_index=True)
+        # A stable sort finds the first text of each minimizer, and the minimizers of several texts.
+        order = stably(a)
+        key, owner = a[order], text[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        first = order[head]
         first.sort()  # in the texts' order, which packs well
-        order = first[np.argsort(bucket[first], kind="stable")]
-        there = np.unique(bucket)
-        groups = np.searchsorted(there, bucket[order])
-        by_bucket = [pa.array(there), lists(tag[order], groups, len(there), pa.int32()), lists(ids[text[order]], groups, len(there)), pa.nulls(len(there), pa.int64()), pa.nulls(len(there), pa.list_(pa.int64()))]
-        order = np.argsort(a, kind="stable")
-        low, high = edges_of(a[order], ids[text[order]])
-        order = order[low != high]
-        owners, repeated = by_text(ids[text[order]], joint(bucket[order], tag[order])).columns
-        n = len(owners)
-        within = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), owners, repeated]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(by_bucket, within)], schema=ANCHORS)
-
-    return map_slices(rows, lambda: handle, "bucket int, tags array<int>, texts array<long>, text long, repeated array<long>", limit=SLICE)
-
+        low, high = edges_of(key, ids[owner])
+        shared = order[low != high]
+        own, raw = packed_by(bucket[first], tag[first], ids[text[first]])
+        within = replies(ids[text[shared]], joint(bucket[shared], tag[shared]), buckets)
+        back = [-1 - b for b in within.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([*own, *back], pa.int32()), pa.array([*raw, *within.column(1).to_pylist()], pa.binary())], ["bucket", "packed"])
 
-def by_text(texts: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(texts, kind="stable")
-    there = np.unique(texts)
-    return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), lists(tags[order], np.searchsorted(there, texts[order]), len(there))], ["text", "repeated"])
+    return map_slices(rows, lambda: handle, PACKED, limit=SLICE)
 
 
 def edges_of(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,23 +164,62 @@ def edges_of(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.minimum.reduceat(text, first), size), np.repeat(np.maximum.reduceat(text, first), size)
 
 
-def repeats_between(blocks: DataFrame, partitions: int) -> DataFrame:
-    """text, repeated: minimizers that texts of several slices have."""
+def repeats_between(blocks: DataFrame, partitions: int, buckets: int) -> DataFrame:
+    """text, repeated: the minimizers that a text shares with others, once or twice."""
 
-    def run(batches):
+    def answer(batches):
         keys, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            bucket = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
-            keys.append(joint(bucket, batch.column(1).flatten().to_numpy(zero_copy_only=False)))
-            texts.append(batch.column(2).flatten().to_numpy(zero_copy_only=False))
+            bucket, packed = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            back = np.flatnonzero(bucket < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - bucket[back], pa.int32()), packed.take(pa.array(back))], ["bucket", "packed"])
+            for k in np.flatnonzero(bucket >= 0).tolist():
+                tag, text = unpacked_by(packed[k].as_py(), np.int32, np.int64)
+                keys.append(joint(np.full(len(tag), bucket[k]), tag))
+                texts.append(text)
         key, text = np.concatenate(keys), np.concatenate(texts)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, text = key[order], text[order]
         low, high = edges_of(key, text)
         several = low != high
-        yield by_text(text[several], key[several])
+        yield replies(text[several], key[several], buckets)
 
-    return blocks.repartition(partitions, "bucket").mapInArrow(run, "text long, repeated array<long>")
+    def collect(batches):
+        texts, tags = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                text, tag = unpacked_by(raw, np.int64, np.int64)
+                texts.append(text)
+                tags.append(tag)
+        text, tag = np.concatenate(texts), np.concatenate(tags)
+        order = np.argsort(text)
+        there = np.unique(text)
+        for k in range(0, len(there), 10_000):
+            some = there[k : k + 10_000]
+            mine = order[np.searchsorted(text, some[0], sorter=order) : np.searchsorted(text, some[-1], "right", sorter=order)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), lists(tag[mine], np.searchsorted(some, text[mine]), len(some))], ["text", "repeated"])
+
+    asked = blocks.repartition(partitions, "bucket").mapInArrow(answer, PACKED)
+    return asked.repartition(partitions, "bucket").mapInArrow(collect, "text long, repeated array<long>")
+
+
+def stably(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by keys, the first one leading: as numbers with the place in their low bits, which
+    sort several times faster than places by numbers; so a key takes more than one pass if it is wide."""
+    n = len(keys[0])
+    bits = max(1, int(n).bit_length())
+    place, low = np.arange(n, dtype=U), U((1 << bits) - 1)
+    order = None
+    for key in reversed(keys):
+        key = key.astype(U)
+        width = int(key.max(initial=0)).bit_length()
+        for shift in range(0, max(width, 1), 64 - bits):
+            some = key if order is None else key[order]
+            some = (some >> U(shift)) << U(bits) | place
+            some.sort()
+            at = (some & low).view(np.int64)
+            order = at if order is None else order[at]
+    return order
 
 
 def suffix_order(symbols: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -171,8 +232,7 @@ def suffix_order(symbols: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         s = np.where(alive, padded[k : n + k], U(0))
         key = key << U(9) | s
         alive &= s > 0
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(bucket[order], kind="stable")]
+    order = stably(bucket, key)
     new = np.concatenate([[True], (key[order[1:]] != key[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])])
     rank = np.empty(n, np.int64)
     first = np.flatnonzero(new)
@@ -183,7 +243,7 @@ def suffix_order(symbols: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     while len(tied):
         p = order[tied]
         group, second = rank[p], rank[p + depth]
-        by = np.lexsort((second, group))
+        by = stably(group, second)
         order[tied] = p = p[by]
         group, second = group[by], second[by]
         starts = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
@@ -206,7 +266,7 @@ SHARDS = pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("p
 
 
 def shards(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs: id, text, tags (array<array<long>>: the repeated minimizers). A row per slice and bucket: the
+    """docs: id, text, tags (array<long>: the repeated minimizers). A row per slice and bucket: the
     transform of its segments, and where they occur, packed (see unpacked)."""
 
     def make():
@@ -220,8 +280,8 @@ def shards(docs: DataFrame, buckets: int) -> DataFrame:
             bucket, tag = split(a, buckets)
             tag = joint(bucket, tag)
             per_text = part.column(2)
-            lens = np.array([sum(map(len, x or [])) for x in per_text.to_pylist()], np.int64)
-            known = per_text.flatten().flatten().to_numpy(zero_copy_only=False)
+            lens = pc.fill_null(pc.list_value_length(per_text), 0).to_numpy(zero_copy_only=False)
+            known = per_text.flatten().to_numpy(zero_copy_only=False)
             both = lambda t, k: mixed(k.astype(np.uint64) * U(0x9E3779B97F4A7C15) + t.astype(np.uint64))
             live = np.flatnonzero(np.isin(both(text, tag), both(np.repeat(np.arange(len(lens)), lens), known)))
             live = live[np.argsort(bucket[live], kind="stable")]
@@ -398,9 +458,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = saved(one.groupBy("key").agg(F.min("doc").alias("doc")), "first-texts")
     copies = one.join(firsts.withColumnRenamed("doc", "first"), "key").where(F.col("doc") > F.col("first"))
     # Texts are told apart by their hashes here, so that copies of one are no repetition.
-    found = saved(anchors(long.select(hash_of.alias("hash"), "content"), buckets), "anchors")
-    known = repeats_between(found.where("bucket is not null").select("bucket", "tags", "texts"), n).unionAll(found.where("text is not null").select("text", "repeated"))
-    tags = known.join(firsts.select("doc", F.col("key.hash").alias("text"), F.col("key.hash").alias("hash")), "text").groupBy("doc", "hash").agg(F.collect_list("repeated").alias("tags"))
+    known = repeats_between(anchors(long.select(hash_of.alias("hash"), "content"), buckets), n, buckets)
+    tags = known.join(firsts.select("doc", F.col("key.hash").alias("text"), F.col("key.hash").alias("hash")), "text").select("doc", "hash", F.col("repeated").alias("tags"))
     # This join and the last one deal out the same frame by doc; Spark shuffles it once (for that the
     # text has a name of its own: an alias of the same name is dropped from one of the two).
     mine = hash_of == F.col("hash")
