@@ -333,16 +333,17 @@ class Merged:
     def __init__(self, rows: list[dict]):
         symbol, back, first, base = [], [], [], 0
         tag, string, doc, place, strings = [], [], [], [], 0
+        slots = np.int32 if sum(row["sizes"][0] for row in rows) < 1 << 31 else np.int64
         for row in rows:
             bwt, ends, own_tag, own_string, own_doc, own_place = unpacked(row["sizes"], row["packed"])
             bwt = bwt.astype(np.uint16) + np.uint16(1)
             bwt[ends] = 0
             order = np.argsort(bwt, kind="stable")
-            to = np.empty(len(bwt), np.int64)
-            to[order] = np.arange(len(bwt)) + base
+            to = np.empty(len(bwt), slots)
+            to[order] = np.arange(base, base + len(bwt), dtype=slots)
             symbol.append(bwt)
             back.append(to)
-            first.append(np.arange(len(ends)) + base)  # the ends sort first
+            first.append(np.arange(base, base + len(ends), dtype=slots))  # the ends sort first
             tag.append(own_tag)
             string.append(own_string.astype(np.int64) + strings)
             doc.append(own_doc)
@@ -358,14 +359,16 @@ class Merged:
         n = len(now)
         self.of, self.suffix = np.zeros(len(self.symbol), np.int32), np.zeros(len(self.symbol), np.int16)
         self.size, self.hash = np.zeros(n, np.int64), np.zeros(n, np.uint64)
-        who, t = np.arange(n), 0
+        who, t, h = np.arange(n, dtype=np.int32), 0, np.zeros(n, U)
         while len(now):
             self.of[now], self.suffix[now] = who, t
             s = self.symbol[now]
-            go = s > 0
-            self.size[who[~go]] = t
-            who, now, s = who[go], now[go], s[go]
-            self.hash[who] = mixed(self.hash[who] * U(0x9E3779B97F4A7C15) + s.astype(np.uint64))
+            if not s.all():
+                done, go = np.flatnonzero(s == 0), np.flatnonzero(s)
+                self.size[who[done]], self.hash[who[done]] = t, h[done]
+                who, now, s, h = who[go], now[go], s[go], h[go]
+            h = (h ^ s) * U(0x9E3779B97F4A7C15)
+            h ^= h >> U(32)
             now, t = self.back[now], t + 1
 
     def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,12 +393,14 @@ class Merged:
         interval, and the interval of each: the interleave after LENGTH rounds."""
         use = np.zeros(len(self.size), bool)
         use[strings] = True
-        slot = np.flatnonzero(use[self.of])
+        slot = np.flatnonzero(use[self.of]).astype(self.back.dtype)
         block = np.zeros(len(slot), np.int32)
         for depth in range(LENGTH):
             s = self.symbol[slot]
-            go = s > 0
-            slot, block, s = slot[go], block[go], s[go]
+            if not s.all():
+                go = np.flatnonzero(s)
+                slot, block, s = slot[go], block[go], s[go]
+            s = (s - np.uint16(1)).astype(np.uint8)
             by = np.argsort(s, kind="stable")
             s, block = s[by], block[by]
             slot = self.back[slot[by]]
