@@ -2,9 +2,12 @@
 
 A method gives each fingerprint a number of blocking keys. One shuffle deals (key, node, fingerprint)
 out by buckets of keys, packed: a row holds what a batch has for a bucket. A task sorts its keys and
-compares within equal ones, in numpy. A key of over GROUP nodes is not compared there: its rows are
-dealt anew as blocks of GROUP, each pair of blocks to a group of its own, so that many tasks share
-the work. Of the links found a task passes on a spanning forest, at most one edge a node, not the pairs.
+compares within equal ones, in numpy. A key of over GROUP nodes is compared by pivots: a row with all
+others, then further rows outside the largest component so far, until there are none left; pairs in
+the largest component need no look, which makes a group of near copies cheap. If that takes over WORK
+comparisons, its rows are dealt anew as blocks of GROUP, each pair of blocks to a group of its own, so
+that many tasks share the work. Of the links found a task passes on a spanning forest, at most one
+edge a node, not the pairs.
 
 Null keys, nodes and fingerprints are not allowed. Nodes that repeat under a key cost work only. An
 empty table gives no edges.
@@ -23,6 +26,7 @@ from meshwork.llm.components import forest
 from meshwork.llm.rows import saved
 
 GROUP = 512
+WORK = 200_000_000
 #: Keys that a task holds before it packs them.
 PACKED_KEYS = 1_000_000
 NONE = np.zeros(0, np.int64)
@@ -68,6 +72,28 @@ def compare(first: np.ndarray, size: np.ndarray, key: np.ndarray, node: np.ndarr
     return forest(*(np.concatenate(x) for x in zip(*found))) if found else (NONE, NONE)
 
 
+def by_pivots(key: np.ndarray, node: np.ndarray, more: list[np.ndarray], linked: Callable) -> tuple[np.ndarray, np.ndarray] | None:
+    """Edges of the components of one group, or None if that takes more than WORK comparisons."""
+    part, left, done = np.arange(len(node)), WORK, np.zeros(len(node), bool)
+    pivot = 0
+    while True:
+        left -= len(node)
+        if left < 0:
+            return None
+        done[pivot] = True
+        met = linked([np.broadcast_to(x[pivot], x.shape) for x in more], more, key)
+        met[pivot] = True
+        joined = np.unique(part[met])
+        if len(joined) > 1:
+            part[np.isin(part, joined)] = joined[0]
+        names, counts = np.unique(part, return_counts=True)
+        rest = np.flatnonzero((part != names[counts.argmax()]) & ~done)
+        if not len(rest):
+            own = np.flatnonzero(part != np.arange(len(part)))
+            return node[own], node[part[own]]
+        pivot = int(rest[0])
+
+
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First row and size of each run of equal keys."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else NONE
@@ -147,6 +173,11 @@ def links(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[list
         zero = np.zeros(len(a), np.int64)
         yield batch([a, zero, zero, zero, b, *[zero] * (len(more) - 1)], names)
         for f, s in zip(first[size > group].tolist(), size[size > group].tolist()):
+            edges = by_pivots(key[f : f + s], node[f : f + s], [x[f : f + s] for x in other], linked)
+            if edges is not None:
+                zero = np.zeros(len(edges[0]), np.int64)
+                yield batch([edges[0], zero, zero, zero, edges[1], *[zero] * (len(more) - 1)], names)
+                continue
             yield batch([node[f : f + s], key[f : f + s], np.arange(s) // group, np.full(s, -(-s // group)), *(x[f : f + s] for x in other)], names)
 
     def second_look(batches):

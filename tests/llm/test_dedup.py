@@ -51,9 +51,10 @@ def test_ring_keys_miss_no_link():
         assert met == (len(flips) <= 3)
 
 
-@pytest.mark.parametrize("group", [512, 4])
-def test_links_with_small_and_large_groups(spark, group):
-    """group 4 sends nearly all keys through the blocks."""
+@pytest.mark.parametrize("group, work", [(512, 10**8), (4, 10**8), (4, 0)])
+def test_links_with_small_and_large_groups(spark, group, work, monkeypatch):
+    """group 4 compares nearly all keys with pivots, and without work allowed sends them through the blocks."""
+    monkeypatch.setattr(hamming, "WORK", work)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**64, 6, dtype=np.uint64)
     fps = {int(b) for b in base}
@@ -171,11 +172,14 @@ def test_changed_lines_are_found(spark, words):
     assert all(text[k] == t for k, t in rows if not alike.get(k))  # what is not alike stays
 
 
-def test_alignment_never_says_too_little():
+def test_alignment_never_costs_less_than_the_distance():
     rng = random.Random(9)
     for _ in range(3000):
-        a, b = (" ".join(rng.choice(("a", "bc", "def", "g h")) for _ in range(rng.randint(1, 9))) for _ in range(2))
-        assert line_dedup.alike(a, b, 0.7) == (levenshtein(a, b) <= int(0.3 * max(len(a), len(b)) + 1e-9))
+        a, b = ([rng.choice(("a", "bc", "def", "gh", "xyzw")) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        assert line_dedup.aligned_cost(a, b, 1e9) >= levenshtein(" ".join(a), " ".join(b))
+        if min(len(a), len(b)) < line_dedup.FEW_WORDS:
+            a, b = " ".join(a), " ".join(b)
+            assert line_dedup.alike(a, b, 0.7) == (levenshtein(a, b) <= int(0.3 * max(len(a), len(b)) + 1e-9))
 
 
 def test_large_clusters_go_by_blocks(spark, monkeypatch):
