@@ -10,12 +10,14 @@ is added to the loss. So a neutral mention of a group adds no score.
 Fitting uses at most SAMPLE_ROWS labelled rows, chosen by the hash of their id; scoring runs over
 every whole text. Null and empty texts have no features and get the score of the intercept.
 Null labels are left out; of repeated labels the highest counts. Without training rows of both
-kinds every score is the prior, or 0. Repeated rows give repeated results; an empty table gives
+kinds there is nothing to tell apart: every score is 0. Words of over LONGEST_WORD characters, as texts
+without blanks have, count by their runs of RUN characters, all along. Repeated rows give repeated results; an empty table gives
 an empty one; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -28,11 +30,9 @@ from meshwork.llm.rows import id_type, keyed, map_slices, strings
 
 #: Labelled rows used to fit, at most.
 SAMPLE_ROWS = 20_000
-#: Features of the model, at most.
-MODEL_FEATURES = 3_000
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
-LONGEST_WORD = 40
+LONGEST_WORD, RUN = 40, 4
 
 # Identity terms, by kind; a term is swapped for others of its kind.
 IDENTITY_TERMS = {
@@ -45,16 +45,18 @@ IDENTITY_TERMS = {
     "ability": ("blind", "deaf", "disabled", "paralyzed"),
 }
 KIND_OF = {t: k for k, terms in IDENTITY_TERMS.items() for t in terms}
-APART = {c: " " for c in range(128) if not chr(c).isalnum()}
+WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(text.lower().translate(APART).split())
+    """Runs of letters and digits of any script, in lower case."""
+    return set(WORD.findall(text.lower()))
 
 
 def names_of(word: str) -> list[str]:
     """The features that a word brings about."""
-    word = word[:LONGEST_WORD]
+    if len(word) > LONGEST_WORD:
+        return ["~" + word[k : k + RUN] for k in range(len(word) - RUN + 1)]
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)] if word not in KIND_OF else [word]
 
 
@@ -72,7 +74,9 @@ class Model:
             def __missing__(self, word: str):
                 if len(self) > 500_000:
                     self.clear()
-                self[word] = got = tuple(place[n] for n in names_of(word) if n in place) or None
+                got = tuple({place[n] for n in names_of(word) if n in place}) or None
+                if len(word) <= LONGEST_WORD:
+                    self[word] = got
                 return got
 
         known = Known()
@@ -119,22 +123,22 @@ def count_features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "name string, toxic long, other long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def choose_features(counts: DataFrame, n_toxic: int, n_other: int, most: int, least_rows: int = 4, least_z: float = 3.0) -> list[str]:
+def choose_features(counts: DataFrame, n_toxic: int, n_other: int, least_z: float = 3.0) -> list[str]:
+    """All that tell the kinds apart; the sample bounds their number."""
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
     odds = F.log(a / (n_toxic + 1 - a)) - F.log(b / (n_other + 1 - b))
     z = odds / F.sqrt(1 / a + 1 / b)
-    chosen = counts.where(F.col("toxic") + F.col("other") >= least_rows).select("name", z.alias("z")).where(F.abs("z") >= least_z)
-    return [r[0] for r in chosen.orderBy(F.abs("z").desc(), "name").limit(most).collect()]
+    chosen = counts.select("name", z.alias("z")).where(F.abs("z") >= least_z)
+    return [r[0] for r in chosen.orderBy(F.abs("z").desc(), "name").collect()]
 
 
 def swapped(words: set[str]) -> list[set[str]]:
-    """The texts' words with one identity term exchanged for each of three others of its kind, and without it
+    """The texts' words with one identity term exchanged for each other one of its kind, and without it
     (else the weights of all terms could rise together)."""
     out = []
     for term in sorted(words & KIND_OF.keys()):
         others = [t for t in IDENTITY_TERMS[KIND_OF[term]] if t != term]
-        at = len(term) % len(others)
-        out += [words - {term} | {others[(at + k) % len(others)]} for k in range(min(3, len(others)))] + [words - {term}]
+        out += [words - {term} | {other} for other in others] + [words - {term}]
     return out
 
 
@@ -184,13 +188,13 @@ def train(labels: np.ndarray, x: list, swaps: list, n_features: int, fairness: f
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, most_features: int = MODEL_FEATURES, fairness: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, fairness: float = 1.0) -> Model:
     sample = training_rows(docs, labels, id_col, text_col, label_col, rows)
     n = dict(map(tuple, sample.groupBy("label").count().collect()))
     n_toxic, n_other = sum(c for k, c in n.items() if k), n.get(0, 0)
     if not n_toxic or not n_other:
-        return Model(intercept=20.0 if n_toxic else -20.0)
-    names = choose_features(count_features(sample), n_toxic, n_other, most_features)
+        return Model(intercept=-40.0)
+    names = choose_features(count_features(sample), n_toxic, n_other)
     names += sorted(KIND_OF.keys() - set(names))
     got = design(sample, names).collect()
     w, b = train(np.array([r[0] for r in got]) > 0, [r[1] for r in got], [r[2] for r in got], len(names), fairness)
@@ -198,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id and the score. The model has at most most_features weights."""
+    """One row per row of docs: the id and the score. The model's size follows from the sample's bound."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
