@@ -4,8 +4,10 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. A
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A
 document word inside any occurrence of a window is hit.
 
-The windows are few: their hashes and words are broadcast, after a check of their texts' size. A
-benchmark over BROADCAST_BYTES is dealt with in parts of at most that, one pass each. In a task, words become
+The windows are few: their hashes and words are broadcast, after a check of their texts' size (they
+take some ten times as much). A benchmark over BROADCAST_BYTES is dealt with in parts of about that, one
+pass each, one part in memory at a time; the hits of all parts are joined before anything is judged or
+cut, so results do not depend on the limit. In a task, words become
 numbers of the benchmark's vocabulary, a window hash is a weighted sum of n numbers, and a
 sorted lookup gives the candidates; each is verified word by word.
 
@@ -18,6 +20,7 @@ are carried by `decontaminate` and ignored by `find_hits`.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -32,7 +35,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower case for A-Z; what is in no word becomes a blank.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of benchmark text up to which its windows are broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -40,22 +43,24 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a benchmark: for each length, their hashes, words and items."""
+    """The windows of a benchmark: for each length, their hashes, words and items, as arrays."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        by: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items if item is not None})
+        place, by = {item: k for k, item in enumerate(self.items)}, {}
         for item, text in items:
-            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words_of(text))
-            for k in range(max(1, len(ids) - n + 1) if ids else 0):
-                by.setdefault(ids[k : k + n], set()).update([item] if item is not None else [])
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                size = min(n, len(ids))
+                windows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                by.setdefault(size, []).append((windows, np.full(len(windows), place.get(item, -1), np.int32)))
         self.lengths = {}
-        for size in sorted({len(w) for w in by}):
-            mine = [w for w in by if len(w) == size]
-            rows = np.array(mine, np.int64)
+        for size in sorted(by):
+            rows, owner = (np.concatenate(c) for c in zip(*by.pop(size)))
             key = self.key(rows.T)
             order = np.argsort(key, kind="stable")
-            self.lengths[size] = key[order], rows[order], [by[mine[i]] for i in order]
+            self.lengths[size] = key[order], rows[order], owner[order]
 
     @staticmethod
     def key(columns) -> np.ndarray:
@@ -65,8 +70,9 @@ class Windows:
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and by which items. ids: 0 is a word that no item has."""
         hit, items = np.zeros(len(ids), bool), set()
+        ids = ids.astype(np.int32)
         known = ids > 0
-        for size, (keys, rows, owners) in self.lengths.items():
+        for size, (keys, rows, owner) in self.lengths.items():
             n = len(ids) - size + 1
             if n < 1:
                 break
@@ -79,7 +85,7 @@ class Windows:
                 continue
             key = self.key([ids[at + k] for k in range(size)])
             place = np.searchsorted(keys, key)
-            for more in range(len(keys)):  # windows with one hash lie side by side
+            for more in range(len(keys)):  # windows with one hash lie side by side, as do those of several items
                 live = (place + more < len(keys)) & (keys[np.minimum(place + more, len(keys) - 1)] == key)
                 if not live.any():
                     break
@@ -87,9 +93,8 @@ class Windows:
                 same = (rows[p] == ids[a[:, None] + np.arange(size)]).all(axis=1)
                 for k in range(size):
                     hit[a[same] + k] = True
-                for k in set(p[same].tolist()):
-                    items |= owners[k]
-        return hit, items
+                items.update(owner[p[same]].tolist())
+        return hit, {self.items[k] for k in items if k >= 0}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
@@ -102,13 +107,12 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int
 
 
 def parts_of(benchmark: DataFrame, text_col: str, limit: int) -> list[DataFrame]:
-    """The benchmark, in as many parts as keep the texts of each near half the limit; an item of over the limit is refused."""
+    """The benchmark, in as many parts as keep the texts of each near half the limit; a longer item is a part of
+    its own, more or less."""
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0))
-    total, most = benchmark.agg(F.sum(size), F.max(size)).first()
-    if (total or 0) <= limit:
+    total = benchmark.agg(F.sum(size)).first()[0] or 0
+    if total <= limit:
         return [benchmark]
-    if most > limit:
-        raise ValueError(f"an item of {most} bytes is over the broadcast limit of {limit}")
     n = -(-2 * total // limit)
     return [benchmark.where(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(n)) == k) for k in range(n)]
 
@@ -136,13 +140,13 @@ def located(docs: DataFrame, windows: Windows, id_col: str, text_col: str) -> Da
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: the id, n_words, n_hit, and items array<string>, sorted."""
-    parts = [benchmark_windows(p, item_col, item_text_col, n) for p in parts_of(benchmark, item_text_col, limit)]
+    parts = parts_of(benchmark, item_text_col, limit)
+    windows = lambda p: benchmark_windows(p, item_col, item_text_col, n)
     if len(parts) == 1:
-        return located(docs, parts[0], id_col, text_col).select(id_col, "n_words", F.size("hit").cast("long").alias("n_hit"), "items")
+        return located(docs, windows(parts[0]), id_col, text_col).select(id_col, "n_words", F.size("hit").cast("long").alias("n_hit"), "items")
     # One pass over the texts per part; the places hit are joined by id and text.
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")).alias("key"), F.col(text_col).alias("text"))
-    passes = [located(rows, w, "key", "text") for w in parts]
-    every = reduce(DataFrame.unionAll, (p.where(F.size("hit") > 0).distinct() for p in passes))
+    every = reduce(DataFrame.unionAll, [saved(located(rows, windows(p), "key", "text").where(F.size("hit") > 0).distinct(), "benchmark-hits") for p in parts])
     hits = every.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     counts = located(rows, Windows([], n), "key", "text").select(F.col("key").alias("row"), "n_words")
     joined = counts.join(hits, (F.col("row.id").eqNullSafe(F.col("key.id"))) & (F.col("row.hash") == F.col("key.hash")), "left")
@@ -177,11 +181,12 @@ def cut(text: bytes, windows: Windows) -> tuple[bytes | None, int, int]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, drop_share: float = 0.5, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs with hit spans cut out of its texts; a row of whose words more than drop_share are hit goes."""
-    parts = [benchmark_windows(p, item_col, item_text_col, n) for p in parts_of(benchmark, item_text_col, limit)]
-    return cut_out(docs, parts[0], text_col, drop_share) if len(parts) == 1 else cut_by_parts(docs, parts, text_col, drop_share)
+    parts = parts_of(benchmark, item_text_col, limit)
+    windows = lambda p: benchmark_windows(p, item_col, item_text_col, n)
+    return cut_out(docs, windows(parts[0]), text_col, drop_share) if len(parts) == 1 else cut_by_parts(docs, parts, windows, text_col, drop_share)
 
 
-def cut_by_parts(docs: DataFrame, parts: list[Windows], text_col: str, drop_share: float) -> DataFrame:
+def cut_by_parts(docs: DataFrame, parts: list[DataFrame], windows: Callable[[DataFrame], Windows], text_col: str, drop_share: float) -> DataFrame:
     """As cut_out with the windows of all parts: a round finds the hits of every part in the same texts and
     cuts their union; the first one judges the rows. Rounds go on until nothing is hit."""
     key, found, at = unused(docs, "cut_key"), unused(docs, "cut_hit"), docs.columns.index(text_col)
@@ -204,7 +209,7 @@ def cut_by_parts(docs: DataFrame, parts: list[Windows], text_col: str, drop_shar
     while True:
         rows = docs.withColumn(key, F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
         texts = rows.where(F.col(key).isNotNull()).select(key, text_col).dropDuplicates([key])
-        every = reduce(DataFrame.unionAll, (located(texts, w, key, text_col).where(F.size("hit") > 0) for w in parts))
+        every = reduce(DataFrame.unionAll, [saved(located(texts, windows(p), key, text_col).where(F.size("hit") > 0), "benchmark-hits") for p in parts])
         hits = saved(every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias(found)), "decontamination-hits")
         if hits.isEmpty():
             return docs
