@@ -15,7 +15,7 @@ second window, which has at most one row per slice and URL.
 Records: record_id, url, ts (long), kind ('response' or 'revisit'), etag, last_modified, digest,
 headers (array<struct<name, value>>). A null url, ts or kind never matches ('no earlier
 response'); null validators are absent; null headers count as none; header names are compared in
-lower case, and of repeated ones the last counts. Repeated records are resolved one by one. An
+lower case, and lines of one name stay together, in their order. Repeated records are resolved one by one. An
 empty table gives an empty one. Other columns are ignored.
 """
 
@@ -42,13 +42,14 @@ def canonical(url: Column) -> Column:
 
 
 def merged_headers(old: Column, new: Column) -> Column:
-    """By lower-case name: the old ones, with permitted new ones in their place or added; sorted by name."""
-    low = lambda headers: F.transform(F.coalesce(headers, F.array().cast(HEADERS)), lambda h: F.struct(F.lower(F.trim(h["name"])).alias("name"), h["value"].alias("value")))
+    """The old lines with lower-case names; permitted new ones replace all old lines of their name, or are added.
+    By name, lines of one name in their order."""
+    line = lambda h, i: F.struct(F.lower(F.trim(h["name"])).alias("name"), i.alias("i"), h["value"].alias("value"))
+    low = lambda headers: F.filter(F.transform(F.coalesce(headers, F.array().cast(HEADERS)), line), lambda h: h["name"].isNotNull())
     allowed = F.filter(low(new), lambda h: h["name"].isin(*PERMITTED))
-    every = F.concat(low(old), allowed)
-    last = lambda name: F.element_at(F.filter(every, lambda h: h["name"] == name), -1)
-    names = F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda h: h["name"]), lambda n: n.isNotNull())))
-    return F.transform(names, last)
+    updated = F.transform(allowed, lambda h: h["name"])
+    kept = F.filter(low(old), lambda h: ~F.array_contains(updated, h["name"]))
+    return F.transform(F.array_sort(F.concat(kept, allowed)), lambda h: F.struct(h["name"].alias("name"), h["value"].alias("value")))
 
 
 def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
