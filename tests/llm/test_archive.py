@@ -49,6 +49,14 @@ def test_latest_earlier_and_validators(spark):
         assert got[4].headers is None
 
 
+def test_repeated_headers_stay_together(spark):
+    old = [("Set-Cookie", "a"), ("Link", "1"), ("Set-Cookie", "b"), ("Vary", "x"), ("Vary", "y"), ("Link", "2"), (None, "z")]
+    new = [("vary", "n"), ("Warning", "w1"), ("warning", "w2"), ("set-cookie", "other")]
+    rows = [(1, "http://a.b/x", 10, "response", None, None, None, old), (2, "http://a.b/x", 20, "revisit", None, None, None, new)]
+    got = [tuple(h) for h in run(spark, rows)[2].headers]
+    assert got == [("link", "1"), ("link", "2"), ("set-cookie", "a"), ("set-cookie", "b"), ("vary", "n"), ("warning", "w1"), ("warning", "w2")]
+
+
 def test_hot_url_against_brute_force(spark):
     rng = random.Random(1)
     rows = []

@@ -68,6 +68,11 @@ def test_parts_of_a_benchmark_cut_as_the_whole(spark):
     parts = decontaminate.decontaminate(frame(spark, rows), bench, limit=200)
     assert {r.doc_id: r.text for r in parts.collect()} == whole
     assert parts.columns == frame(spark, rows).columns
+    odd = bench.unionAll(spark.createDataFrame([(None, None), (None, items[0]), ("9", "")], "item_id string, text string"))
+    twice = rows + [(500, rest), (None, items[0]), (None, None)]
+    ids = lambda df: sorted(tuple(map(str, (r.doc_id, r.n_hit, r.items))) for r in df.collect())
+    assert ids(decontaminate.find_hits(frame(spark, twice), odd, limit=200)) == ids(decontaminate.find_hits(frame(spark, twice), odd))
+    assert decontaminate.decontaminate(frame(spark, twice).where("false"), odd, limit=200).count() == 0
     assert min(k for k in whole) == 100  # 20 of 33 words are hit by two items
     assert all(whole[100 + k].split() == rest.split() * 2 for k in range(len(split)))
 
@@ -226,6 +231,33 @@ def test_counterfactual_penalty_takes_groups_out_of_the_score(spark):
     assert abs(fair[1] - fair[2]) < 0.1 and fair[3] > 0.7
 
 
+def test_scores_equal_a_plain_loop(spark):
+    """Features by single look-ups and a plain sum, over whole texts, long words included."""
+    rng = random.Random(3)
+    names = ["river", "stone", "the", "und*", "walk*", "walks", "women", "~aaaa", "日本", "über", "gr\u00fcn"]
+    model = toxicity.Model({n: rng.uniform(-2, 2) for n in names}, -0.3)
+    got = {(r.doc_id, r.score) for r in toxicity.score(frame(spark, texts()), model).collect()}
+    want = set()
+    for i, t in texts():
+        there = set()
+        for word in re.findall(r"[^\W_]+", (t or "").lower()):
+            if len(word) > 40:
+                there |= {"~" + word[k : k + 4] for k in range(len(word) - 3)}
+            elif word in toxicity.KIND_OF:
+                there.add(word)
+            else:
+                there |= {word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)}
+        want.add((i, round(1 / (1 + np.exp(-(-0.3 + sum(w for n, w in model.weights.items() if n in there)))), 9)))
+    assert {(i, round(x, 9)) for i, x in got} == want
+
+
+def test_labels_of_one_kind_and_words_after_long_runs(spark):
+    docs = frame(spark, [(k, f"{'字' * 60}vile{k}") for k in range(9)])
+    labels = spark.createDataFrame([(k, 1) for k in range(9)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).count() == 9
+    assert "~vile" in toxicity.names_of("字" * 60 + "vile")
+
+
 def test_toxicity_edges(spark):
     df = frame(spark, texts())
     none = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -39,6 +39,32 @@ def test_run_gives_the_last_stage(spark, stages):
     assert same(corpus_pipeline.run(spark, SMALL)) == same(stages[-1])
 
 
+def test_stages_bear_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, an empty table and further columns; each stage against what it should leave."""
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    line = "the river walks over the stone in a light that never ends"
+    rows = [(1, f"{line}\n{line}\nanother line"), (1, f"{line}\n{line}\nanother line"), (2, None), (3, ""), (4, line), (None, line), (None, None), (5, "a b c d e f g h i j k l and more that stays here for all the others"), (6, "x" * 30_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, cuts string")
+    docs = docs.select(*(docs[f.name].cast(f.dataType) for f in base), "cuts")
+    spark.createDataFrame([("b", "a b c d e f g h i j"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts_of = lambda df: sorted(((r.doc_id or -1, r.text) for r in df.collect()), key=str)
+    want = {
+        "toxicity": [(i or -1, t) for i, t in rows],  # labels of one kind teach nothing
+        "line dedup": [(1, f"{line}\nanother line")] * 2 + [(2, None), (3, ""), (4, ""), (-1, line), (-1, None)] + [(i, t) for i, t in rows[7:]],
+        "simhash near-dedup": [(i or -1, t) for i, t in rows if i != 3],
+        "benchmark decontamination": [(i or -1, t if i != 5 else " k l and more that stays here for all the others") for i, t in rows],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        if name in want:
+            assert got.columns == docs.columns
+            assert texts_of(got) == sorted(want[name], key=str), name
+        else:
+            assert got.count() == len(rows)
+
+
 def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
     for t in ("pages", "documents", "benchmark"):
