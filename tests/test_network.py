@@ -1,21 +1,21 @@
 import random
-from collections import Counter
 from itertools import permutations
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from meshwork.operators import constraints, graph, kernels, motifs, spatial, stats
+from meshwork.operators import components, constraints, graph, kernels, motifs, spatial, stats
 
 COLUMNS = "case_id long, bond_id long, endpoint_a long, endpoint_b long, molecule_a long, molecule_b long"
 
 
 def bonds(spark, pairs, case=1):
-    used = Counter()
-    rows = []
-    for k, (a, b) in enumerate(pairs):
-        rows.append((case, k, 4 * a + used[a], 4 * b + used[b], a, b))
-        used.update((a, b))
-    return spark.createDataFrame(rows, COLUMNS)
+    """A bond for each pair of molecules; a window over the ends of a molecule deals its arms out."""
+    ends = spark.createDataFrame([(case, k, side, m) for k, pair in enumerate(pairs) for side, m in zip("ab", pair)], "case_id long, bond_id long, side string, molecule long")
+    arm = F.row_number().over(Window.partitionBy("molecule").orderBy("bond_id", "side")) - 1
+    wide = ends.withColumn("endpoint", (4 * F.col("molecule") + arm).cast("long")).groupBy("case_id", "bond_id").pivot("side", ["a", "b"]).agg(F.first("endpoint").alias("endpoint"), F.first("molecule").alias("molecule"))
+    return wide.select("case_id", "bond_id", *(F.col(f"{side}_{c}").alias(f"{c}_{side}") for c in ("endpoint", "molecule") for side in "ab"))
 
 
 def molecules(spark, n, case=1):
@@ -134,6 +134,43 @@ def test_empty_network(spark):
 
 
 def test_violations_are_counted(spark):
-    rows = [(1, 0, 0, 100, 0, 25), (1, 1, 0, 101, 0, 25), (1, 5, 8, 4, 2, 1)]
-    got = {r.rule: r.bad_count for r in constraints.bond_violations(spark.createDataFrame(rows, COLUMNS), 10).collect()}
+    rows = [(1, 0, 0, 100, 0, 25), (1, 1, 0, 101, 0, 25), (1, 5, 8, 4, 2, 1), (1, 6, 16, 24, 4, 6)]
+    got = {r.rule: r.bad_count for r in constraints.bond_violations(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == {"order": 1, "owner": 0, "type": 1, "numbering": 3, "endpoint_reuse": 1, "multiplicity": 0}
+
+
+@pytest.mark.parametrize(
+    "pairs, n, want",
+    [
+        ([(0, 1), (0, 1), (1, 2), (2, 3), (3, 0)], 4, {"c4_mol": 1, "c6_mol": 0, "c4_edge": 2, "b4": 5, "b6": 0, "h2": 1, "q4": 0.625, "q_h2": 0.25}),
+        ([(0, 1), (1, 2), (2, 3), (3, 0), (1, 4), (4, 5), (5, 0)], 6, {"c4_mol": 2, "c6_mol": 1, "b4": 7, "b6": 6, "q4": round(7 / 12, 9)}),
+    ],
+)
+def test_cycles_of_a_cluster(spark, pairs, n, want):
+    b, _, parts, marked = summary(spark, pairs, n)
+    doubles = graph.cluster_doubles(b, parts, marked).join(marked.select("case_id", "cluster_id", "is_largest"), ["case_id", "cluster_id"])
+    rows = motifs.cluster_cycles(b, parts, doubles).collect()
+    assert len(rows) == 1 and {k: rows[0][k] for k in want} == want
+
+
+def test_hubs_and_large_cases(spark):
+    """A hub whose minimum is broadcast, a long chain, and a molecule number beyond a case's range."""
+    edges = [(0, k) for k in range(1, 600)] + [(k, k + 1) for k in range(1000, 1100)] + [(599, 1000)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys([*range(1, 600), *range(1000, 1101)], 0)
+    near = {(r.a, r.b) for r in components.contracted(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
+    assert near == {(k, 0) for k in got}
+    with pytest.raises(Exception, match="molecule 16777216"):
+        graph.members(bonds(spark, [(0, 1 << 24)]), molecules(spark, 2)).collect()
+
+
+def test_a_bond_between_two_clusters_fails(spark):
+    parts = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "case_id long, molecule long, root long")
+    with pytest.raises(Exception, match="between two clusters"):
+        graph.clusters(bonds(spark, [(0, 1)]), parts).collect()
+
+
+def test_summary_of_undefined_values(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, None), (2, None)], "condition long, x double")
+    got = {r.condition: (r.n, r["mean"], r.sd, r.se) for r in stats.metric_summary(rows, ["condition"], ("x",)).collect()}
+    assert got == {1: (1, 1.0, None, None), 2: (0, None, None, None)}
