@@ -72,7 +72,7 @@ NETWORK = f"""{SPARSE}, degrees AS (
          round(avg(h2 / size), 9) AS fraction_mean, round(sum(h2) / sum(size), 9) AS fraction_pooled FROM binned GROUP BY ALL
 )"""
 
-SITES = """sites AS (
+SITES = """sites AS MATERIALIZED (
   SELECT *, (x * 24 + y) * 24 + z AS site, (x * 24 + y) * 24 + z AS endpoint FROM (
     SELECT l_orderkey // 3000 AS case_id, l_partkey % 24 AS x, (7 * l_suppkey + l_orderkey) % 24 AS y, (l_orderkey // 5) % 24 AS z, CASE WHEN l_returnflag = 'N' THEN 'A' ELSE 'B' END AS type,
            row_number() OVER (PARTITION BY l_orderkey // 3000, l_partkey % 24, (7 * l_suppkey + l_orderkey) % 24, (l_orderkey // 5) % 24 ORDER BY %s) AS k,
@@ -80,6 +80,13 @@ SITES = """sites AS (
     FROM lineitem) WHERE k = 1
 )""".replace("%s", LINES)
 
+PROBES = SITES + """, axis AS (SELECT unnest(range(-2, 3)) AS v
+), offsets AS (SELECT p.v AS dx, q.v AS dy, r.v AS dz, abs(p.v) + abs(q.v) + abs(r.v) AS distance FROM axis p, axis q, axis r WHERE abs(p.v) + abs(q.v) + abs(r.v) BETWEEN 1 AND 2
+), probes AS MATERIALIZED (SELECT case_id, endpoint AS endpoint_a, type AS type_a, x + dx AS x, y + dy AS y, z + dz AS z, distance FROM sites, offsets
+), candidates AS MATERIALIZED (
+  SELECT p.case_id, endpoint_a, s.endpoint AS endpoint_b, distance FROM probes p JOIN sites s ON s.case_id = p.case_id AND s.x = p.x AND s.y = p.y AND s.z = p.z WHERE endpoint_a < s.endpoint AND type_a <> s.type
+)"""
+
 SAMPLES = """samples AS (
   SELECT c_mktsegment AS segment, CAST(n_regionkey AS BIGINT) AS region, c_custkey AS sample, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS h
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
@@ -181,7 +188,7 @@ own AS (SELECT DISTINCT case_id, least(p, q) AS molecule_a, greatest(p, q) AS mo
 sums AS (SELECT case_id, CAST(sum(multiplicity) AS BIGINT) AS cycle_bonds FROM own JOIN pairs USING (case_id, molecule_a, molecule_b) GROUP BY ALL)
 SELECT b.case_id, b.bonds, coalesce(cycle_bonds, 0) AS cycle_bonds, round(coalesce(cycle_bonds, 0) / b.bonds, 9) AS bond_share FROM (SELECT case_id, count(*) AS bonds FROM bonds GROUP BY ALL) b LEFT JOIN sums USING (case_id)""",
     "two_core": f"WITH {SPARSE}, {two_core_rounds(40)}",
-    "stencil_candidates": f"WITH {SITES} SELECT a.case_id, a.endpoint AS endpoint_a, b.endpoint AS endpoint_b, abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) AS distance FROM sites a JOIN sites b ON a.case_id = b.case_id AND a.x BETWEEN b.x - 2 AND b.x + 2 AND a.endpoint < b.endpoint AND a.type <> b.type AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 2",
+    "stencil_candidates": f"WITH {PROBES} SELECT * FROM candidates",
     "stencil_stats": f"""WITH {SITES}, d AS (SELECT unnest(range(-2, 3)) AS v), o AS (SELECT p.v AS dx, q.v AS dy, r.v AS dz FROM d p, d q, d r WHERE abs(p.v) + abs(q.v) + abs(r.v) BETWEEN 1 AND 2)
 SELECT case_id, count(*) AS offsets_tested, count(*) FILTER (x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 AND z + dz BETWEEN 0 AND 23) AS site_lookups FROM sites, o GROUP BY ALL""",
     "endpoint_decode": f"WITH {SITES} SELECT case_id, endpoint, endpoint // 4 AS molecule, endpoint % 4 AS arm FROM sites",

@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from meshwork.jobs import oracles
-from meshwork.jobs.oracles import DENSE, FAULTY, NAMED, NETWORK, SAMPLES, SITES, SPARSE, STEPS, cycle_joins, spread
+from meshwork.jobs.oracles import DENSE, FAULTY, NAMED, NETWORK, PROBES, SAMPLES, SITES, SPARSE, STEPS, cycle_joins, spread
 
 SAMPLE = f"""{NETWORK}, ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY molecule_count DESC, cluster_id) AS k FROM summary
 ), hist AS (SELECT case_id, {', '.join(f'count(*) FILTER (multiplicity = {k}) AS h{k}' for k in range(1, 5))} FROM pairs GROUP BY ALL
 ), base AS (
   SELECT case_id, CAST(sum(molecule_count) AS BIGINT) AS molecules, CAST(sum(bond_count) AS BIGINT) AS bonds, count(*) AS clusters, max(molecule_count) AS largest,
          coalesce(max(molecule_count) FILTER (k = 2), 0) AS second_largest, count(*) FILTER (molecule_count = 1) AS isolated_molecules FROM ranked GROUP BY ALL
-), moments AS (SELECT case_id, round(avg(molecule_count), 9) AS size_mean, round(sum(molecule_count * molecule_count) / sum(molecule_count), 9) AS weighted_all,
-  round(sum(molecule_count * molecule_count) FILTER (NOT is_largest) / sum(molecule_count) FILTER (NOT is_largest), 9) AS weighted_excl_one,
-  round(sum(molecule_count * molecule_count) FILTER (NOT tied) / sum(molecule_count) FILTER (NOT tied), 9) AS weighted_excl_all_tied FROM marked GROUP BY ALL
+), moments AS (SELECT case_id, avg(molecule_count) AS size_mean, sum(molecule_count * molecule_count) / sum(molecule_count) AS weighted_all,
+  sum(molecule_count * molecule_count) FILTER (NOT is_largest) / sum(molecule_count) FILTER (NOT is_largest) AS weighted_excl_one,
+  sum(molecule_count * molecule_count) FILTER (NOT tied) / sum(molecule_count) FILTER (NOT tied) AS weighted_excl_all_tied FROM marked GROUP BY ALL
 ), samples0 AS (
-  SELECT base.*, h1, h2, h3, h4, round(largest / molecules, 9) AS largest_fraction, round(bonds / (2 * molecules), 9) AS p, round(clusters / 13824, 9) AS clusters_per_volume,
-         round(h2 / 13824, 9) AS h2_per_volume, round(h2 / bonds, 9) AS h2_per_bond, round(2 * h2 / bonds, 9) AS h2_endpoint_fraction_bonded, round(h2 / molecules, 9) AS h2_endpoint_fraction_all,
+  SELECT base.*, h1, h2, h3, h4, largest / molecules AS largest_fraction, bonds / (2 * molecules) AS p, clusters / 13824 AS clusters_per_volume,
+         h2 / 13824 AS h2_per_volume, h2 / bonds AS h2_per_bond, 2 * h2 / bonds AS h2_endpoint_fraction_bonded, h2 / molecules AS h2_endpoint_fraction_all,
          size_mean, weighted_all, weighted_excl_one, weighted_excl_all_tied
   FROM base JOIN hist USING (case_id) JOIN moments USING (case_id)
 )"""
+SHARES = ("largest_fraction", "p", "clusters_per_volume", "h2_per_volume", "h2_per_bond", "h2_endpoint_fraction_bonded", "h2_endpoint_fraction_all", "size_mean", "weighted_all", "weighted_excl_one", "weighted_excl_all_tied")
 METRICS = ("largest_fraction", "p", "clusters_per_volume", "h2", "h2_per_volume", "h2_per_bond", "h2_endpoint_fraction_bonded", "h2_endpoint_fraction_all", "size_mean", "weighted_all", "weighted_excl_one", "weighted_excl_all_tied")
 YEAR = "case_id // 100000000"
 
@@ -56,16 +57,15 @@ cycle_rows AS (
          round(coalesce(c4.n, 0) / m.molecule_count, 9) AS c4_per_molecule, round(coalesce(c6.n, 0) / m.molecule_count, 9) AS c6_per_molecule
   FROM marked m JOIN doubles d USING (case_id, cluster_id) LEFT JOIN cyc4 c4 USING (case_id, root) LEFT JOIN cyc6 c6 USING (case_id, root) LEFT JOIN own4 o4 USING (case_id, root) LEFT JOIN own6 o6 USING (case_id, root)
 ), totals AS (
-  SELECT case_id, CAST(sum(size) AS BIGINT) AS molecules, CAST(sum(c4_mol) AS BIGINT) AS c4, CAST(sum(c6_mol) AS BIGINT) AS c6, round(100 * sum(c4_mol) / sum(size), 9) AS c4_per_100, round(100 * sum(c6_mol) / sum(size), 9) AS c6_per_100 FROM cycle_rows GROUP BY ALL
+  SELECT case_id, CAST(sum(size) AS BIGINT) AS molecules, CAST(sum(c4_mol) AS BIGINT) AS c4, CAST(sum(c6_mol) AS BIGINT) AS c6, 100 * (sum(c4_mol) / sum(size)) AS c4_per_100, 100 * (sum(c6_mol) / sum(size)) AS c6_per_100 FROM cycle_rows GROUP BY ALL
 ), cycle_scoped AS (
   SELECT c.*, scope, CASE WHEN size = 1 THEN 1 ELSE CAST(pow(2, ceil(log2(size))) AS BIGINT) END AS size_high FROM cycle_rows c, (VALUES ('all'), ('exclude_one_largest')) AS t(scope) WHERE scope = 'all' OR NOT is_largest
 ), cycle_bins AS (
   SELECT case_id, scope, CASE WHEN size_high = 1 THEN 1 ELSE size_high // 2 + 1 END AS size_low, size_high, count(*) AS cluster_count, {', '.join(f'round(avg({m}), 9) AS {m}' for m in ('q_h2', 'q4', 'q6', 'c4_per_molecule', 'c6_per_molecule'))} FROM cycle_scoped GROUP BY ALL
 )"""
-CANDIDATES = oracles.ORACLES["stencil_candidates"].removeprefix(f"WITH {SITES} ")
 
 ORACLES = {
-    "sample_rows": f"{NAMED}{SAMPLE} SELECT * FROM samples0",
+    "sample_rows": f"{NAMED}{SAMPLE} SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in SHARES)}) FROM samples0",
     "sample_violations": f"""{NAMED}{SAMPLE}, faulty0 AS (SELECT * REPLACE (CASE WHEN case_id // 1000000 % 5 = 1 THEN h1 + 1 ELSE h1 END AS h1, CASE WHEN case_id // 1000000 % 7 = 2 THEN largest_fraction + 1e-6 ELSE largest_fraction END AS largest_fraction) FROM samples0)
 SELECT case_id, 'bonds' AS rule FROM faulty0 WHERE h1 + 2 * h2 + 3 * h3 + 4 * h4 <> bonds
 UNION ALL SELECT case_id, 'double_share' FROM faulty0 WHERE NOT abs(h2 / molecules - p * 2 * h2 / bonds) <= 1e-8
@@ -73,7 +73,7 @@ UNION ALL SELECT case_id, 'range' FROM faulty0 WHERE NOT (2 * h2 <= bonds AND bo
 UNION ALL SELECT case_id, 'largest' FROM faulty0 WHERE NOT abs(largest_fraction - largest / molecules) <= 1e-8
 UNION ALL SELECT case_id, 'sizes' FROM faulty0 WHERE NOT (second_largest <= largest AND largest + second_largest <= molecules AND isolated_molecules <= clusters AND clusters <= molecules)""",
     "study_summary": f"{NAMED}{SAMPLE}, s AS (SELECT *, {YEAR} AS condition FROM samples0) {metric_summary('s', 'condition', METRICS)}",
-    "percent_summary": f"{NAMED}{SAMPLE}, s AS (SELECT {YEAR} AS condition, round(100 * (2 * bonds / (4 * molecules)), 9) AS bonded, round(100 * largest_fraction, 9) AS largest, round(100 * h2_endpoint_fraction_bonded, 9) AS doubled FROM samples0) {metric_summary('s', 'condition', ('bonded', 'largest', 'doubled'))}",
+    "percent_summary": f"{NAMED}{SAMPLE}, s AS (SELECT {YEAR} AS condition, 100 * (2 * bonds / (4 * molecules)) AS bonded, 100 * largest_fraction AS largest, 100 * h2_endpoint_fraction_bonded AS doubled FROM samples0) {metric_summary('s', 'condition', ('bonded', 'largest', 'doubled'))}",
     "largest_h2": f"""{NAMED}{NETWORK} SELECT case_id, CAST(sum(h2) AS BIGINT) AS h2, CAST(sum(h2) FILTER (is_largest) AS BIGINT) AS h2_largest, max(size) FILTER (is_largest) AS largest,
 round(CASE WHEN sum(h2) > 0 THEN sum(h2) FILTER (is_largest) / sum(h2) END, 9) AS h2_share, round(max(size) FILTER (is_largest) / sum(size), 9) AS largest_fraction, round(sum(h2) FILTER (is_largest) / max(size) FILTER (is_largest), 9) AS h2_per_molecule FROM doubles GROUP BY ALL""",
     "presence_summary": f"{NAMED}{HEAD}, counted AS (SELECT *, without_h2{TAIL}), s AS (SELECT *, {YEAR} AS condition FROM counted) {metric_summary('s', 'condition, scope, kind, size_low, size_high', ('without_h2', 'with_h2', 'cluster_count', 'fraction_with_h2'))}",
@@ -85,7 +85,7 @@ round(CASE WHEN sum(h2) > 0 THEN sum(h2) FILTER (is_largest) / sum(h2) END, 9) A
     "cycle_bin_summary": f"""{NAMED}{CYCLES} SELECT {YEAR} AS condition, scope, size_low, size_high, count(*) AS n_contributing, any_value(total) AS n_total, round(sum(cluster_count) / any_value(total), 9) AS cluster_count_mean,
 {', '.join(f'round(avg({m}), 9) AS {m}_mean, round(stddev_samp({m}) / sqrt(count({m})), 9) AS {m}_se' for m in ('q_h2', 'q4', 'q6', 'c4_per_molecule', 'c6_per_molecule'))}
 FROM cycle_bins JOIN (SELECT {YEAR} AS y, count(DISTINCT case_id) AS total FROM cycle_rows GROUP BY ALL) ON y = {YEAR} GROUP BY ALL""",
-    "cycle_totals": f"{NAMED}{CYCLES} SELECT * FROM totals",
+    "cycle_totals": f"{NAMED}{CYCLES} SELECT * REPLACE (round(c4_per_100, 9) AS c4_per_100, round(c6_per_100, 9) AS c6_per_100) FROM totals",
     "cycle_summary": f"{NAMED}{CYCLES}, s AS (SELECT *, {YEAR} AS condition FROM totals) {metric_summary('s', 'condition', ('c4', 'c6', 'c4_per_100', 'c6_per_100'))}",
     "cycle_violations": f"""{NAMED}{CYCLES}, f AS (SELECT * REPLACE (CASE WHEN cluster_id % 2 = 0 THEN c4_edge + 1 ELSE c4_mol END AS c4_mol) FROM cycle_rows)
 SELECT case_id, count(*) FILTER (c4_edge < c4_mol OR c6_edge < c6_mol) AS fewer_edge_cycles, count(*) FILTER (b4 > bonds OR b6 > bonds) AS too_many_bonds, count(*) FILTER ((c4_mol > 0) <> (b4 > 0) OR (c6_mol > 0) <> (b6 > 0)) AS unmatched FROM f GROUP BY ALL""",
@@ -98,7 +98,7 @@ UNION ALL SELECT case_id, 'degree', count(*) FROM degree WHERE n > 4 GROUP BY AL
 UNION ALL SELECT case_id, 'too_few', count(*) FROM counted WHERE bonds < size - 1 GROUP BY ALL
 UNION ALL SELECT case_id, 'too_many', count(*) FROM counted WHERE bonds > 2 * size GROUP BY ALL
 UNION ALL SELECT case_id, 'lone', count(*) FROM counted WHERE size = 1 AND bonds > 0 GROUP BY ALL) SELECT * FROM rules""",
-    "candidate_violations": f"""WITH {SITES}, rows AS ({CANDIDATES}), every AS (SELECT * FROM rows UNION ALL SELECT * FROM rows WHERE endpoint_a % 41 = 3 UNION ALL SELECT case_id, endpoint_b, endpoint_a, distance FROM rows WHERE endpoint_a % 37 = 5),
+    "candidate_violations": f"""WITH {PROBES}, every AS (SELECT * FROM candidates UNION ALL SELECT * FROM candidates WHERE endpoint_a % 41 = 3 UNION ALL SELECT case_id, endpoint_b, endpoint_a, distance FROM candidates WHERE endpoint_a % 37 = 5),
 per AS (SELECT case_id, e, count(*) AS n FROM (SELECT case_id, endpoint_a AS e FROM every UNION ALL SELECT case_id, endpoint_b FROM every) GROUP BY ALL),
 copies AS (SELECT case_id, count(*) AS n FROM every GROUP BY case_id, endpoint_a, endpoint_b)
 SELECT case_id, 'order' AS rule, count(*) FILTER (endpoint_a >= endpoint_b) AS bad_count FROM every GROUP BY ALL
@@ -108,8 +108,8 @@ UNION ALL SELECT case_id, 'repeated', count(*) FILTER (n > 1) FROM copies GROUP
 d AS (SELECT DISTINCT * FROM s), p AS (SELECT *, lag(step) OVER w AS step0, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(z) OVER w AS z0 FROM d WINDOW w AS (PARTITION BY molecule ORDER BY step, x, y, z, type)),
 m AS (SELECT molecule, count(*) FILTER (step0 IS NOT NULL AND step <> step0 + 1) AS gaps, count(*) FILTER (step0 IS NOT NULL AND abs(x - x0) + abs(y - y0) + abs(z - z0) <> 1) AS jumps, count(*) - count(DISTINCT (x, y, z)) AS crossings, CAST(count(DISTINCT type) > 1 AS INTEGER) AS mixed FROM p GROUP BY ALL)
 SELECT molecule, gaps, jumps, crossings, mixed FROM m WHERE gaps + jumps + crossings + mixed > 0""",
-    "candidate_rows": f"""WITH {SITES}, rows AS ({CANDIDATES}) SELECT r.case_id, endpoint_a, a.type AS type_a, a.site AS site_a, a.x AS x_a, a.y AS y_a, a.z AS z_a, endpoint_b, b.type AS type_b, b.site AS site_b, b.x AS x_b, b.y AS y_b, b.z AS z_b, distance
-FROM rows r JOIN sites a ON a.case_id = r.case_id AND a.endpoint = endpoint_a JOIN sites b ON b.case_id = r.case_id AND b.endpoint = endpoint_b""",
+    "candidate_rows": f"""WITH {PROBES} SELECT r.case_id, endpoint_a, a.type AS type_a, a.site AS site_a, a.x AS x_a, a.y AS y_a, a.z AS z_a, endpoint_b, b.type AS type_b, b.site AS site_b, b.x AS x_b, b.y AS y_b, b.z AS z_b, distance
+FROM candidates r JOIN sites a ON a.case_id * 100000 + a.endpoint = r.case_id * 100000 + r.endpoint_a JOIN sites b ON b.case_id * 100000 + b.endpoint = r.case_id * 100000 + r.endpoint_b""",
     "occupied_sites": f"WITH {SITES} SELECT case_id, count(*) AS sites, count(*) FILTER (type = 'A') AS type_a, count(*) FILTER (type = 'B') AS type_b, CAST(sum(lines) AS BIGINT) AS lines, count(*) FILTER (lines > 1) AS shared FROM sites GROUP BY ALL",
     "component_order": f"{NAMED}{NETWORK} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY molecule_count DESC, root) AS place, root, molecule_count FROM summary QUALIFY place <= 5",
     "first_cases": f"WITH {SPARSE} SELECT * FROM (SELECT {YEAR} AS condition, case_id, count(*) AS bonds FROM bonds GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY condition ORDER BY case_id) <= 2",

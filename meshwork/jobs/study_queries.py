@@ -21,12 +21,13 @@ def with_condition(rows: DataFrame) -> DataFrame:
 
 
 def samples(net: Network) -> DataFrame:
-    return stats.sample_rows(graph.network_summary(net.summary), graph.multiplicity_histogram(net.bonds), stats.moments(net.summary), views.LATTICE**3)
+    return stats.sample_rows(graph.network_summary(net.summary), graph.multiplicity_histogram(net.bonds), stats.moments(net.summary, lambda x: x), views.LATTICE**3)
 
 
 @query
 def sample_rows(spark, folder):
-    return samples(Network(spark, folder))
+    rows = samples(Network(spark, folder))
+    return rows.select(*(rounded(F.col(c)).alias(c) if t == "double" else c for c, t in rows.dtypes))
 
 
 @query
@@ -47,7 +48,7 @@ def study_summary(spark, folder):
 def percent_summary(spark, folder):
     """Shares in percent: of arms that are bonded, of molecules in the largest cluster, of endpoints in double bonds."""
     rows = with_condition(samples(Network(spark, folder)))
-    shares = rows.select("condition", rounded(100 * ratio(2 * F.col("bonds"), 4 * F.col("molecules"))).alias("bonded"), rounded(100 * F.col("largest_fraction")).alias("largest"), rounded(100 * F.col("h2_endpoint_fraction_bonded")).alias("doubled"))
+    shares = rows.select("condition", (100 * ratio(2 * F.col("bonds"), 4 * F.col("molecules"))).alias("bonded"), (100 * F.col("largest_fraction")).alias("largest"), (100 * F.col("h2_endpoint_fraction_bonded")).alias("doubled"))
     return stats.metric_summary(shares, ["condition"], ("bonded", "largest", "doubled"))
 
 
@@ -106,7 +107,8 @@ def cycle_bin_summary(spark, folder):
 
 @query
 def cycle_totals(spark, folder):
-    return motifs.cycle_totals(cycle_rows(spark, folder))
+    rows = motifs.cycle_totals(cycle_rows(spark, folder))
+    return rows.withColumns({c: rounded(F.col(c)) for c in ("c4_per_100", "c6_per_100")})
 
 
 @query

@@ -79,6 +79,6 @@ def cluster_cycles(bonds: DataFrame, parts: DataFrame, doubles: DataFrame) -> Da
 
 
 def cycle_totals(rows: DataFrame) -> DataFrame:
-    """Per case: molecules, cycles, and cycles per hundred molecules."""
-    per = lambda c: rounded(100 * ratio(F.sum(c), F.sum("size")))
+    """Per case: molecules, cycles, and cycles per hundred molecules (not rounded)."""
+    per = lambda c: 100 * ratio(F.sum(c), F.sum("size"))
     return rows.groupBy("case_id").agg(F.sum("size").cast("long").alias("molecules"), F.sum("c4_mol").cast("long").alias("c4"), F.sum("c6_mol").cast("long").alias("c6"), per("c4_mol").alias("c4_per_100"), per("c6_mol").alias("c6_per_100"))

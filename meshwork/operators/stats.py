@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded, size_high, size_low, spread
 
 
-def moments(summary: DataFrame) -> DataFrame:
+def moments(summary: DataFrame, rounded: Callable[[Column], Column] = rounded) -> DataFrame:
     """Per case: mean cluster size, size-weighted means over all clusters, without one largest and without
     all largest ones, the number of ties and the id of the cluster left out. Undefined ones are null."""
     s, tied, one = F.col("molecule_count"), F.col("tied"), F.col("is_largest")
@@ -140,11 +142,12 @@ CYCLE_METRICS = ("q_h2", "q4", "q6", "c4_per_molecule", "c6_per_molecule")
 
 
 def sample_rows(network: DataFrame, histogram: DataFrame, moment: DataFrame, volume: int) -> DataFrame:
-    """One row a case: counts, shares and moments. p is the share of arms that are bonded."""
+    """One row a case: counts, shares and moments, not rounded, so that means of them are no ties when they are.
+    p is the share of arms that are bonded. moment: with exact values."""
     rows = network.join(histogram.drop("bonds"), "case_id", "left").fillna(0, ["h1", "h2", "h3", "h4"]).join(moment.drop("largest_tie_count", "selected_largest_id"), "case_id")
-    share = lambda a, b: rounded(ratio(a, b))
+    share = ratio
     return rows.select(
-        *network.columns, "h1", "h2", "h3", "h4",
+        *(c for c in network.columns if c != "largest_fraction"), share(F.col("largest"), F.col("molecules")).alias("largest_fraction"), "h1", "h2", "h3", "h4",
         share(F.col("bonds"), 2 * F.col("molecules")).alias("p"),
         share(F.col("clusters"), F.lit(volume)).alias("clusters_per_volume"),
         share(F.col("h2"), F.lit(volume)).alias("h2_per_volume"),
