@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import decontaminate, line_dedup, pii, quality, revisits, sentencepiece_bpe, simhash, substring_dedup, token_files, toxicity
+from meshwork.llm import bisectors, decontaminate, line_dedup, packing, pii, quality, revisits, sentencepiece_bpe, simhash, substring_dedup, token_files, toxicity, whitening
 from meshwork.llm.rows import table
 
 
@@ -54,9 +54,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_bisector_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisectors.digest(bisectors.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+QUERIES = (
+    op1_sentencepiece, op2_warc_revisits, op3_decontamination, op4_simhash, op5_token_files, op6_toxicity, op7_quality_rules,
+    op8_line_dedup, op9_suffix_dedup, op10_pii, op11_bisector_clustering, op12_whitening, op13_packing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc_revisits, op3_decontamination, op4_simhash, op5_token_files, op6_toxicity, op7_quality_rules, op8_line_dedup, op9_suffix_dedup, op10_pii)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": revisits.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL}
+    return {"op2_warc_revisits": revisits.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL, "op11_bisector_clustering": bisectors.oracle()}

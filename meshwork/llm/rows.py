@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +77,22 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column that hold finite numbers only and width of them, and these as a matrix of doubles."""
+    if isinstance(column.type, pa.FixedSizeListType):
+        column = column.cast(pa.list_(column.type.value_type))
+    lens = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lens == width)
+    if not len(rows) or not width:
+        return rows[:0], np.zeros((0, width))
+    values = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    whole = np.isfinite(values).all(axis=1)
+    return rows[whole], values[whole]
+
+
+def lists(matrix: np.ndarray) -> pa.ListArray:
+    """A matrix as a column of lists."""
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, np.int32)), pa.array(np.ascontiguousarray(matrix).ravel()))
