@@ -31,7 +31,7 @@ rows0 AS (
 DENSE, SPARSE = bonds(16), bonds(800)
 
 FAULTY = f"""{SPARSE}, faulty AS (
-  SELECT case_id, bond_id, CASE WHEN bond_id % 53 = 7 THEN endpoint_b WHEN bond_id % 59 = 11 THEN 3 ELSE endpoint_a END AS endpoint_a,
+  SELECT case_id, CASE WHEN bond_id % 83 = 29 THEN bond_id - 1 ELSE bond_id END AS bond_id, CASE WHEN bond_id % 53 = 7 THEN endpoint_b WHEN bond_id % 59 = 11 THEN 3 ELSE endpoint_a END AS endpoint_a,
          CASE WHEN bond_id % 53 = 7 THEN endpoint_a ELSE endpoint_b END AS endpoint_b,
          CASE WHEN bond_id % 61 = 13 THEN molecule_a + 2 WHEN bond_id % 67 = 17 THEN molecule_a + 1 ELSE molecule_a END AS molecule_a, molecule_b
   FROM bonds WHERE bond_id % 97 <> 41
@@ -100,7 +100,7 @@ SAMPLES = """samples AS (
 
 GRID = """grid AS (
   SELECT size, phi, i AS index, 'L' || CAST(size AS VARCHAR) || '_phi' || phi || '_i' || lpad(CAST(i AS VARCHAR), 6, '0') AS case_id
-  FROM (SELECT DISTINCT CAST(8 * p_size AS BIGINT) AS size FROM part), (SELECT DISTINCT printf('0.%04d', c_custkey % 10000) AS phi FROM customer), range(0, 3) AS t(i)
+  FROM (SELECT DISTINCT CAST(8 * p_size AS BIGINT) AS size FROM part), (SELECT DISTINCT printf('0.%04d', c_custkey) AS phi FROM customer), range(0, 3) AS t(i)
 )"""
 
 
@@ -211,7 +211,7 @@ wide AS (SELECT case_id, count(*) AS n FROM (SELECT case_id, least(molecule_a, m
 SELECT case_id, 'order' AS rule, count(*) FILTER (endpoint_a >= endpoint_b) AS bad_count FROM faulty GROUP BY ALL
 UNION ALL SELECT case_id, 'owner', count(*) FILTER (endpoint_a // 4 <> molecule_a OR endpoint_b // 4 <> molecule_b) FROM faulty GROUP BY ALL
 UNION ALL SELECT case_id, 'type', count(*) FILTER (molecule_a % 2 <> 0 OR molecule_b % 2 <> 1) FROM faulty GROUP BY ALL
-UNION ALL SELECT case_id, 'numbering', max(bond_id) + 1 - count(*) FROM faulty GROUP BY ALL
+UNION ALL SELECT case_id, 'numbering', count(*) - count(DISTINCT bond_id) + max(bond_id) + 1 - count(DISTINCT bond_id) FROM faulty GROUP BY ALL
 UNION ALL SELECT case_id, 'endpoint_reuse', bad FROM reused
 UNION ALL SELECT case_id, 'multiplicity', coalesce(n, 0) FROM (SELECT DISTINCT case_id FROM faulty) LEFT JOIN wide USING (case_id)""",
     "coverage_check": """WITH c AS (SELECT c_custkey, c_mktsegment AS segment, CAST(n_nationkey AS BIGINT) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey),

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import derived_seed, near, ratio, rounded
 from meshwork.jobs.oracles import ORACLES
-from meshwork.operators import constraints, graph, kernels, motifs, spatial, stats
+from meshwork.operators import constraints, cores, graph, kernels, motifs, spatial, stats
 from meshwork.sources import views
-from meshwork.sources.storage import saved, table
+from meshwork.sources.storage import kept, saved, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,14 +21,31 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+def bonds(spark: SparkSession, folder: str, keys: int | None) -> DataFrame:
+    """A view's bonds, saved once a session."""
+    make = (lambda: views.bonds(spark, folder, keys)) if keys else (lambda: views.giant(spark, folder))
+    return kept(spark, folder, ("lineitem", "orders"), f"bonds-{keys}", make)
+
+
+def dense(spark: SparkSession, folder: str) -> DataFrame:
+    return bonds(spark, folder, views.DENSE)
+
+
+def sparse(spark: SparkSession, folder: str) -> DataFrame:
+    return bonds(spark, folder, views.SPARSE)
+
+
 class Network:
     """The bonds of all cases and what is derived from them."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: int = views.SPARSE):
-        self.bonds = saved(views.bonds(spark, folder, keys), "bonds")
-        self.molecules = views.molecules(self.bonds, keys)
-        self.parts = saved(graph.members(self.bonds, self.molecules), "members")
-        self.summary = graph.with_largest(graph.clusters(self.bonds, self.parts))
+    def __init__(self, spark: SparkSession, folder: str, keys: int | None = views.SPARSE):
+        """keys: of a side of a case; None for the view with one giant case. What is worked out here serves all
+        queries of a session, as long as the tables stay as they are."""
+        self.bonds = bonds(spark, folder, keys)
+        self.molecules = views.molecules(self.bonds, keys) if keys else views.bonded(self.bonds)
+        once = lambda name, make: kept(spark, folder, ("lineitem", "orders"), f"{name}-{keys}", make)
+        self.parts = once("members", lambda: graph.members(self.bonds, self.molecules))
+        self.summary = once("clusters", lambda: graph.with_largest(graph.clusters(self.bonds, self.parts)))
 
     def members(self) -> DataFrame:
         return graph.cluster_members(self.parts, self.summary, graph.degrees(self.bonds, self.molecules))
@@ -41,24 +58,24 @@ class Network:
 
 @query
 def pair_multiplicity(spark, folder):
-    return graph.pairs(views.dense(spark, folder))
+    return graph.pairs(dense(spark, folder))
 
 
 @query
 def multiplicity_hist(spark, folder):
-    return graph.multiplicity_histogram(views.dense(spark, folder))
+    return graph.multiplicity_histogram(dense(spark, folder))
 
 
 @query
 def h2_fractions(spark, folder):
-    bonds = views.dense(spark, folder)
-    return graph.double_bond_shares(bonds, views.molecules(bonds, views.DENSE), views.LATTICE**3)
+    rows = dense(spark, folder)
+    return graph.double_bond_shares(rows, views.molecules(rows, views.DENSE), views.LATTICE**3)
 
 
 @query
 def molecule_degree(spark, folder):
-    bonds = views.sparse(spark, folder)
-    return graph.degrees(bonds, views.molecules(bonds, views.SPARSE))
+    rows = sparse(spark, folder)
+    return graph.degrees(rows, views.molecules(rows, views.SPARSE))
 
 
 @query
@@ -113,7 +130,7 @@ def cluster_histogram(spark, folder):
 
 @query
 def cluster_h2(spark, folder):
-    return Network(spark, folder).doubles().drop("is_largest")
+    return Network(spark, folder).doubles().drop("is_largest", "root")
 
 
 @query
@@ -135,29 +152,29 @@ def presence_counts(spark, folder):
 
 @query
 def cycles4(spark, folder):
-    return motifs.cycle_counts(views.dense(spark, folder), 4).select("case_id", "cycles")
+    return motifs.cycle_counts(dense(spark, folder), 4).select("case_id", "cycles")
 
 
 @query
 def cycles6(spark, folder):
-    return motifs.cycle_counts(views.dense(spark, folder), 6).select("case_id", "cycles")
+    return motifs.cycle_counts(dense(spark, folder), 6).select("case_id", "cycles")
 
 
 @query
 def cycles_edge_multiplicity(spark, folder):
-    bonds = views.dense(spark, folder)
-    four, six = (motifs.cycle_counts(bonds, n).select("case_id", F.col("edge_cycles").alias(f"c{n}_edge")) for n in (4, 6))
+    rows = dense(spark, folder)
+    four, six = (motifs.cycle_counts(rows, n).select("case_id", F.col("edge_cycles").alias(f"c{n}_edge")) for n in (4, 6))
     return four.join(six, "case_id")
 
 
 @query
 def cycle_endpoint_share(spark, folder):
-    return motifs.participating(views.dense(spark, folder), 4)
+    return motifs.participating(dense(spark, folder), 4)
 
 
 @query
 def two_core(spark, folder):
-    return graph.two_core(saved(views.sparse(spark, folder), "bonds"))
+    return cores.two_core(sparse(spark, folder))
 
 
 @query
@@ -249,7 +266,7 @@ def resource_summary(spark, folder):
 
 @query
 def bond_violations(spark, folder):
-    return constraints.bond_violations(views.faulty(spark, folder))
+    return constraints.bond_violations(views.faulty(sparse(spark, folder)))
 
 
 @query
@@ -286,7 +303,7 @@ def value_reconciliation(spark, folder):
 def grid_plan(spark, folder):
     """Sizes of the parts by fractions of the customers by replicates; the sizes, at most fifty, go along as an array."""
     sizes = table(spark, folder, "part").agg(F.array_sort(F.collect_set((8 * F.col("p_size")).cast("long"))).alias("sizes"))
-    phis = table(spark, folder, "customer").select(F.format_string("0.%04d", F.col("c_custkey") % 10_000).alias("phi")).distinct()
+    phis = table(spark, folder, "customer").select(F.format_string("0.%04d", F.col("c_custkey")).alias("phi")).distinct()
     plan = phis.join(F.broadcast(sizes)).withColumn("size", F.explode("sizes")).withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return plan.select("size", "phi", "index", F.concat(F.lit("L"), F.col("size"), F.lit("_phi"), F.col("phi"), F.lit("_i"), F.lpad(F.col("index").cast("string"), 6, "0")).alias("case_id"))
 
@@ -335,7 +352,7 @@ def stride_thinning(spark, folder):
     return rows.where(F.col("k") % F.col("stride") == 0).select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
 
 
-from meshwork.jobs import study_queries  # noqa: E402, F401  (registers further queries)
+from meshwork.jobs import integrity_queries, study_queries  # noqa: E402  (register further queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -343,4 +360,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | study_queries.ORACLES
+    return ORACLES | study_queries.ORACLES | integrity_queries.ORACLES

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded
-from meshwork.jobs.queries import Network, query
+from meshwork.jobs.queries import Network, query, sparse
 from meshwork.jobs.study_oracles import ORACLES  # noqa: F401
 from meshwork.operators import constraints, graph, motifs, spatial, stats
 from meshwork.sources import views
@@ -126,7 +126,7 @@ def cycle_violations(spark, folder):
 @query
 def graph_violations(spark, folder):
     """Faulty bonds against the clusters of the bonds without faults."""
-    return constraints.graph_violations(views.faulty(spark, folder), Network(spark, folder).parts)
+    return constraints.graph_violations(views.faulty(sparse(spark, folder)), Network(spark, folder).parts)
 
 
 @query
@@ -167,14 +167,14 @@ def component_order(spark, folder):
 @query
 def first_cases(spark, folder):
     """Of every year the first two cases, with their bonds."""
-    per = with_condition(views.sparse(spark, folder)).groupBy("condition", "case_id").agg(F.count("*").cast("long").alias("bonds"))
+    per = with_condition(sparse(spark, folder)).groupBy("condition", "case_id").agg(F.count("*").cast("long").alias("bonds"))
     return per.withColumn("k", F.row_number().over(Window.partitionBy("condition").orderBy("case_id"))).where("k <= 2").drop("k")
 
 
 @query
 def over_the_cap(spark, folder):
     """Cases with more bonds than a viewer takes: rows, not a silent cut."""
-    return views.sparse(spark, folder).groupBy("case_id").agg(F.count("*").cast("long").alias("bonds")).where("bonds > 60")
+    return sparse(spark, folder).groupBy("case_id").agg(F.count("*").cast("long").alias("bonds")).where("bonds > 60")
 
 
 @query

@@ -4,8 +4,8 @@
 Every step is a grouped minimum, which Spark combines before the shuffle, and a join of the edges
 with one minimum per node; no node's neighbours are ever gathered. A node with over one HOT-th of all
 edges, of which there are fewer than 2 * HOT, gets its minimum by broadcast, so that its edges stay where
-they are. Each round is written to the shared folder, which cuts the lineage; counts for the test of
-convergence are taken while it is written.
+they are. Each round is written to the shared folder, which cuts the lineage, and the round before is deleted;
+counts for the test of convergence are taken while it is written.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from meshwork.sources.storage import saved
+from meshwork.sources.storage import dropped, saved_at
 
 MOST_ROUNDS = 60
 HOT = 256
@@ -67,21 +67,22 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges: columns a and b. Returns node, root for each node with an edge to another one, the root
     itself left out; root is the smallest node of the component. Null ends and loops are ignored;
     edges may repeat, in either direction."""
-    now, mark = marked(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now, path, mark = marked(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     for _ in range(MOST_ROUNDS):
         if mark == before or not mark["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
-        now, mark = marked(small_star(large_star(now, mark["n"] / HOT)), name)
+        before, old = mark, path
+        now, path, mark = marked(small_star(large_star(now, mark["n"] / HOT)), name)
+        dropped(edges.sparkSession, old)
     raise RuntimeError(f"no fixpoint after {MOST_ROUNDS} rounds")
 
 
-def marked(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
-    """edges, saved, and their number and a sum of their hashes."""
+def marked(edges: DataFrame, name: str) -> tuple[DataFrame, str, dict]:
+    """edges, saved, where, and their number and a sum of their hashes."""
     seen = Observation()
     watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-    return saved(watched, name), seen.get
+    return *saved_at(watched, name), seen.get
 
 
 def large_star(edges: DataFrame, hot: float) -> DataFrame:

@@ -19,12 +19,15 @@ def bond_violations(bonds: DataFrame) -> DataFrame:
         F.count_if(F.col("endpoint_a") >= F.col("endpoint_b")).alias("order"),
         F.count_if((F.expr(f"endpoint_a div {ARMS}") != F.col("molecule_a")) | (F.expr(f"endpoint_b div {ARMS}") != F.col("molecule_b"))).alias("owner"),
         F.count_if((F.col("molecule_a") % 2 != 0) | (F.col("molecule_b") % 2 != 1)).alias("type"),
-        (F.max("bond_id") + 1 - F.count("*")).alias("numbering"),
     )
+    # Numbers have to be 0, 1, ...: repeated ones count, and those that are left out or below zero.
+    ids = bonds.groupBy("case_id", "bond_id").agg(F.count("*").alias("n"))
+    k = F.col("bond_id")
+    numbering = ids.groupBy("case_id").agg((F.sum(F.col("n") - 1) + F.greatest(F.max(k), F.lit(-1)) + 1 - F.count_if(k >= 0) + F.count_if(k < 0)).alias("numbering"))
     ends = bonds.select("case_id", F.explode(F.array("endpoint_a", "endpoint_b")).alias("endpoint"))
     reused = ends.groupBy("case_id", "endpoint").count().groupBy("case_id").agg(F.count_if(F.col("count") > 1).alias("endpoint_reuse"))
     many = pairs(bonds).groupBy("case_id").agg(F.count_if(F.col("multiplicity") > ARMS).alias("multiplicity"))
-    wide = per_row.join(reused, "case_id").join(many, "case_id")
+    wide = per_row.join(numbering, "case_id").join(reused, "case_id").join(many, "case_id")
     names = ["order", "owner", "type", "numbering", "endpoint_reuse", "multiplicity"]
     return wide.unpivot(["case_id"], names, "rule", "bad_count").select("case_id", "rule", F.col("bad_count").cast("long"))
 

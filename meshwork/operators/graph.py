@@ -4,11 +4,12 @@ Frames carry case_id; all cases are worked out together."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded
 from meshwork.operators.components import connected, contracted
+from meshwork.operators.numbering import numbered, with_group
 
 #: Molecules of a case have numbers below this; a node of all cases is case_id * NODES + molecule.
 NODES = 1 << 24
@@ -70,8 +71,7 @@ def clusters(bonds: DataFrame, parts: DataFrame) -> DataFrame:
         ends = ends.join(parts.select("case_id", F.col("molecule").alias(f"molecule_{side}"), F.col("root").alias(f"root_{side}")), ["case_id", f"molecule_{side}"])
     agreed = F.when(F.col("root_a") == F.col("root_b"), F.col("root_a")).otherwise(F.raise_error(F.lit("a bond between two clusters")).cast("long"))
     counts = ends.select("case_id", agreed.alias("root")).groupBy("case_id", "root").agg(F.count("*").cast("long").alias("bond_count"))
-    dense_id = (F.dense_rank().over(Window.partitionBy("case_id").orderBy("root")) - 1).cast("long")
-    return sizes.join(counts, ["case_id", "root"], "left").fillna(0, ["bond_count"]).withColumn("cluster_id", dense_id)
+    return numbered(sizes.join(counts, ["case_id", "root"], "left").fillna(0, ["bond_count"]), ["case_id"], ["root"], "cluster_id")
 
 
 def cluster_members(parts: DataFrame, summary: DataFrame, degree: DataFrame) -> DataFrame:
@@ -98,29 +98,15 @@ def network_summary(summary: DataFrame) -> DataFrame:
 
 def with_largest(summary: DataFrame) -> DataFrame:
     """is_largest: one cluster a case, of the largest the one of the smallest id; tied: all of the largest size."""
-    by = Window.partitionBy("case_id")
-    one = F.row_number().over(by.orderBy(F.desc("molecule_count"), "cluster_id")) == 1
-    return summary.withColumn("is_largest", one).withColumn("tied", F.col("molecule_count") == F.max("molecule_count").over(by))
-
-
-def two_core(bonds: DataFrame) -> DataFrame:
-    """case_id, molecule_a, molecule_b, multiplicity: what is left when molecules with one neighbour go, again and again."""
-    from meshwork.sources.storage import saved
-
-    left, n = saved(pairs(bonds), "core"), -1
-    while n != (n := left.count()):
-        ends = left.select("case_id", F.explode(F.array("molecule_a", "molecule_b")).alias("molecule"))
-        alive = ends.groupBy("case_id", "molecule").count().where("count >= 2").select("case_id", "molecule")
-        kept = left
-        for side in ("molecule_a", "molecule_b"):
-            kept = kept.join(alive.withColumnRenamed("molecule", side), ["case_id", side], "left_semi")
-        left = saved(kept.select(*left.columns), "core")
-    return left
+    first = F.max_by("cluster_id", F.struct(F.col("molecule_count"), -F.col("cluster_id")))
+    top = summary.groupBy("case_id").agg(F.max("molecule_count").alias("top_size"), first.alias("top_id"), F.count("*").alias("top_clusters"))
+    marked = with_group(summary, top, ["case_id"], "top_clusters")
+    return marked.select(*summary.columns, (F.col("cluster_id") == F.col("top_id")).alias("is_largest"), (F.col("molecule_count") == F.col("top_size")).alias("tied"))
 
 
 def cluster_doubles(bonds: DataFrame, parts: DataFrame, summary: DataFrame) -> DataFrame:
-    """case_id, cluster_id, size, bonds, h2, and h2 per molecule and per two bonds."""
+    """case_id, root, cluster_id, size, bonds, h2, and h2 per molecule and per two bonds."""
     doubled = pairs(bonds).where("multiplicity = 2").join(parts.withColumnRenamed("molecule", "molecule_a"), ["case_id", "molecule_a"])
     h2 = doubled.groupBy("case_id", "root").agg(F.count("*").cast("long").alias("h2"))
     rows = summary.join(h2, ["case_id", "root"], "left").fillna(0, ["h2"])
-    return rows.select("case_id", "cluster_id", F.col("molecule_count").alias("size"), F.col("bond_count").alias("bonds"), "h2", rounded(ratio(F.col("h2"), F.col("molecule_count"))).alias("endpoint_fraction_all"), rounded(ratio(2 * F.col("h2"), F.col("bond_count"))).alias("endpoint_fraction_bonded"))
+    return rows.select("case_id", "root", "cluster_id", F.col("molecule_count").alias("size"), F.col("bond_count").alias("bonds"), "h2", rounded(ratio(F.col("h2"), F.col("molecule_count"))).alias("endpoint_fraction_all"), rounded(ratio(2 * F.col("h2"), F.col("bond_count"))).alias("endpoint_fraction_bonded"))

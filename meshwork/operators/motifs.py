@@ -6,7 +6,7 @@ three at most: the rows grow with the number of molecules."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded
@@ -59,10 +59,9 @@ def participating(bonds: DataFrame, length: int) -> DataFrame:
 
 def cluster_cycles(bonds: DataFrame, parts: DataFrame, doubles: DataFrame) -> DataFrame:
     """A row a cluster: cycles of molecules and of bonds, bonds in some cycle, and their shares of all arms.
-    doubles: the clusters with h2 and is_largest. A cycle lies in one cluster, that of its smallest molecule."""
+    doubles: the clusters with root, h2 and is_largest. A cycle lies in one cluster, that of its smallest molecule."""
     roots = parts.select("case_id", F.col("molecule").alias("v0"), "root")
-    clusters = parts.groupBy("case_id", "root").agg(F.count("*").alias("n")).withColumn("cluster_id", (F.dense_rank().over(Window.partitionBy("case_id").orderBy("root")) - 1).cast("long"))
-    rows = doubles.join(clusters.select("case_id", "root", "cluster_id"), ["case_id", "cluster_id"])
+    rows = doubles
     multiple = pairs(bonds)
     for length in (4, 6):
         found = saved(cycles(bonds, length), "cycles")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of what is kept for a session's further queries.
+KEPT: dict[tuple, str] = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,8 +31,45 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there and it is worked out once."""
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends there and it is worked out once."""
+    return saved_at(df, name)[0]
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes what was saved, once nothing reads it any more."""
+    files, at = hadoop(spark, path)
+    files.delete(at, True)
+
+
+def state(spark: SparkSession, path: str) -> tuple:
+    """Number of files, bytes and time of a table's last change."""
+    files, at = hadoop(spark, path)
+    sums, own = files.getContentSummary(at), files.getFileStatus(at)
+    return sums.getFileCount(), sums.getLength(), own.getModificationTime()
+
+
+def kept(spark: SparkSession, folder: str, tables: tuple[str, ...], name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), saved once a session for the tables as they are now: another state of one of them, or a saved
+    table that is gone, has it made again."""
+    states = tuple(state(spark, f"{folder}/{t}.parquet") for t in tables)
+    key = (spark.sparkContext.applicationId, folder, name, states)
+    path = KEPT.get(key)
+    if path:
+        files, at = hadoop(spark, f"{path}/_SUCCESS")
+        if files.exists(at):
+            return spark.read.parquet(path)
+    df, KEPT[key] = saved_at(make(), name)
+    return df
