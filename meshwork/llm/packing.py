@@ -257,7 +257,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     begun = saved(counts.withColumn("before", F.coalesce(before, F.lit(0)).cast("long")), "piece-counts")
     total = {r["length"]: r["n"] for r in begun.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    numbered = made.join(begun.select("part", "length", "before"), ["part", "length"]).withColumn("number", F.col("before") + F.col("k"))
+    # The counts grow with the number of tasks, so they are not broadcast.
+    numbered = made.join(begun.select("part", "length", "before").hint("merge"), ["part", "length"]).withColumn("number", F.col("before") + F.col("k"))
     keep = [id_col, "piece", "start", "length", "ids_crc32", *(["tokens"] if tokens else [])]
     return placed(numbered.select(*keep, "number"), plan(total, capacity).runs).select(*keep, "sequence_id", "offset")
 
