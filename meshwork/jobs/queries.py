@@ -352,7 +352,7 @@ def stride_thinning(spark, folder):
     return rows.where(F.col("k") % F.col("stride") == 0).select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
 
 
-from meshwork.jobs import integrity_queries, study_queries  # noqa: E402  (register further queries)
+from meshwork.jobs import integrity_queries, results_queries, study_queries  # noqa: E402  (register further queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -360,4 +360,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | study_queries.ORACLES | integrity_queries.ORACLES
+    return ORACLES | study_queries.ORACLES | integrity_queries.ORACLES | results_queries.ORACLES

@@ -122,3 +122,50 @@ def trajectory_violations(steps: DataFrame, keys: list[str]) -> DataFrame:
         (F.count_distinct("type") > 1).cast("int").alias("mixed"),
     )
     return per.where("gaps + jumps + crossings + mixed > 0")
+
+
+def layout_faults(relation: DataFrame, sizes: list[int], percents: list[int]) -> DataFrame:
+    """size, percent, problem: of a keyed relation (size, percent, scope, size_low, size_high, n, total): repeated keys,
+    contributions that can't be (n not from 1 to total), fractions that are no whole percent, and conditions that the
+    layout of sizes by percents has and the relation has not, or the other way round."""
+    c = F.col
+    key = ["size", "percent", "scope", "size_low", "size_high"]
+    odd = relation.select("size", "percent", F.when(c("percent").isNull(), "percent").when(~F.coalesce(c("n").between(1, c("total")), F.lit(False)), "contribution").alias("problem")).where("problem is not null").distinct()
+    again = relation.groupBy(*key).count().where("count > 1").select("size", "percent", F.lit("repeated").alias("problem")).distinct()
+    expected = relation.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sizes))).alias("size")).select("size", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    return odd.unionByName(again).unionByName(coverage(relation.where("percent is not null"), expected, ["size", "percent"]))
+
+
+def aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a, unless a and b do not have the same conditions: then reading it fails, with the first that is alone."""
+    alone = coverage(a, b, keys).agg(F.min(F.to_json(F.struct(*keys, "problem"))).alias("alone"))
+    checked = a.crossJoin(F.broadcast(alone))
+    return checked.where(F.when(F.col("alone").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("not aligned: "), F.col("alone"))).cast("boolean"))).drop("alone")
+
+
+def replicates(rows: DataFrame, keys: list[str], expected: int) -> DataFrame:
+    """keys, samples: the conditions that have not exactly as many samples."""
+    return rows.groupBy(*keys).agg(F.count("*").cast("long").alias("samples")).where(F.col("samples") != expected)
+
+
+def moment_faults(samples: DataFrame, histogram: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """case_id, rule: sample rows whose numbers are not those of their histogram (case_id, size, count) of cluster
+    sizes, up to tolerance, relative or absolute; a moment is undefined in both or in none."""
+    s, n = F.col("size"), F.col("count")
+    per = histogram.groupBy("case_id").agg(
+        F.sum(n).alias("of_clusters"), F.sum(s * n).alias("of_molecules"), F.max("size").alias("of_largest"), F.max_by("count", "size").alias("ties"),
+        F.sum(s * s * n).alias("squares"), F.coalesce(F.sum(F.when(s == 1, n)), F.lit(0)).alias("of_isolated"),
+    )
+    c = F.col
+    top, all_top = c("of_largest"), c("of_largest") * c("ties")
+    want = {
+        "largest_fraction": ratio(top, c("of_molecules")),
+        "size_mean": ratio(c("of_molecules"), c("of_clusters")),
+        "weighted_all": ratio(c("squares"), c("of_molecules")),
+        "weighted_excl_one": ratio(c("squares") - top * top, c("of_molecules") - top),
+        "weighted_excl_all_tied": ratio(c("squares") - top * all_top, c("of_molecules") - all_top),
+    }
+    rows = samples.join(per, "case_id", "left")
+    rules = {name: (c(name) == c(f"of_{name}")) for name in ("clusters", "molecules", "largest")} | {"isolated_molecules": c("isolated_molecules") == c("of_isolated")}
+    rules |= {name: (c(name).isNull() & x.isNull()) | (F.abs(c(name) - x) <= tolerance * F.greatest(F.lit(1.0), F.abs(x))) for name, x in want.items()}
+    return broken(rows, ["case_id"], rules)

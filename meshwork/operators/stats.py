@@ -195,3 +195,20 @@ def cycle_bin_summary(bins: DataFrame, conditions: DataFrame) -> DataFrame:
     per = [x for m in CYCLE_METRICS for x in (rounded(F.avg(m)).alias(f"{m}_mean"), rounded(F.stddev_samp(m) / F.sqrt(F.count(m))).alias(f"{m}_se"))]
     rows = bins.groupBy("condition", "scope", "size_low", "size_high").agg(F.count("*").cast("long").alias("n_contributing"), F.sum("cluster_count").alias("clusters"), *per)
     return rows.join(F.broadcast(total), "condition").withColumn("cluster_count_mean", rounded(ratio(F.col("clusters"), F.col("n_total")))).drop("clusters")
+
+
+def keyed(relation: DataFrame, phi: str = "target_phi") -> DataFrame:
+    """relation with percent: the fraction, a decimal number as text, in whole percent; null where it is none."""
+    exact = F.expr(f"try_cast({phi} AS decimal(20,10))") * 100
+    return relation.withColumn("percent", F.when(exact == F.floor(exact), exact.cast("int")))
+
+
+def on_grid(relation: DataFrame, rows: list[str], columns: list[str], values: dict[str, object]) -> DataFrame:
+    """A row for every pair of a row key and a column key that relation has, with values (column -> what stands where
+    there is no row; None for undefined). The column keys, bins or conditions, go along as an array; a repeated pair fails."""
+    across = relation.select(F.struct(*columns).alias("c")).distinct().agg(F.array_sort(F.collect_list("c")).alias("across"))
+    grid = relation.select(*rows).distinct().crossJoin(F.broadcast(across)).select(*rows, F.explode("across").alias("c")).select(*rows, "c.*")
+    once = relation.groupBy(*rows, *columns).agg(F.count("*").alias("copies"), *(F.min(v).alias(v) for v in values))
+    single = F.when(F.col("copies") > 1, F.raise_error(F.concat(F.lit("a repeated row: "), F.to_json(F.struct(*rows, *columns)))).cast("boolean")).otherwise(True)
+    filled = grid.join(once.where(single).drop("copies"), [*rows, *columns], "left")
+    return filled.select(*rows, *columns, *(F.col(v) if absent is None else F.coalesce(v, F.lit(absent)).alias(v) for v, absent in values.items()))

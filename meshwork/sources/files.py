@@ -85,3 +85,40 @@ def viewer_model(trajectories: DataFrame) -> DataFrame:
     centre = trajectories.where("arm = -1").select("case_id", "molecule", "type", F.array("x", "y", "z").alias("centre"))
     # One row per molecule: a case may have any number of them.
     return centre.join(arms, ["case_id", "molecule"]).select("case_id", "molecule", F.to_json(F.struct(F.col("molecule").alias("id"), "type", "centre", "arms")).alias("json"))
+
+
+#: Columns that a file may have; more are a fault of the rows' keys.
+MOST_COLUMNS = 10_000
+
+
+def columns_of(rows: DataFrame, cells: str, order: list[str]) -> list[str]:
+    """The keys of the maps in column cells, by first appearance: the first row (by order) that has the key, then its
+    place in the map. One row a key reaches the driver."""
+    each = rows.select(F.struct(*order).alias("row"), F.posexplode(F.map_keys(cells)).alias("at", "key"))
+    first = each.groupBy("key").agg(F.min(F.struct("row", "at")).alias("first"))
+    keys = first.orderBy("first", "key").limit(MOST_COLUMNS + 1).select("key").collect()
+    if len(keys) > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} columns")
+    return [k[0] for k in keys]
+
+
+def export_union(rows: DataFrame, cells: str, order: list[str], folder: str) -> list[str]:
+    """Writes rows of maps (text to text) as CSV with a header, one column for each key that any row has; a row without
+    a key has an empty cell. No rows, or only empty maps, are an error and leave nothing. Returns the columns."""
+    names = columns_of(rows, cells, order)
+    if not names:
+        raise ValueError("no rows to export")
+    by = [F.col(c).asc_nulls_first() for c in order]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges, so that the files one after the other have the rows in order.
+    dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    dealt.select(*(F.try_element_at(cells, F.lit(k)).alias(k) for k in names)).write.mode("errorifexists").option("header", True).csv(folder)
+    return names
+
+
+def columns_in(rows: DataFrame, *fields: str) -> DataFrame:
+    """rows with these columns only; the missing ones are named in the error."""
+    absent = [f for f in fields if f not in rows.columns]
+    if absent:
+        raise ValueError(f"missing columns: {', '.join(absent)}")
+    return rows.select(*fields)
