@@ -209,6 +209,6 @@ def partnered(rows: DataFrame, keys: Callable[..., Iterable], linked: Callable[[
         small = (size > 1) & (size <= group)
         a, b = compare(first[small], size[small], key, node, other, linked)
         whole = np.repeat(first[size > group], size[size > group]) + ranges(size[size > group])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b, node[whole]])))], ["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b, node[whole]])).astype(np.int64))], ["node"])
 
     return dealt(rows, keys, kinds).mapInArrow(look, "node long")

@@ -145,41 +145,83 @@ def test_lines_equal_brute_force(spark):
     assert all(r.n_removed == ((dict(rows)[r.doc_id] or "").count("\n") - (r.text or "").count("\n") if r.text else r.n_lines) for r in got)
 
 
-@pytest.mark.parametrize("words", [(5, 10), (11, 20), (21, 40), (41, 100), (101, 300)])
-def test_changed_lines_are_found(spark, words):
-    """Recall against edit similarity alone: a word changed, a word added, a letter changed, several words changed."""
-    rng = random.Random(words[0])
+def changed(rng, line, vocabulary, kind, share):
+    if kind == "words":
+        words = line.split(" ")
+        for k in rng.sample(range(len(words)), max(1, round(share * len(words)))):
+            words[k] = rng.choice(vocabulary)
+        return " ".join(words)
+    signs = list(line)
+    for k in rng.sample(range(len(signs)), max(1, round(share * len(signs)))):
+        signs[k] = rng.choice("abcdefghijklmnop")
+    return " ".join("".join(signs).split())
+
+
+#: Share of alike pairs found, by kind and share of the edits, and by words: 5-10, 11-20, 21-40, 41-100, 101-300.
+RECALL = {
+    ("words", 0.05): (0.9, 0.9, 0.9, 0.9, 0.9),
+    ("words", 0.1): (0.9, 0.9, 0.9, 0.9, 0.9),
+    ("words", 0.15): (0.9, 0.9, 0.9, 0.9, 0.9),
+    ("words", 0.2): (0.85, 0.85, 0.85, 0.85, 0.55),
+    ("letters", 0.03): (0.9, 0.9, 0.9, 0.9, 0.9),
+    ("letters", 0.06): (0.85, 0.9, 0.9, 0.9, 0.75),
+    ("letters", 0.1): (0.55, 0.5, 0.5, 0.55, 0.4),
+}
+
+
+@pytest.mark.parametrize("edits", list(RECALL), ids=lambda e: f"{e[0]}-{e[1]}")
+def test_changed_lines_are_found(spark, edits):
+    """Recall against edit similarity alone, in each class of length; what is not alike stays."""
+    rng = random.Random(str(edits))
     vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
-    rows, alike = [], {}
-    for k in range(240):
-        line = [rng.choice(vocabulary) for _ in range(rng.randint(*words))]
-        other, at = list(line), rng.randrange(len(line))
-        if k % 4 == 0:
-            other[at] = rng.choice(vocabulary)
-        elif k % 4 == 1:
-            other.insert(at, rng.choice(vocabulary))
-        elif k % 4 == 2:
-            other[at] = "x" + other[at][1:]
-        else:
-            for _ in range(max(1, len(line) // 12)):
-                other[rng.randrange(len(line))] = rng.choice(vocabulary)
-        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
-        a, b = rows[-2][1], rows[-1][1]
-        alike[2 * k + 1] = levenshtein(a, b) <= 0.2 * max(len(a), len(b))
+    rows, of, alike = [], {}, {}
+    for c, words in enumerate(((5, 10), (11, 20), (21, 40), (41, 100), (101, 300))):
+        for _ in range(80):
+            a = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(*words)))
+            b = changed(rng, a, vocabulary, *edits)
+            k = len(rows)
+            rows += [(k, a), (k + 1, b)]
+            of[k + 1], alike[k + 1] = c, line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b))
     text = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    found, pairs = sum(text[k] == "" for k, yes in alike.items() if yes), sum(alike.values())
-    assert pairs > 100 and found >= 0.95 * pairs
-    assert all(text[k] == t for k, t in rows if not alike.get(k))  # what is not alike stays
+    for c, least in enumerate(RECALL[edits]):
+        pairs = [k for k, yes in alike.items() if yes and of[k] == c]
+        assert sum(text[k] == "" for k in pairs) >= least * len(pairs), (c, sum(text[k] == "" for k in pairs), len(pairs))
+    assert all(text[k] == t for k, t in rows if not alike.get(k))
 
 
-def test_alignment_never_costs_less_than_the_distance():
+def test_distances_of_many_pairs_are_exact():
     rng = random.Random(9)
-    for _ in range(3000):
-        a, b = ([rng.choice(("a", "bc", "def", "gh", "xyzw")) for _ in range(rng.randint(1, 14))] for _ in range(2))
-        assert line_dedup.aligned_cost(a, b, 1e9) >= levenshtein(" ".join(a), " ".join(b))
-        if min(len(a), len(b)) < line_dedup.FEW_WORDS:
-            a, b = " ".join(a), " ".join(b)
-            assert line_dedup.alike(a, b, 0.7) == (levenshtein(a, b) <= int(0.3 * max(len(a), len(b)) + 1e-9))
+    a, b = [], []
+    for _ in range(2000):
+        x = [rng.choice("abcdé 日") for _ in range(rng.randint(1, rng.choice((3, 63, 64, 65, 130))))]
+        a.append("".join(x))
+        for _ in range(rng.randint(0, len(x) // 3 + 1)):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randrange(2)] = rng.choice(("", "x", "yz"))
+            x = x or ["q"]
+        b.append("".join(x))
+    want = [levenshtein(x, y) for x, y in zip(a[:400], b[:400])] + [line_dedup.edit_distance(x, y) for x, y in zip(a[400:], b[400:])]
+    kept = [k for k, y in enumerate(b) if y]
+    got = line_dedup.edit_distances([a[k] for k in kept], [b[k] for k in kept])
+    assert got.tolist() == [want[k] for k in kept]
+    assert line_dedup.alike(a, b, 0.7).tolist() == [d <= int(0.3 * max(len(x), len(y)) + 1e-9) for x, y, d in zip(a, b, want)]
+
+
+def test_clusters_of_far_pairs_are_looked_at_to_the_end(monkeypatch):
+    """Chains of candidates of which only some are alike: the groups are those of all alike pairs."""
+    monkeypatch.setattr(line_dedup, "ROUND", 3)
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(3)]
+    lines = [x[:k] + "xyz" + x[k + 3 :] for x in base for k in range(0, 36, 6)]
+    pairs = np.array([(i, j) for i in range(len(lines)) for j in range(i)])
+    rng.shuffle(lines)
+    held = [line_dedup.Cluster(np.arange(100, 100 + len(lines)), lines, pairs, True)]
+    line_dedup.verify(held, 0.8)
+    node, root = held[0].forest()
+    found = groups_of(range(len(lines)), [(a - 100, b - 100) for a, b in zip(node.tolist(), root.tolist())])
+    want = groups_of(range(len(lines)), [(i, j) for i, j in pairs.tolist() if levenshtein(lines[i], lines[j]) <= 8])
+    assert len(set(want.values())) == 3
+    assert {frozenset(k for k in found if found[k] == g) for g in found.values()} == {frozenset(k for k in want if want[k] == g) for g in want.values()}
 
 
 def test_large_clusters_go_by_blocks(spark, monkeypatch):
