@@ -1,11 +1,14 @@
 """A toxicity classifier with a counterfactual penalty.
 
-Features of a text are the presence of words and of word beginnings ("lower*"). Those that tell
-toxic from other labelled texts best are chosen by their log-odds over their standard error,
-from counts over the training texts; identity terms are always among them. A logistic regression
-is fitted to the labels with a penalty on score changes: for each training text that names a
-group, the term is swapped for others of its kind or left out, and the squared difference of the scores
-is added to the loss. So a neutral mention of a group adds no score.
+Features of a text are the presence of words and of word beginnings ("lower*"), and that several words begin
+so ("lower*3": three or more, repeats included). Those that tell toxic from other labelled texts best are
+chosen by their log-odds over their standard error, from counts over the training texts; identity terms
+are always among them. A logistic regression is fitted to the labels with a penalty on score changes: for
+each training text that names a group, the term is swapped for others of its kind or left out, and the
+squared difference of the scores is added to the loss. So a neutral mention of a group adds no score. A
+swap changes the features of the two terms and nothing else, so swaps are counted by the two terms, and
+texts by their label and features, before they reach the driver: what it gets is bounded by the sample's
+rows and the features chosen, not by the texts' length.
 
 Fitting uses at most SAMPLE_ROWS labelled rows, chosen by the hash of their id; scoring runs over
 every whole text. Null and empty texts have no features and get the score of the intercept.
@@ -32,6 +35,7 @@ from meshwork.llm.rows import id_type, keyed, map_slices, strings
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
+SEVERAL = (2, 3, 5)
 LONGEST_WORD, RUN = 40, 4
 
 # Identity terms, by kind; a term is swapped for others of its kind.
@@ -48,16 +52,26 @@ KIND_OF = {t: k for k, terms in IDENTITY_TERMS.items() for t in terms}
 WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str) -> set[str]:
-    """Runs of letters and digits of any script, in lower case."""
-    return set(WORD.findall(text.lower()))
+def words_of(text: str) -> Counter[str]:
+    """Runs of letters and digits of any script, in lower case, and how often each is there."""
+    return Counter(WORD.findall(text.lower()))
 
 
-def names_of(word: str) -> list[str]:
-    """The features that a word brings about."""
+def names_of(word: str) -> tuple[list[str], list[str]]:
+    """The features that a word brings about, and the beginnings that are counted over all words."""
     if len(word) > LONGEST_WORD:
-        return ["~" + word[k : k + RUN] for k in range(len(word) - RUN + 1)]
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)] if word not in KIND_OF else [word]
+        return ["~" + word[k : k + RUN] for k in range(len(word) - RUN + 1)], []
+    return [word], [word[:n] + "*" for n in BEGINNINGS if len(word) > n] if word not in KIND_OF else []
+
+
+def features_of(words: Counter[str]) -> set[str]:
+    own, begun = set(), Counter()
+    for word, n in words.items():
+        names, beginnings = names_of(word)
+        own.update(names)
+        for x in beginnings:
+            begun[x] += n
+    return own | begun.keys() | {f"{x}{k}" for x, n in begun.items() if n > 1 for k in SEVERAL if n >= k}
 
 
 @dataclass
@@ -70,11 +84,18 @@ class Model:
         place = {n: k for k, n in enumerate(self.weights)}
         weight = np.array([*self.weights.values(), 0.0])
 
+        levels = (("", 1), *((str(k), k) for k in SEVERAL))
+        begun = {x: [(n, place[x + level]) for level, n in levels if x + level in place] for x in {k[: k.index("*") + 1] for k in place if "*" in k}}
+
         class Known(dict):
+            """Word -> (places of its features, the beginnings of it that count)."""
+
             def __missing__(self, word: str):
                 if len(self) > 500_000:
                     self.clear()
-                got = tuple({place[n] for n in names_of(word) if n in place}) or None
+                names, beginnings = names_of(word)
+                got = (tuple({place[n] for n in names if n in place}), tuple(x for x in beginnings if x in begun))
+                got = got if any(got) else None
                 if len(word) <= LONGEST_WORD:
                     self[word] = got
                 return got
@@ -82,8 +103,16 @@ class Model:
         known = Known()
 
         def score(text: str) -> float:
-            found = {k for got in map(known.__getitem__, words_of(text)) if got for k in got}
-            z = self.intercept + float(weight[list(found)].sum()) if found else self.intercept
+            found, several = set(), {}
+            for word, n in words_of(text).items():
+                got = known[word]
+                if got:
+                    found.update(got[0])
+                    for x in got[1]:
+                        several[x] = several.get(x, 0) + n
+            found.update(at for x, n in several.items() for least, at in begun[x] if n >= least)
+            # In order, so that a score does not depend on that of a set.
+            z = self.intercept + float(weight[sorted(found)].sum()) if found else self.intercept
             return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
         return score
@@ -113,7 +142,7 @@ def count_features(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                (toxic if label else other).update({n for w in words_of(text) for n in names_of(w)})
+                (toxic if label else other).update(features_of(words_of(text)))
                 if len(toxic) + len(other) > 400_000:
                     yield out()
                     toxic.clear()
@@ -132,55 +161,52 @@ def choose_features(counts: DataFrame, n_toxic: int, n_other: int, least_z: floa
     return [r[0] for r in chosen.orderBy(F.abs("z").desc(), "name").collect()]
 
 
-def swapped(words: set[str]) -> list[set[str]]:
-    """The texts' words with one identity term exchanged for each other one of its kind, and without it
-    (else the weights of all terms could rise together)."""
+def swaps(words: Counter[str]) -> list[tuple[str, str | None]]:
+    """Each identity term of a text with each other one of its kind that it is exchanged for, and with None where it
+    is left out (else the weights of all terms could rise together) or the other one is there already."""
     out = []
-    for term in sorted(words & KIND_OF.keys()):
-        others = [t for t in IDENTITY_TERMS[KIND_OF[term]] if t != term]
-        out += [words - {term} | {other} for other in others] + [words - {term}]
+    for term in sorted(words.keys() & KIND_OF.keys()):
+        out += [(term, None if other in words else other) for other in IDENTITY_TERMS[KIND_OF[term]] if other != term] + [(term, None)]
     return out
 
 
 def design(rows: DataFrame, names: list[str]) -> DataFrame:
-    """label, places of the features present, and those of each counterfactual text."""
-    place = {n: k for k, n in enumerate(names)}
+    """label, x (places of the features present), n: texts with these; and, with a null label, x of two places, of a
+    term and of the one that it is swapped for (-1: none), n: how often."""
+    place = {n: k for k, n in enumerate(names)} | {None: -1}
 
     def run(batches):
-        of = lambda words: sorted({place[n] for w in words for n in names_of(w) if n in place})
         for batch in batches:
-            got = [(label, of(ws), [of(s) for s in swapped(ws)]) for label, ws in zip(batch.column(0).to_pylist(), map(words_of, strings(batch.column(1))))]
-            if got:
-                y, x, pairs = zip(*got)
-                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], ["label", "x", "swaps"])
-
-    return rows.mapInArrow(run, "label int, x array<int>, swaps array<array<int>>")
-
+            texts = [words_of(t) for t in strings(batch.column(1))]
+            x = [sorted(place[n] for n in features_of(words) if n in place) for words in texts]
+            pairs = Counter((place[a], place[b]) for words in texts for a, b in swaps(words))
+            labels = [*batch.column(0).to_pylist(), *[None] * len(pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([*x, *map(list, pairs)], pa.list_(pa.int32())), pa.array([*[1] * len(x), *pairs.values()], pa.int64())], ["label", "x", "n"])
 
-def sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.array([len(r) for r in rows], np.int64)
-    return np.repeat(np.arange(len(rows)), lens), np.fromiter((k for r in rows for k in r), np.int64, int(lens.sum()))
+    return rows.mapInArrow(run, "label int, x array<int>, n long").groupBy("label", "x").agg(F.sum("n").alias("n"))
 
 
-def train(labels: np.ndarray, x: list, swaps: list, n_features: int, fairness: float = 1.0, ridge: float = 3e-5, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
+def train(labels: np.ndarray, x: list, n: np.ndarray, pairs: np.ndarray, n_features: int, fairness: float = 1.0, ridge: float = 3e-5, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise mean log loss + ridge * |w|^2 + fairness * mean squared
-    difference of scores (log-odds) within counterfactual pairs. Adam on the whole sample."""
-    n = len(labels)
-    rows, cols = sparse(x)
-    pair_of = np.array([i for i, s in enumerate(swaps) for _ in s], np.int64)
-    prow, pcol = sparse([s for many in swaps for s in many])
+    difference of scores (log-odds) over swaps. x: places of the features of a kind of text, of which there are n;
+    pairs: rows of term, other term (-1: none) and the number of such swaps. Adam on the whole sample."""
+    total = float(n.sum())
+    lens = np.array([len(r) for r in x], np.int64)
+    rows, cols = np.repeat(np.arange(len(x)), lens), np.fromiter((k for r in x for k in r), np.int64, int(lens.sum()))
+    term, other, often = np.asarray(pairs, np.int64).reshape(-1, 3).T
+    other = np.where(other < 0, n_features, other)
     y = labels.astype(float)
-    w, b = np.zeros(n_features), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    toxic = float(n[labels].sum())
+    w, b = np.zeros(n_features), float(np.log((toxic + 1) / (total - toxic + 1)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):
-        z = b + np.bincount(rows, w[cols], n)
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        d = (p - y) / n
+        z = b + np.bincount(rows, w[cols], len(x))
+        d = n * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / total
         grad = np.bincount(cols, d[rows], n_features) + 2 * ridge * w
-        if len(pair_of):
-            gap = 2 * fairness / len(pair_of) * (z[pair_of] - b - np.bincount(prow, w[pcol], len(pair_of)))
-            whole = np.bincount(pair_of, gap, n)
-            grad += np.bincount(cols, whole[rows], n_features) - np.bincount(pcol, gap[prow], n_features)
+        if len(term):
+            padded = np.append(w, 0.0)
+            gap = 2 * fairness * often / often.sum() * (padded[term] - padded[other])
+            grad += np.bincount(term, gap, n_features) - np.bincount(other, gap, n_features + 1)[:-1]
         g = np.append(grad, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -196,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(intercept=-40.0)
     names = choose_features(count_features(sample), n_toxic, n_other)
     names += sorted(KIND_OF.keys() - set(names))
-    got = design(sample, names).collect()
-    w, b = train(np.array([r[0] for r in got]) > 0, [r[1] for r in got], [r[2] for r in got], len(names), fairness)
+    got = sorted((tuple(r) for r in design(sample, names).collect()), key=str)  # in one order, whatever task was first
+    kinds, pairs = [r for r in got if r[0] is not None], [(*r[1], r[2]) for r in got if r[0] is None]
+    w, b = train(np.array([r[0] for r in kinds]) > 0, [r[1] for r in kinds], np.array([r[2] for r in kinds]), pairs, len(names), fairness)
     return Model(dict(zip(names, map(float, w))), b)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -206,8 +207,113 @@ def test_toxicity_on_held_out_labels(spark):
     labels = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/labels.parquet")
     got = toxicity.digest(toxicity.score(docs, toxicity.fit(docs, labels))).join(labels, "doc_id").where("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
-    assert sum(r.predicted for r in got if r.toxic) >= 0.6 * sum(r.toxic for r in got)
-    assert sum(r.predicted for r in got if not r.toxic) <= 0.03 * len(got)
+    assert sum(r.predicted for r in got if r.toxic) >= 0.8 * sum(r.toxic for r in got)
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.01 * len(got)
+
+
+def plain_fit(rows, names, fairness, ridge=3e-5, steps=400, rate=0.5):
+    """The same loss in plain Python: every text and every swapped text on its own, gradients by hand."""
+    place = {n: k for k, n in enumerate(names)}
+    of = lambda words: [place[f] for f in plain_features(words) if f in place]
+    texts, labels, pairs = [], [], []
+    for label, text in rows:
+        words = re.findall(r"[^\W_]+", text.lower())
+        texts.append(of(words))
+        labels.append(label)
+        for term in sorted(set(words) & toxicity.KIND_OF.keys()):
+            for other in [*(t for t in toxicity.IDENTITY_TERMS[toxicity.KIND_OF[term]] if t != term), None]:
+                pairs.append((texts[-1], of([w for w in words if w != term] + ([other] if other else []))))
+    n, ones = len(rows), sum(labels)
+    w, b = [0.0] * len(names), math.log((ones + 1) / (n - ones + 1))
+    m, v = [0.0] * (len(names) + 1), [0.0] * (len(names) + 1)
+    for t in range(1, steps + 1):
+        g = [2 * ridge * x for x in w] + [0.0]
+        for x, y in zip(texts, labels):
+            d = (1 / (1 + math.exp(-(b + sum(w[k] for k in x)))) - y) / n
+            for k in x:
+                g[k] += d
+            g[-1] += d
+        for x, y in pairs:
+            gap = 2 * fairness / len(pairs) * (sum(w[k] for k in x) - sum(w[k] for k in y))
+            for k in x:
+                g[k] += gap
+            for k in y:
+                g[k] -= gap
+        for k, x in enumerate(g):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.999 * v[k] + 0.001 * x * x
+            step = rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (math.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            if k < len(w):
+                w[k] -= step
+            else:
+                b -= step
+    return w, b
+
+
+def plain_features(words):
+    out, begun = set(), Counter()
+    for word in words:
+        if len(word) > 40:
+            out |= {"~" + word[k : k + 4] for k in range(len(word) - 3)}
+            continue
+        out.add(word)
+        if word not in toxicity.KIND_OF:
+            begun.update(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)
+    return out | set(begun) | {f"{x}{k}" for x, n in begun.items() for k in (2, 3, 5) if n >= k}
+
+
+def labelled(n=300, seed=5):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        toxic = k % 2
+        words = [rng.choice("trees treetop road lamp doors hill song rain birds stoneware".split()) for _ in range(8)]
+        if rng.random() < (0.6 if toxic else 0.1):
+            words += ["vilest" + rng.choice("abc") for _ in range(rng.randint(1, 4))]
+        if rng.random() < (0.7 if toxic else 0.3):
+            words += rng.sample(["women", "men", "girls", "gay", "black", "white"], rng.randint(1, 3))
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), toxic))
+    return rows
+
+
+@pytest.mark.parametrize("fairness", [0.0, 2.0])
+def test_fit_equals_a_plain_one(spark, fairness):
+    rows = labelled()
+    docs, labels = frame(spark, [r[:2] for r in rows]), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, fairness=fairness)
+    taught = [(y, t) for k, t, y in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(taught) > 150 and {"vile*", "vile*2", "women"} <= model.weights.keys()
+    w, b = plain_fit(taught, list(model.weights), fairness)
+    assert max(abs(x - y) for x, y in zip(w, model.weights.values())) < 1e-6 and abs(b - model.intercept) < 1e-6
+
+
+def test_features_are_chosen_by_their_log_odds(spark):
+    rows = labelled()
+    docs, labels = frame(spark, [r[:2] for r in rows]), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    taught = [(y, t) for k, t, y in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    counts = {1: Counter(), 0: Counter()}
+    for y, t in taught:
+        counts[y].update(plain_features(t.split()))
+    size = Counter(y for y, _ in taught)
+    want = set(toxicity.KIND_OF)
+    for f in counts[0].keys() | counts[1].keys():
+        a, b = counts[1][f] + 0.5, counts[0][f] + 0.5
+        if abs(math.log(a / (size[1] + 1 - a)) - math.log(b / (size[0] + 1 - b))) / math.sqrt(1 / a + 1 / b) >= 3:
+            want.add(f)
+    assert set(toxicity.fit(docs, labels).weights) == want
+
+
+def test_swaps_change_scores_of_held_out_mentions_little(spark):
+    """Neutral texts that teach nothing, with a group named: the gap between its terms is a tenth of the gap without penalty."""
+    rows = labelled(900)
+    docs, labels = frame(spark, [r[:2] for r in rows]), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    texts_ = [f"{term} {rest}" for rest in ("song rain", "hill road lamp") for term in ("women", "men", "boys", "")]
+    gap = {}
+    for fairness in (0.0, 5.0):
+        value = toxicity.fit(docs, labels, fairness=fairness).scorer()
+        scores = [math.log(s / (1 - s)) for s in map(value, texts_)]
+        gap[fairness] = max(max(scores[k : k + 4]) - min(scores[k : k + 4]) for k in (0, 4))
+    assert gap[0.0] > 0.5 and gap[5.0] < 0.1 * gap[0.0]
 
 
 def test_counterfactual_penalty_takes_groups_out_of_the_score(spark):
@@ -234,19 +340,12 @@ def test_counterfactual_penalty_takes_groups_out_of_the_score(spark):
 def test_scores_equal_a_plain_loop(spark):
     """Features by single look-ups and a plain sum, over whole texts, long words included."""
     rng = random.Random(3)
-    names = ["river", "stone", "the", "und*", "walk*", "walks", "women", "~aaaa", "日本", "über", "gr\u00fcn"]
+    names = ["river", "stone", "the", "ston*", "walk*", "walk*2", "walk*5", "rive*3", "walks", "women", "~aaaa", "日本", "über", "gr\u00fcn"]
     model = toxicity.Model({n: rng.uniform(-2, 2) for n in names}, -0.3)
     got = {(r.doc_id, r.score) for r in toxicity.score(frame(spark, texts()), model).collect()}
     want = set()
     for i, t in texts():
-        there = set()
-        for word in re.findall(r"[^\W_]+", (t or "").lower()):
-            if len(word) > 40:
-                there |= {"~" + word[k : k + 4] for k in range(len(word) - 3)}
-            elif word in toxicity.KIND_OF:
-                there.add(word)
-            else:
-                there |= {word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)}
+        there = plain_features(re.findall(r"[^\W_]+", (t or "").lower()))
         want.add((i, round(1 / (1 + np.exp(-(-0.3 + sum(w for n, w in model.weights.items() if n in there)))), 9)))
     assert {(i, round(x, 9)) for i, x in got} == want
 
@@ -255,7 +354,7 @@ def test_labels_of_one_kind_and_words_after_long_runs(spark):
     docs = frame(spark, [(k, f"{'字' * 60}vile{k}") for k in range(9)])
     labels = spark.createDataFrame([(k, 1) for k in range(9)], "doc_id long, toxic int")
     assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).count() == 9
-    assert "~vile" in toxicity.names_of("字" * 60 + "vile")
+    assert "~vile" in toxicity.names_of("字" * 60 + "vile")[0]
 
 
 def test_toxicity_edges(spark):
