@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,9 +67,12 @@ def id_type(df: DataFrame, id_col: str) -> str:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files of finished steps lie on the executors' disks until the driver's garbage collector
-    finds that nothing refers to them; this asks for a collection, after a step that shuffled much."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    finds that nothing refers to them; this asks for collections, after a step that shuffled much. The first
+    finds what Python let go, the second what that held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def unused(df: DataFrame, name: str) -> str:
