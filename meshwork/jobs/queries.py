@@ -35,6 +35,11 @@ def sparse(spark: SparkSession, folder: str) -> DataFrame:
     return bonds(spark, folder, views.SPARSE)
 
 
+def halves(spark: SparkSession, folder: str) -> DataFrame:
+    """Three-bond paths of the dense view, of which cycles are made."""
+    return kept(spark, folder, ("lineitem", "orders"), "halves", lambda: motifs.halves(dense(spark, folder)))
+
+
 class Network:
     """The bonds of all cases and what is derived from them."""
 
@@ -152,24 +157,24 @@ def presence_counts(spark, folder):
 
 @query
 def cycles4(spark, folder):
-    return motifs.cycle_counts(dense(spark, folder), 4).select("case_id", "cycles")
+    return motifs.cycle_counts(dense(spark, folder), 4, halves(spark, folder)).select("case_id", "cycles")
 
 
 @query
 def cycles6(spark, folder):
-    return motifs.cycle_counts(dense(spark, folder), 6).select("case_id", "cycles")
+    return motifs.cycle_counts(dense(spark, folder), 6, halves(spark, folder)).select("case_id", "cycles")
 
 
 @query
 def cycles_edge_multiplicity(spark, folder):
     rows = dense(spark, folder)
-    four, six = (motifs.cycle_counts(rows, n).select("case_id", F.col("edge_cycles").alias(f"c{n}_edge")) for n in (4, 6))
+    four, six = (motifs.cycle_counts(rows, n, halves(spark, folder)).select("case_id", F.col("edge_cycles").alias(f"c{n}_edge")) for n in (4, 6))
     return four.join(six, "case_id")
 
 
 @query
 def cycle_endpoint_share(spark, folder):
-    return motifs.participating(dense(spark, folder), 4)
+    return motifs.participating(dense(spark, folder), 4, halves(spark, folder))
 
 
 @query

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded
-from meshwork.jobs.queries import Network, query, sparse
+from meshwork.jobs.queries import Network, halves, query, sparse
 from meshwork.jobs.study_oracles import ORACLES  # noqa: F401
 from meshwork.operators import constraints, graph, motifs, spatial, stats
 from meshwork.sources import views
-from meshwork.sources.storage import saved, table
+from meshwork.sources.storage import kept, table
 
 #: Cases of a year are the samples of a condition.
 YEAR = 100 * views.CASES
@@ -86,7 +86,8 @@ def bin_plot_rows(spark, folder):
 
 def cycle_rows(spark, folder) -> DataFrame:
     net = Network(spark, folder, views.DENSE)
-    return motifs.cluster_cycles(net.bonds, net.parts, net.doubles())
+    make = lambda: motifs.cluster_cycles(net.bonds, net.parts, net.doubles(), halves(spark, folder))
+    return kept(spark, folder, ("lineitem", "orders"), "cycles", make)
 
 
 @query
@@ -101,7 +102,7 @@ def cycle_bins(spark, folder):
 
 @query
 def cycle_bin_summary(spark, folder):
-    rows = saved(cycle_rows(spark, folder), "cycles")
+    rows = cycle_rows(spark, folder)
     return stats.cycle_bin_summary(with_condition(stats.cycle_bins(rows)), with_condition(rows.select("case_id").distinct()))
 
 

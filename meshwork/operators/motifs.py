@@ -1,8 +1,10 @@
-"""Simple cycles of four and six molecules, by extending paths with equi-joins.
+"""Simple cycles of four and six molecules, from paths of three bonds.
 
-A path starts at its smallest molecule and closes in one of its two directions, so each cycle is
-found once. An arm bonds once, so a molecule has four neighbours at most and a path extends into
-three at most: the rows grow with the number of molecules."""
+A path starts at the smallest of its molecules. One whose ends are neighbours is a cycle of four; two that
+share both ends and nothing else are a cycle of six, so that both lengths come from one table of paths. The
+lesser of the first molecule's two neighbours tells the direction, so each cycle is found once. An arm bonds
+once, so a molecule has four neighbours at most and starts 36 paths at most: the rows grow with the number
+of molecules."""
 
 from __future__ import annotations
 
@@ -19,26 +21,38 @@ def neighbours(bonds: DataFrame) -> DataFrame:
     return p.unionByName(p.select("case_id", F.col("molecule_b").alias("molecule_a"), F.col("molecule_a").alias("molecule_b"), "multiplicity"))
 
 
-def cycles(bonds: DataFrame, length: int) -> DataFrame:
-    """case_id, v0..v(length-1), ways: the molecules around, and the product of their bonds' multiplicities."""
+def halves(bonds: DataFrame) -> DataFrame:
+    """case_id, v0..v3, ways: paths of three pairs of neighbours from v0, which is the smallest of the four molecules;
+    ways is the product of the multiplicities. Saved, as it serves several searches."""
     steps = neighbours(bonds)
     paths = steps.where("molecule_b > molecule_a").select("case_id", F.col("molecule_a").alias("v0"), F.col("molecule_b").alias("v1"), F.col("multiplicity").alias("ways"))
-    for k in range(2, length):
+    for k in (2, 3):
         step = steps.select("case_id", F.col("molecule_a").alias(f"v{k - 1}"), F.col("molecule_b").alias(f"v{k}"), "multiplicity")
-        new = F.col(f"v{k}")
-        fresh = new > F.col("v0")
+        fresh = F.col(f"v{k}") > F.col("v0")
         for j in range(1, k - 1):
-            fresh = fresh & (new != F.col(f"v{j}"))
+            fresh = fresh & (F.col(f"v{k}") != F.col(f"v{j}"))
         paths = paths.join(step, ["case_id", f"v{k - 1}"]).where(fresh).withColumn("ways", F.col("ways") * F.col("multiplicity")).drop("multiplicity")
-    last = f"v{length - 1}"
-    close = steps.select("case_id", F.col("molecule_a").alias(last), F.col("molecule_b").alias("v0"), "multiplicity")
-    closed = paths.where(F.col("v1") < F.col(last)).join(close, ["case_id", last, "v0"])
-    return closed.select("case_id", *(f"v{k}" for k in range(length)), (F.col("ways") * F.col("multiplicity")).alias("ways"))
+    return saved(paths.select("case_id", "v0", "v1", "v2", "v3", "ways"), "paths")
 
 
-def cycle_counts(bonds: DataFrame, length: int) -> DataFrame:
+def cycles(bonds: DataFrame, length: int, paths: DataFrame | None = None) -> DataFrame:
+    """case_id, v0..v(length-1), ways: the molecules around, and the product of their bonds' multiplicities.
+    length: 4 or 6. paths: the halves of the bonds, if there already."""
+    if length not in (4, 6):
+        raise ValueError("length: 4 or 6")
+    half = halves(bonds) if paths is None else paths
+    if length == 4:
+        close = pairs(bonds).select("case_id", F.col("molecule_a").alias("v0"), F.col("molecule_b").alias("v3"), "multiplicity")
+        met = half.where("v1 < v3").join(close, ["case_id", "v0", "v3"])
+        return met.select("case_id", "v0", "v1", "v2", "v3", (F.col("ways") * F.col("multiplicity")).alias("ways"))
+    back = half.select("case_id", "v0", F.col("v1").alias("v5"), F.col("v2").alias("v4"), "v3", F.col("ways").alias("more"))
+    met = half.join(back, ["case_id", "v0", "v3"]).where("v1 < v5 and v2 <> v4 and v1 <> v4 and v2 <> v5")
+    return met.select("case_id", *(f"v{k}" for k in range(6)), (F.col("ways") * F.col("more")).alias("ways"))
+
+
+def cycle_counts(bonds: DataFrame, length: int, paths: DataFrame | None = None) -> DataFrame:
     """Per case: cycles of distinct molecules, and of distinct bonds."""
-    found = cycles(bonds, length).groupBy("case_id").agg(F.count("*").cast("long").alias("cycles"), F.sum("ways").cast("long").alias("edge_cycles"))
+    found = cycles(bonds, length, paths).groupBy("case_id").agg(F.count("*").cast("long").alias("cycles"), F.sum("ways").cast("long").alias("edge_cycles"))
     return bonds.select("case_id").distinct().join(found, "case_id", "left").fillna(0, ["cycles", "edge_cycles"])
 
 
@@ -48,23 +62,24 @@ def sides(found: DataFrame, length: int) -> DataFrame:
     return found.select("case_id", F.explode(F.array(*pair)).alias("p")).select("case_id", "p.*").distinct()
 
 
-def participating(bonds: DataFrame, length: int) -> DataFrame:
+def participating(bonds: DataFrame, length: int, paths: DataFrame | None = None) -> DataFrame:
     """Per case: bonds in some cycle of this length, each once, and their share of the endpoints of all molecules."""
-    used = sides(cycles(bonds, length), length)
+    used = sides(cycles(bonds, length, paths), length)
     counts = pairs(bonds).join(used, ["case_id", "molecule_a", "molecule_b"]).groupBy("case_id").agg(F.sum("multiplicity").cast("long").alias("cycle_bonds"))
     every = bonds.groupBy("case_id").agg(F.count("*").cast("long").alias("bonds"))
     rows = every.join(counts, "case_id", "left").fillna(0, ["cycle_bonds"])
     return rows.select("case_id", "bonds", "cycle_bonds", rounded(ratio(F.col("cycle_bonds"), F.col("bonds"))).alias("bond_share"))
 
 
-def cluster_cycles(bonds: DataFrame, parts: DataFrame, doubles: DataFrame) -> DataFrame:
+def cluster_cycles(bonds: DataFrame, parts: DataFrame, doubles: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """A row a cluster: cycles of molecules and of bonds, bonds in some cycle, and their shares of all arms.
     doubles: the clusters with root, h2 and is_largest. A cycle lies in one cluster, that of its smallest molecule."""
     roots = parts.select("case_id", F.col("molecule").alias("v0"), "root")
     rows = doubles
     multiple = pairs(bonds)
+    half = halves(bonds) if paths is None else paths
     for length in (4, 6):
-        found = saved(cycles(bonds, length), "cycles")
+        found = saved(cycles(bonds, length, half), "cycles")
         counts = found.join(roots, ["case_id", "v0"]).groupBy("case_id", "root").agg(F.count("*").cast("long").alias(f"c{length}_mol"), F.sum("ways").cast("long").alias(f"c{length}_edge"))
         used = sides(found, length).join(multiple, ["case_id", "molecule_a", "molecule_b"]).withColumnRenamed("molecule_a", "v0").join(roots, ["case_id", "v0"])
         own = used.groupBy("case_id", "root").agg(F.sum("multiplicity").cast("long").alias(f"b{length}"))
