@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import derived_seed, near, ratio, rounded
 from meshwork.jobs.oracles import ORACLES
 from meshwork.operators import constraints, cores, graph, kernels, motifs, spatial, stats
+from meshwork.operators.numbering import numbered, with_group
 from meshwork.sources import views
 from meshwork.sources.storage import kept, saved, table
 
@@ -337,9 +338,10 @@ def group_union(spark, folder):
 @query
 def trajectory_step_check(spark, folder):
     """Per user the events whose id does not follow the one before by time."""
-    steps = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, folder, "events").withColumn("before", F.lag("event_id").over(steps))
-    return rows.groupBy("user_id").agg(F.count_if(F.col("event_id") <= F.col("before")).cast("long").alias("backward"), F.count_if(F.col("event_id") == F.col("before") + 1).cast("long").alias("unit_steps"), F.count("*").cast("long").alias("steps"))
+    rows = numbered(table(spark, folder, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
+    before = rows.select("user_id", (F.col("place") + 1).alias("place"), F.col("event_id").alias("before"))
+    met = rows.join(before, ["user_id", "place"], "left")
+    return met.groupBy("user_id").agg(F.count_if(F.col("event_id") <= F.col("before")).cast("long").alias("backward"), F.count_if(F.col("event_id") == F.col("before") + 1).cast("long").alias("unit_steps"), F.count("*").cast("long").alias("steps"))
 
 
 @query
@@ -352,8 +354,9 @@ def nest_arms(spark, folder):
 @query
 def stride_thinning(spark, folder):
     """Every so manyth customer of each nation, such that at most ten of one are shown."""
-    by = Window.partitionBy("c_nationkey")
-    rows = table(spark, folder, "customer").select("c_custkey", "c_nationkey").withColumn("k", F.row_number().over(by.orderBy("c_custkey")) - 1).withColumn("stride", F.ceil(F.count("*").over(by) / 10))
+    placed = numbered(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"], "k")
+    sizes = placed.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.ceil(F.count("*") / 10).alias("stride"))
+    rows = with_group(placed, sizes, ["c_nationkey"], "n")
     return rows.where(F.col("k") % F.col("stride") == 0).select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
 
 

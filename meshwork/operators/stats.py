@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import ratio, rounded, size_high, size_low, spread
+from meshwork.operators.numbering import numbered, with_group
 
 
 def moments(summary: DataFrame, rounded: Callable[[Column], Column] = rounded) -> DataFrame:
@@ -122,18 +123,28 @@ def nearest(summary: DataFrame, target: float) -> DataFrame:
     return summary.where("share_mean is not null").groupBy("segment").agg(F.min_by("region", gap).alias("nearest_region"))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median (exact; of an even number of values the mean of the two in the middle) of groups of any size:
+    values are numbered across partitions, so no task holds a group's. Nulls do not count."""
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("size"))
+    middle = with_group(placed, sizes.withColumn("rows", F.col("size")), keys, "rows")
+    return middle.where("place = (size - 1) div 2 or place = size div 2").groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
 def resources(stages: DataFrame) -> DataFrame:
     """Per group: attempted and by status; median, least and most of the completed ones only."""
     done = F.when(F.col("status") == "F", F.col("value"))
-    return stages.groupBy("grp").agg(
+    middle = medians(stages.select("grp", done.alias("done")), ["grp"], "done")
+    per = stages.groupBy("grp").agg(
         F.count("*").cast("long").alias("attempted"),
         F.count_if(F.col("status") == "F").cast("long").alias("completed"),
         F.count_if(F.col("status") == "P").cast("long").alias("incomplete"),
         F.count_if(F.col("status") == "O").cast("long").alias("open_ones"),
-        rounded(F.median(done)).alias("median_value"),
         F.min(done).alias("least_value"),
         F.max(done).alias("most_value"),
     )
+    return per.join(middle, "grp", "left").withColumn("median_value", rounded(F.col("median"))).drop("median")
 
 
 #: Numbers of a sample row that studies summarise.

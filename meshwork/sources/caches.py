@@ -40,7 +40,7 @@ def reasons(version: str) -> Column:
     wrong = lambda i: i["cluster_id"].isNull() | i["size"].isNull() | i["h2"].isNull() | i["bonds"].isNull() | (i["cluster_id"] < 0) | (i["size"] < 1) | (i["h2"] < 0) | (2 * i["h2"] > i["bonds"]) | (i["bonds"] > 2 * i["size"])
     total = lambda f: F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i[f])
     same = (c("totals.clusters") == F.size("items")) & (c("totals.molecules") == total("size")) & (c("totals.largest") == F.array_max(F.transform("items", lambda i: i["size"]))) & (c("totals.h2") == total("h2")) & (c("totals.bonds") == total("bonds"))
-    chunk = c("chunk") >= 0
+    chunk = F.coalesce(c("chunk") >= 0, F.lit(False))
     rules = (
         ("version", c("version") != version),
         ("key", c("case_id").isNull() | c("chunk").isNull() | (c("chunk") < -1)),
