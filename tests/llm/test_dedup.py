@@ -165,7 +165,7 @@ RECALL = {
     ("words", 0.2): (0.8, 0.76, 0.72, 0.72, 0.5),
     ("letters", 0.03): (0.92, 0.95, 0.95, 0.95, 0.9),
     ("letters", 0.06): (0.8, 0.74, 0.78, 0.78, 0.68),
-    ("letters", 0.1): (0.5, 0.3, 0.3, 0.3, 0.15),
+    ("letters", 0.1): (0.3, 0.25, 0.25, 0.25, 0.1),
 }
 
 
