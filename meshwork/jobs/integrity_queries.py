@@ -37,13 +37,18 @@ def molecule_ends(spark, folder):
 
 
 def ends(spark, folder) -> DataFrame:
-    return kept(spark, folder, ("orders",), "ends", lambda: trajectories.ends(views.trajectories(spark, folder)))
+    """Dealt out by case, a group of orders, so that probes of sites and further joins stay where they are."""
+    return kept(spark, folder, ("orders",), "ends", lambda: trajectories.ends(views.trajectories(spark, folder))).repartition("case_id")
 
 
 def expected(points: DataFrame) -> DataFrame:
     return trajectories.told(spatial.candidates(points, UNBOUNDED, ("case_id",)), points, ["case_id"])
 
 
+def candidates(spark, folder) -> DataFrame:
+    return kept(spark, folder, ("orders",), "candidates", lambda: expected(ends(spark, folder))).repartition("case_id")
+
+
 def listed(rows: DataFrame) -> DataFrame:
     """Candidates with faults that follow from their numbers: left out, repeated, invented, other fields."""
     k = F.col("endpoint_a")
@@ -60,15 +65,14 @@ def listed(rows: DataFrame) -> DataFrame:
 @query
 def candidate_reconciliation(spark, folder):
     """Listed candidates against those that the trajectories give: missing, invented, repeated, altered by field."""
-    found = expected(ends(spark, folder))
+    found = candidates(spark, folder)
     return trajectories.reconciled(listed(found), found)
 
 
 @query
 def bond_row_faults(spark, folder):
     """Listed pairs as rows of bonds: owner, arm, type, coordinates, reach, distance, ends used again."""
-    points = ends(spark, folder)
-    return trajectories.bond_faults(listed(expected(points)), points)
+    return trajectories.bond_faults(listed(candidates(spark, folder)), ends(spark, folder))
 
 
 def stored(members: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def cache(spark, folder) -> DataFrame:
         return rows.withColumn("line", caches.text()).select(line.alias("value"))
 
     path = shared_folder(spark, "cache")
-    kept(spark, folder, INPUTS, "cache", make).write.text(path)
+    kept(spark, folder, INPUTS, "cache", make).write.option("compression", "gzip").text(path)
     return caches.read(spark, path)
 
 
@@ -55,7 +55,7 @@ def documents(spark, folder) -> compact.Documents:
 
     def make() -> DataFrame:
         steps = views.trajectories(spark, folder).withColumn("molecule", number)
-        points = trajectories.ends(steps)
+        points = trajectories.ends(steps).repartition("case_id")
         found = spatial.candidates(points, UNBOUNDED, ("case_id",)).select("case_id", F.expr("endpoint_a div 4").alias("molecule_a"), F.expr("endpoint_b div 4").alias("molecule_b"), (F.col("endpoint_a") % 4).alias("arm_a"), (F.col("endpoint_b") % 4).alias("arm_b"))
         docs = compact.written(steps, found, FORMAT)
         k, v = F.col("case_id") % 11, F.col("value")

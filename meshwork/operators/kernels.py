@@ -146,7 +146,8 @@ def endpoints_of(placed: DataFrame) -> DataFrame:
 
 def bond(placed: DataFrame, size: int, several: bool = True) -> DataFrame:
     """Bonds of placed cases of one lattice size: case_id, bond_id, endpoint_a, endpoint_b, molecule_a, molecule_b."""
-    ends = endpoints_of(placed)
+    # A case is one call of the kernel, so that all its rows can be in one task from here on.
+    ends = endpoints_of(placed).repartition("case_id")
     where = ends.select("case_id", F.col("endpoint").alias("endpoint_b"), ((F.col("x") * size + F.col("y")) * size + F.col("z")).alias("site_b"))
     near = candidates(ends, size, ("case_id",)).join(where, ["case_id", "endpoint_b"])
     lists = near.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("endpoint_a", "site_b", "endpoint_b"))).alias("edges"))

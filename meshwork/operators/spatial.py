@@ -1,5 +1,5 @@
 """Candidates between endpoints at Manhattan distance 1 or 2 on an open cubic lattice: a band join,
-written as an equi-join by exploding each endpoint into the sites around it."""
+written as an equi-join by exploding each endpoint into half of the sites around it."""
 
 from __future__ import annotations
 
@@ -11,8 +11,12 @@ REACH = 2
 OFFSETS = [(dx, dy, dz) for dx in range(-REACH, REACH + 1) for dy in range(-REACH, REACH + 1) for dz in range(-REACH, REACH + 1) if 1 <= abs(dx) + abs(dy) + abs(dz) <= REACH]
 
 
-def around() -> Column:
-    return F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx, dy, dz in OFFSETS))
+#: Of each offset and its opposite one: what finds a pair from one of its ends only.
+FORWARD = [o for o in OFFSETS if o > (0, 0, 0)]
+
+
+def around(offsets: list[tuple[int, int, int]] = OFFSETS) -> Column:
+    return F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx, dy, dz in offsets))
 
 
 def inside(size: int, *columns: str) -> Column:
@@ -22,9 +26,9 @@ def inside(size: int, *columns: str) -> Column:
     return out
 
 
-def probes(endpoints: DataFrame, keys: list[str]) -> DataFrame:
-    """Each endpoint at each of the 24 sites around it: keys, endpoint, type, x, y, z (of the site probed), distance."""
-    rows = endpoints.select(*keys, "endpoint", "type", "x", "y", "z", F.explode(around()).alias("o"))
+def probes(endpoints: DataFrame, keys: list[str], offsets: list[tuple[int, int, int]] = OFFSETS) -> DataFrame:
+    """Each endpoint at each of the sites around it: keys, endpoint, type, x, y, z (of the site probed), distance."""
+    rows = endpoints.select(*keys, "endpoint", "type", "x", "y", "z", F.explode(around(offsets)).alias("o"))
     distance = F.abs("o.dx") + F.abs("o.dy") + F.abs("o.dz")
     return rows.select(*keys, "endpoint", "type", *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"), distance.cast("int").alias("distance"))
 
@@ -33,11 +37,15 @@ def candidates(endpoints: DataFrame, size: int, keys: tuple[str, ...] = ()) -> D
     """keys, endpoint_a < endpoint_b, distance, of endpoints of different types and, where the frame has a
     column molecule, of different molecules."""
     keys, own = list(keys), [c for c in ("molecule",) if c in endpoints.columns]
-    here = endpoints.select(*keys, F.col("endpoint").alias("endpoint_b"), F.col("type").alias("type_b"), *(F.col(c).alias(f"{c}_b") for c in own), "x", "y", "z")
-    met = probes(endpoints, [*keys, *own]).where(inside(size, "x", "y", "z")).join(here, [*keys, "x", "y", "z"])
+    endpoints = endpoints.withColumn("within", inside(size, "x", "y", "z"))
+    here = endpoints.select(*keys, F.col("endpoint").alias("endpoint_b"), F.col("type").alias("type_b"), *(F.col(c).alias(f"{c}_b") for c in own), F.col("within").alias("within_b"), "x", "y", "z")
+    met = probes(endpoints, [*keys, *own, "within"], FORWARD).join(here, [*keys, "x", "y", "z"])
     for c in own:
         met = met.where(F.col(c) != F.col(f"{c}_b"))
-    return met.where((F.col("endpoint") < F.col("endpoint_b")) & (F.col("type") != F.col("type_b"))).select(*keys, F.col("endpoint").alias("endpoint_a"), "endpoint_b", "distance")
+    # The greater end has to lie on the lattice.
+    greater = F.when(F.col("endpoint") < F.col("endpoint_b"), F.col("within_b")).when(F.col("endpoint") > F.col("endpoint_b"), F.col("within"))
+    low, high = (f("endpoint", "endpoint_b") for f in (F.least, F.greatest))
+    return met.where(greater & (F.col("type") != F.col("type_b"))).select(*keys, low.alias("endpoint_a"), high.alias("endpoint_b"), "distance")
 
 
 def search_effort(endpoints: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
