@@ -17,8 +17,9 @@ from meshwork.sources.storage import saved
 
 
 def neighbours(bonds: DataFrame) -> DataFrame:
-    p = pairs(bonds)
-    return p.unionByName(p.select("case_id", F.col("molecule_b").alias("molecule_a"), F.col("molecule_a").alias("molecule_b"), "multiplicity"))
+    a, b = F.col("molecule_a"), F.col("molecule_b")
+    both = F.array(F.struct(a.alias("molecule_a"), b.alias("molecule_b")), F.struct(b.alias("molecule_a"), a.alias("molecule_b")))
+    return pairs(bonds).select("case_id", F.explode(both).alias("p"), "multiplicity").select("case_id", "p.*", "multiplicity")
 
 
 def halves(bonds: DataFrame) -> DataFrame:
