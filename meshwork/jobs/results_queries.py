@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwork.jobs import study
 from meshwork.jobs.integrity_queries import UNBOUNDED
-from meshwork.jobs.queries import Network, query
+from meshwork.jobs.queries import INPUTS, Network, query
 from meshwork.jobs.results_oracles import ORACLES  # noqa: F401
 from meshwork.jobs.study_queries import relation, samples, with_condition
 from meshwork.operators import constraints, spatial, stats, trajectories
@@ -15,7 +15,6 @@ from meshwork.sources import caches, compact, files, views
 from meshwork.sources.storage import kept, saved, shared_folder, table
 
 FORMAT = "molecules-1"
-INPUTS = ("lineitem", "orders")
 
 
 def cache(spark, folder) -> DataFrame:
