@@ -80,20 +80,21 @@ def stored(members: DataFrame) -> DataFrame:
     repeated and invented, other sizes and degrees."""
     c, m = F.col("cluster_id"), F.col("molecule")
     label = F.when(c % 11 == 3, c - 1).when((c % 13 == 5) & (F.expr("molecule div 2") % 2 == 1), c + 1_000_000).when(c % 17 == 7, c + 5_000_000).otherwise(c)
-    rows = members.where(m % 97 != 13).select(
-        "case_id", "molecule", label.alias("cluster_id"),
+    # All numbers that a row is stored under come from the row: a union would be dealt out anew.
+    under = F.filter(F.array(m, F.when(m % 103 == 29, m), F.when(m % 101 == 31, m + 8_000_000)), lambda x: x.isNotNull())
+    return members.where(m % 97 != 13).select(
+        "case_id", F.explode(under).alias("molecule"), label.alias("cluster_id"),
         F.when(c % 19 == 11, F.col("cluster_size") + 1).otherwise(F.col("cluster_size")).alias("cluster_size"),
         F.when(m % 89 == 7, F.col("bond_degree") + 1).otherwise(F.col("bond_degree")).alias("bond_degree"),
     )
-    return rows.unionByName(rows.where(m % 103 == 29)).unionByName(rows.where(m % 101 == 31).withColumn("molecule", m + 8_000_000))
 
 
 @query
 def partition_differences(spark, folder):
     """Stored clusters against components found anew: which are split, merged, mixed or renamed."""
     net = Network(spark, folder)
-    met = saved(partitions.contingency(stored(net.members()), net.parts), "contingency")
-    return partitions.differences(met, net.summary)
+    met = saved(partitions.contingency(stored(net.members()), net.parts), "contingency", *net.dealt)
+    return partitions.differences(met, net.summary, net.small)
 
 
 @query
@@ -117,5 +118,5 @@ def giant_two_core(spark, folder):
 @query
 def giant_partition_differences(spark, folder):
     net = Network(spark, folder, None)
-    met = saved(partitions.contingency(stored(net.members()), net.parts), "contingency")
-    return partitions.differences(met, net.summary)
+    met = saved(partitions.contingency(stored(net.members()), net.parts), "contingency", *net.dealt)
+    return partitions.differences(met, net.summary, net.small)

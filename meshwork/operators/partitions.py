@@ -15,14 +15,14 @@ def contingency(stored: DataFrame, parts: DataFrame) -> DataFrame:
     return labels.join(parts.select("case_id", "molecule", "root"), ["case_id", "molecule"]).groupBy("case_id", "label", "root").agg(F.count("*").cast("long").alias("n"))
 
 
-def differences(met: DataFrame, names: DataFrame) -> DataFrame:
+def differences(met: DataFrame, names: DataFrame, small: bool = False) -> DataFrame:
     """case_id, label, root, molecules, kind: the cells of a contingency in which the partitions differ. split: several
     labels share a component; merged: a label has several components; mixed: both; renamed: the same molecules under
-    another label than names (case_id, root, cluster_id) give. met is read several times."""
+    another label than names (case_id, root, cluster_id) give. met is read several times. small: a task can hold any case."""
     by_label = met.groupBy("case_id", "label").agg(F.count("*").alias("roots"))
     by_root = met.groupBy("case_id", "root").agg(F.count("*").alias("labels"))
-    rows = with_group(met, by_label.withColumn("rows", F.col("roots")), ["case_id", "label"], "rows")
-    rows = with_group(rows, by_root.withColumn("rows", F.col("labels")), ["case_id", "root"], "rows")
+    rows = with_group(met, by_label.withColumn("rows", F.col("roots")), ["case_id", "label"], "rows", small)
+    rows = with_group(rows, by_root.withColumn("rows", F.col("labels")), ["case_id", "root"], "rows", small)
     several = lambda c: F.col(c) > 1
     kind = F.when(several("labels") & several("roots"), "mixed").when(several("labels"), "split").when(several("roots"), "merged")
     named = rows.withColumn("kind", kind).join(names.select("case_id", "root", "cluster_id"), ["case_id", "root"])
