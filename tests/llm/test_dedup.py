@@ -189,6 +189,25 @@ def test_changed_lines_are_found(spark, edits):
     assert all(text[k] == t for k, t in rows if not alike.get(k))
 
 
+def test_unrelated_lines_on_one_key_seldom_link():
+    """Lines that share the three minima of a key and nothing else: links by chance joined most lines to one cluster."""
+    rng = np.random.default_rng(8)
+    n, size = 40_000, np.full(40_000, 200)
+    a, b = (rng.integers(0, 1 << 16, (n, line_dedup.MINIMA), np.uint16) for _ in range(2))
+    b[:, line_dedup.PLACES[0]] = a[:, line_dedup.PLACES[0]]
+    none = np.zeros(n, np.int64)
+
+    def side(keys, minima):
+        sketch = [none, *minima.view(np.int64).T]
+        return next(keys(np.arange(n), size, *sketch, *sketch))
+
+    for keys, most in ((line_dedup.minima_keys, 0.06), (line_dedup.full_keys, 0.004)):
+        (key, _, *x), (same, _, *y) = (side(keys, m) for m in (a, b))
+        assert (key == same).all()
+        assert line_dedup.near(x, x, key).all()
+        assert line_dedup.near(x, y, key).mean() < most
+
+
 def test_distances_of_many_pairs_are_exact():
     rng = random.Random(9)
     a, b = [], []
