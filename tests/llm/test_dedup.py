@@ -226,6 +226,67 @@ def test_distances_of_many_pairs_are_exact():
     assert line_dedup.alike(a, b, 0.7).tolist() == [d <= int(0.3 * max(len(x), len(y)) + 1e-9) for x, y, d in zip(a, b, want)]
 
 
+def pairs_of_many_lengths(rng, count):
+    """Pairs of texts, the shorter one first: alike ones, shifted ones and unrelated ones."""
+    out = []
+    for _ in range(count):
+        x = [rng.choice("abcdé 日") for _ in range(rng.randint(1, rng.choice((3, 63, 64, 65, 130, 400))))]
+        y = list(x) if rng.random() < 0.8 else [rng.choice("abcdé 日") for _ in range(max(1, len(x) + rng.randint(-9, 9)))]
+        for _ in range(rng.randint(0, len(y) // 3 + 1)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choice(("", "x", "yz", "abcdefghijkl"))
+            y = y or ["q"]
+        out.append(sorted(("".join(x), "".join(y)), key=len))
+    return out
+
+
+def test_bounded_distances_are_exact():
+    """On few diagonals, in blocks and on all diagonals that matter, at bounds about the distance too."""
+    rng = random.Random(10)
+    pairs = pairs_of_many_lengths(rng, 1500)
+    a, b = map(list, zip(*pairs))
+    far = np.array([line_dedup.edit_distance(x, y) for x, y in pairs])
+    most = np.array([max(len(y) - len(x), rng.choice((0, 1, len(y) // 5, d - 1, d, d + 1))) for (x, y), d in zip(pairs, far.tolist())])
+    want = (far <= most).tolist()
+    assert [line_dedup.banded(x, y, k) for x, y, k in zip(a, b, most.tolist())] == want
+    assert line_dedup.all_banded(a, b, most).tolist() == want
+    told = line_dedup.Pairs(a, b, most)
+    assert told.within(a, b).tolist() == want
+    some = np.flatnonzero(told.more < 60)
+    assert (told.narrow(some) >= np.minimum(far, most + 1)[some]).all()
+    some = np.flatnonzero((told.m >= 64) & (far <= most))
+    assert len(some) > 50 and (told.apart(some) <= far[some]).all()
+
+
+def test_most_pairs_need_no_whole_table(monkeypatch):
+    """Near ones show it on 64 diagonals, unrelated ones in blocks."""
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abcdefghijklm ") for _ in range(rng.randint(400, 900))) for _ in range(120)]
+    near = [x[:100] + "xyz" + x[103:350] + x[352:] for x in lines]
+    looked = []
+    monkeypatch.setattr(line_dedup, "all_banded", lambda a, b, most: looked.extend(a) or np.zeros(len(a), bool))
+    monkeypatch.setattr(line_dedup, "banded", lambda a, b, most: looked.append(a) or False)
+    assert line_dedup.alike(lines, near, 0.8).all()
+    assert not line_dedup.alike(lines, [x[: len(y)] + "a" * (len(y) - len(x)) for x, y in zip(lines[1:] + lines[:1], lines)], 0.8).any()
+    assert not looked
+
+
+def test_runs_of_clusters_reach_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    root, h = np.sort(rng.integers(0, 300, 1000)), rng.integers(0, 3, 1000)
+    none = np.zeros(1000, np.int64)
+    rows = pa.table({"root": root, "i": none, "j": none, "h": h, "norm": [f"{a} {b}" for a, b in zip(root, h)]})
+    for at_once, size in ((5, 1), (5, 7), (100, 64), (8192, 2000)):
+        monkeypatch.setattr(line_dedup, "ROWS_AT_ONCE", at_once)
+        got = list(line_dedup.clusters_of(iter(rows.to_batches(max_chunksize=size))))
+        assert len(got) == len(set(root))
+        assert sorted(x for r in got for x in r["norm"]) == sorted(set(rows["norm"].to_pylist()))
+        assert all(x == f"{a} {b}" for r in got for a, b, x in zip(r["root"], r["h"], r["norm"]))
+    assert not list(line_dedup.clusters_of(iter([])))
+
+
 def test_clusters_of_far_pairs_are_looked_at_to_the_end(monkeypatch):
     """Chains of candidates of which only some are alike: the groups are those of all alike pairs."""
     monkeypatch.setattr(line_dedup, "ROUND", 3)
