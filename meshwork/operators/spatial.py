@@ -39,7 +39,8 @@ def candidates(endpoints: DataFrame, size: int, keys: tuple[str, ...] = ()) -> D
     keys, own = list(keys), [c for c in ("molecule",) if c in endpoints.columns]
     endpoints = endpoints.withColumn("within", inside(size, "x", "y", "z"))
     here = endpoints.select(*keys, F.col("endpoint").alias("endpoint_b"), F.col("type").alias("type_b"), *(F.col(c).alias(f"{c}_b") for c in own), F.col("within").alias("within_b"), "x", "y", "z")
-    met = probes(endpoints, [*keys, *own, "within"], FORWARD).join(here, [*keys, "x", "y", "z"])
+    # Looked up, not sorted: there are twelve probes to an endpoint.
+    met = probes(endpoints, [*keys, *own, "within"], FORWARD).join(here.hint("shuffle_hash"), [*keys, "x", "y", "z"])
     for c in own:
         met = met.where(F.col(c) != F.col(f"{c}_b"))
     # The greater end has to lie on the lattice.

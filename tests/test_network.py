@@ -174,3 +174,15 @@ def test_summary_of_undefined_values(spark):
     rows = spark.createDataFrame([(1, 1.0), (1, None), (2, None)], "condition long, x double")
     got = {r.condition: (r.n, r["mean"], r.sd, r.se) for r in stats.metric_summary(rows, ["condition"], ("x",)).collect()}
     assert got == {1: (1, 1.0, None, None), 2: (0, None, None, None)}
+
+
+def test_candidate_rules_take_one_pass(spark):
+    from meshwork.jobs import queries as jobs
+
+    rows = [(1, 5, 9), (1, 5, 9), (1, 9, 5), (2, 0, 1), *((3, 7, 10 + k) for k in range(25))]
+    got = constraints.candidate_violations(spark.createDataFrame(rows, "case_id long, endpoint_a long, endpoint_b long"))
+    want = {(1, "order", 1), (1, "crowded", 0), (1, "repeated", 1), (2, "order", 0), (2, "crowded", 0), (2, "repeated", 0), (3, "order", 0), (3, "crowded", 1), (3, "repeated", 0)}
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["case_id", "rule", "bad_count"]
+    plan = jobs.queries()["candidate_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan  # candidates are worked out once, their probes not sorted
