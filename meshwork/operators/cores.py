@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators.components import connected, contracted
-from meshwork.operators.graph import node, pairs
+from meshwork.operators.graph import pairs, with_nodes
 from meshwork.sources.storage import saved
 
 MOST_ROUNDS = 60
@@ -65,6 +65,6 @@ def core_edges(edges: DataFrame) -> DataFrame:
 
 def two_core(bonds: DataFrame) -> DataFrame:
     """case_id, molecule_a, molecule_b, multiplicity of the pairs in the two-core."""
-    every = saved(pairs(bonds).repartition(F.shiftright(node("molecule_a"), 16)).withColumn("edge", F.monotonically_increasing_id()), "pairs")
-    kept = core_edges(every.select("edge", node("molecule_a").alias("a"), node("molecule_b").alias("b")))
+    every = saved(pairs(bonds).repartition("case_id", F.shiftright("molecule_a", 16)).withColumn("edge", F.monotonically_increasing_id()), "pairs")
+    kept = core_edges(with_nodes(every).select("edge", "a", "b"))
     return every.join(kept, "edge", "left_semi").drop("edge")

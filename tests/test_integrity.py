@@ -65,6 +65,22 @@ def peeled(edges):
     return {(min(a, b), max(a, b)) for a in near for b in near[a]}
 
 
+def test_molecules_of_any_number(spark, monkeypatch):
+    big = (1 << 24) + 5
+    ring = lambda case, at: [(case, at, at + 1), (case, at + 1, at + 2), (case, at + 2, at)]
+    rows = ring(3, 0) + ring(3, big) + ring(4, big - (1 << 24)) + ring(1 << 41, 7) + [(3, big, 9), (4, big, 1 << 30), (4, 5, 6)]
+    bonds = spark.createDataFrame(rows, "case_id long, molecule_a long, molecule_b long")
+    want = {(3, 0, 0), (3, 1, 0), (3, 2, 0), (3, 9, 9), *((3, big + k, 9) for k in range(3)), (4, 5, 5), (4, 6, 5), (4, 7, 5), (4, big, big), (4, 1 << 30, big), *((1 << 41, k, 7) for k in (7, 8, 9))}
+    ends = bonds.select("case_id", F.explode(F.array("molecule_a", "molecule_b")).alias("molecule")).distinct()
+    for large in (graph.EDGES_AT_ONCE, 4, 0):  # cases of a task, cases of several, both
+        monkeypatch.setattr(graph, "EDGES_AT_ONCE", large)
+        assert {tuple(r) for r in graph.members(bonds, ends).collect()} == want
+    core = {(c, min(a, b), max(a, b)) for c, a, b in rows if (c, a, b) not in ((3, big, 9), (4, big, 1 << 30))}
+    assert {(r.case_id, r.molecule_a, r.molecule_b) for r in cores.two_core(bonds).collect()} == core
+    with pytest.raises(Exception, match="molecule -1 of a case"):
+        cores.two_core(spark.createDataFrame([(1, -1, 2), (1, 2, 3)], bonds.schema)).collect()
+
+
 def test_two_core_equals_peeling(spark):
     rng = random.Random(7)
     rows, want = [], set()
