@@ -314,6 +314,25 @@ def test_large_clusters_go_by_blocks(spark, monkeypatch):
     assert sorted(k for k, t in text.items() if t) == [0, *range(500, 520)]
 
 
+@pytest.mark.parametrize("block", [1024, 20])
+def test_largest_clusters_go_by_keys(spark, monkeypatch, block):
+    """No line is dealt out to all blocks of its cluster; the groups are those that brute force gives."""
+    rng = random.Random(9)
+    groups = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(60)}" for _ in range(30)) for _ in range(4)]
+    lines = [(g, re.sub(r"\w+$", f"end{k}", x, count=1)) for g, x in enumerate(groups) for k in range(60)]
+    rng.shuffle(lines)
+    rows = [(k, line) for k, (_, line) in enumerate(lines)]
+    monkeypatch.setattr(line_dedup, "BLOCKS", 0)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    whole = []
+    monkeypatch.setattr(line_dedup, "verified_by_keys", lambda far, least, was=line_dedup.verified_by_keys: whole.append(far.count()) or was(far, least))
+    first = {}
+    for k, (g, _) in enumerate(lines):
+        first.setdefault(g, k)
+    text = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert whole == [240] and text == {k: line if first[lines[k][0]] == k else "" for k, line in rows}
+
+
 def test_short_and_unsegmented_lines(spark):
     east = "".join(chr(0x4E00 + k * k % 3000) for k in range(40))
     rows = [(1, "Menu\nRead more\nx y z w\n--"), (2, "menu!\nRead less\nread more\nX, y z w\n--"), (3, east), (4, east[:20] + "\u4e8c" + east[21:]), (5, east[::-1])]
